@@ -51,7 +51,7 @@ SELECT o_orderkey AS id, o_custkey % 10 AS company_id,
   WHEN 5 THEN 'archived' WHEN 6 THEN NULL ELSE 'new' END AS status,
  CASE o_orderkey % 9 WHEN 0 THEN 'discover' WHEN 1 THEN 'review' WHEN 2 THEN 'prepare' WHEN 3 THEN 'apply'
   WHEN 4 THEN 'follow_up' WHEN 5 THEN 'archive' WHEN 6 THEN NULL WHEN 7 THEN 'unheard_of' ELSE '' END AS pipeline_stage,
- o_orderkey % 2 = 0 AS is_new, CAST(o_orderdate AS TIMESTAMP) AS discovered_at,
+ o_orderkey % 3 = 0 AS is_new, CAST(o_orderdate AS TIMESTAMP) AS discovered_at,
  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) - INTERVAL '1' HOUR * CAST(o_orderkey % 60 AS INT) END AS posted_date,
  CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' HOUR * CAST(o_orderkey % 48 AS INT) AS updated_at,
  CASE WHEN o_orderkey % 13 = 0 THEN TIMESTAMP '2001-01-01 00:00:00' ELSE NULL END AS archived_at
