@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacantia.functions.text import PY_SPACE, py_strip
+from vacantia.functions.text import py_strip
 
 # URL patterns, legal suffixes and host fragments that decide results.
 URL_IN_TEXT = r'https?://[^\s<>"{}|\\^`\[\]]+[^\s<>"{}|\\^`\[\].,;:]'
@@ -166,12 +166,18 @@ def career_url_from_link(href: Column, name: Column) -> Column:
     )
 
 
+def title_case(value: Column) -> Column:
+    """Capital at the start of every letter run, also after digits and quotes."""
+    runs = F.regexp_extract_all(value, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
+
+
 def company_name_from_host(url: Column, title: Column) -> Column:
     """First host label in title case, else the page title minus its suffix."""
     label = F.split_part(F.replace(url_host(url), F.lit("www."), F.lit("")), F.lit("."), F.lit(1))
     cut = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)\s+(Careers?|Jobs?|Hiring|Career Page).*$", "")
     from_title = F.when(F.coalesce(title, F.lit("")) != "", F.substring(F.trim(cut), 1, 100))
-    return F.when(url_host(url) != "", F.initcap(F.translate(label, "-_", "  "))).otherwise(from_title)
+    return F.when(url_host(url) != "", title_case(F.translate(label, "-_", "  "))).otherwise(from_title)
 
 
 def extract_url(text: Column) -> Column:
@@ -233,5 +239,3 @@ def repaired_slug(name: Column, url: Column) -> Column:
         _map_lookup(KNOWN_SLUGS, name), board, lever, F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "")
     )
 
-
-__all__ = [name for name in dir() if not name.startswith("_") and name not in {"annotations", "PY_SPACE"}]

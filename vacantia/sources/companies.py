@@ -45,20 +45,18 @@ def parse_companies(rows: DataFrame) -> DataFrame:
     reject counts leave out.
     """
     raw_name, raw_url = F.col("Company Name"), F.col("Career Page URL")
-    blank_name = F.coalesce(raw_name, F.lit("")) == ""
-    blank_url = F.coalesce(raw_url, F.lit("")) == ""
-    name = text.py_strip(raw_name)
-    url = F.coalesce(urls.extract_url(text.py_strip(raw_url)), urls.career_url_from_name(name))
+    named = rows.withColumn("name", text.py_strip(raw_name)).withColumn("_found", urls.extract_url(text.py_strip(raw_url)))
+    named = named.withColumn("career_page_url", F.coalesce("_found", urls.career_url_from_name(F.col("name")))).drop("_found")
     broken = F.col("_malformed").isNotNull() if "_malformed" in rows.columns else F.lit(False)
     reason = (
         F.when(broken, "parsing_error")
-        .when(blank_name, "empty_name")
-        .when(blank_url, "blank_url")
-        .when(name == "", "empty_name")
-        .when(url.isNull(), "no_url")
-        .when(~urls.valid_url(url), "invalid_url")
+        .when(F.coalesce(raw_name, F.lit("")) == "", "empty_name")
+        .when(F.coalesce(raw_url, F.lit("")) == "", "blank_url")
+        .when(F.col("name") == "", "empty_name")
+        .when(F.col("career_page_url").isNull(), "no_url")
+        .when(~urls.valid_url(F.col("career_page_url")), "invalid_url")
     )
-    parsed = rows.withColumn("reason", reason).withColumn("name", name).withColumn("career_page_url", url)
+    parsed = named.withColumn("reason", reason)
     kind = urls.detect_crawler_type(F.col("career_page_url"))
     accepted = F.col("reason").isNull()
     parsed = parsed.withColumn("crawler_type", F.when(accepted, kind))
