@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 FENCE = "```"
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is exactly one JSON value, else NULL.
+
+    The parser stops after the first value. Inside a list and inside an object
+    leftovers cannot both pass, so only a text without leftovers is read.
+    """
+    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+
+
 def fenced_body(text: Column) -> Column:
     """Inside of the first Markdown fence (``json`` fence first), else the text."""
     text = F.coalesce(text, F.lit(""))
@@ -39,7 +50,7 @@ def text_list(value: Column, path: str) -> Column:
 
 def match_response(text: Column) -> Column:
     """``struct`` of the scored match; malformed JSON gives the neutral result."""
-    data = F.try_parse_json(fenced_body(text))
+    data = strict_json(fenced_body(text))
     is_object = F.coalesce(F.schema_of_variant(data).startswith("OBJECT"), F.lit(False))
     raw_score = F.try_variant_get(data, "$.match_score", "double")
     has_score = F.try_variant_get(data, "$.match_score", "string").isNotNull()
@@ -61,7 +72,7 @@ def match_response(text: Column) -> Column:
 def analysis_response(text: Column, fallback_chars: int = 200, empty_summary: str = "No analysis available") -> Column:
     """``struct`` of a free-form analysis; the fallback summary is the text's start."""
     text = F.coalesce(text, F.lit(""))
-    data = F.try_parse_json(braced_body(text))
+    data = strict_json(braced_body(text))
     ok = data.isNotNull()
     empty = F.array().cast("array<string>")
     fallback = F.substring(text, 1, fallback_chars)

@@ -159,6 +159,16 @@ SELECT doc_id AS id, concat(source, '-', CAST(doc_id AS STRING), '.txt') AS file
  text AS content, doc_id % 2 = 0 AS is_active, lang AS document_type,
  TIMESTAMP '2001-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id AS INT) AS created_at
 FROM {documents}""",
+    "stage_change_log": """
+SELECT event_id AS change_id, user_id AS job_id, CAST(ts AS TIMESTAMP) AS ts,
+ CASE event_id % 7 WHEN 0 THEN 'discover' WHEN 1 THEN 'review' WHEN 2 THEN 'prepare' WHEN 3 THEN 'apply' WHEN 4 THEN 'follow_up' WHEN 5 THEN 'archive' ELSE 'nowhere' END AS stage
+FROM {events}""",
+    "document_reviews": """
+SELECT event_id AS review_id, user_id AS document_id, CAST(ts AS TIMESTAMP) AS ts,
+ CASE event_type WHEN 'view' THEN 'approved' WHEN 'click' THEN 'rejected' WHEN 'purchase' THEN 'edited' ELSE 'glanced' END AS action,
+ CASE WHEN event_type = 'purchase' THEN concat('edit ', CAST(event_id AS STRING)) ELSE NULL END AS edited_content,
+ CASE WHEN event_id % 3 = 0 THEN concat('note ', CAST(event_id AS STRING)) WHEN event_id % 3 = 1 THEN '' ELSE NULL END AS notes
+FROM {events}""",
     "job_activities": """
 SELECT event_id AS id, user_id AS job_id, event_type AS activity_type, concat('did ', event_type) AS activity_description,
  CAST(ts AS TIMESTAMP) AS created_at FROM {events}""",
@@ -194,4 +204,7 @@ def oracle(body: str) -> str:
     main = re.sub(r"{(\w+)}", r"\1", body).strip()
     if not ctes:
         return main
-    return f"WITH {ctes},\n{main[5:].strip()}" if main.upper().startswith("WITH ") else f"WITH {ctes}\n{main}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if main.upper().startswith(head):
+            return f"{head}{ctes},\n{main[len(head):].strip()}"
+    return f"WITH {ctes}\n{main}"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import urls
+from vacantia.functions.payloads import strict_json
 from vacantia.sources.postings import json_nodes, jsonld_blocks
 
 # Markers of script-built pages, of job content and of job elements.
@@ -45,7 +46,7 @@ def has_jobposting(html: Column) -> Column:
 
     def holds(block: Column) -> Column:
         typed = F.transform(json_nodes(block), lambda v: F.try_variant_get(v, "$['@type']", "string"))
-        return F.try_parse_json(block).isNotNull() & F.array_contains(F.filter(typed, lambda t: t.isNotNull()), "JobPosting")
+        return strict_json(block).isNotNull() & F.array_contains(F.filter(typed, lambda t: t.isNotNull()), "JobPosting")
 
     blocks = F.filter(jsonld_blocks(html), lambda b: b.rlike(r"[{\[]") & F.contains(b, F.lit("JobPosting")))
     return F.exists(blocks, holds)

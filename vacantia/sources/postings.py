@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import dates, text, urls
-from vacantia.functions.payloads import named_value, names_of
+from vacantia.functions.payloads import named_value, names_of, strict_json, without_fence_lines
 
 GREENHOUSE = (
     "struct<jobs:array<struct<id:string,title:string,location:string,absolute_url:string,updated_at:string,content:string,"
@@ -145,7 +145,7 @@ def _open_postings(
 
 def custom_json_postings(landed: DataFrame) -> DataFrame:
     """``landed``: company, career_url, payload in any of the usual wrappers."""
-    root = landed.withColumn("_root", F.try_parse_json("payload")).filter(F.col("_root").isNotNull())
+    root = landed.withColumn("_root", strict_json(F.col("payload"))).filter(F.col("_root").isNotNull())
     v = F.col("_root")
     wrapped = F.coalesce(*[_listed(v, f"$.{k}") for k in WRAPPER_KEYS])
     whole = F.when(_text(v, "title").isNotNull(), F.array(v))
@@ -172,7 +172,7 @@ def json_nodes(payload: Column) -> Column:
             F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), nothing
         )
 
-    start = F.struct(nothing.alias("done"), F.array(F.try_parse_json(payload)).alias("level"))
+    start = F.struct(nothing.alias("done"), F.array(strict_json(payload)).alias("level"))
     return F.aggregate(
         F.sequence(F.lit(1), F.regexp_count(payload, F.lit(r"[{\[]"))),
         start,
@@ -195,7 +195,7 @@ def jsonld_blocks(html: Column) -> Column:
 
 def jsonld_postings(landed: DataFrame, prefix: str = "api_jsonld") -> DataFrame:
     """``landed``: company, career_url, payload. Every JobPosting at any depth."""
-    good = landed.filter(F.try_parse_json("payload").isNotNull() & F.col("payload").rlike(r"[{\[]"))
+    good = landed.filter(strict_json(F.col("payload")).isNotNull() & F.col("payload").rlike(r"[{\[]"))
     nodes = good.select("company", "career_url", F.explode(json_nodes(F.col("payload"))).alias("v"))
     v = F.col("v")
     items = nodes.filter(F.try_variant_get(v, "$['@type']", "string") == "JobPosting")
@@ -208,7 +208,7 @@ def jsonld_postings(landed: DataFrame, prefix: str = "api_jsonld") -> DataFrame:
 
 def browser_postings(landed: DataFrame, prefix: str = "browser") -> DataFrame:
     """``landed``: company, career_url, payload: a list of extracted objects."""
-    root = landed.withColumn("_root", F.try_parse_json("payload"))
+    root = landed.withColumn("_root", strict_json(F.col("payload")))
     items = root.select("company", "career_url", F.explode(_listed(F.col("_root"), "$")).alias("v"))
     v = F.col("v")
 
@@ -278,9 +278,7 @@ def card_postings(cards: DataFrame, site: str, as_of: str) -> DataFrame:
 
 def response_postings(landed: DataFrame) -> DataFrame:
     """Model responses that list postings: company, career_url, payload text."""
-    from vacantia.functions.payloads import without_fence_lines
-
-    bare = landed.withColumn("_root", F.try_parse_json(without_fence_lines(F.col("payload"))))
+    bare = landed.withColumn("_root", strict_json(without_fence_lines(F.col("payload"))))
     items = bare.select("company", "career_url", F.explode(_listed(F.col("_root"), "$")).alias("v"))
     v = F.col("v")
     return _open_postings(
