@@ -24,33 +24,48 @@ def new_postings(incoming: DataFrame, key: str = "seq") -> DataFrame:
     return dedupe.dedupe_by_id(filters.valid_postings(incoming), key, ("external_id", "company_id"))
 
 
-def ingest(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None = None, key: str = "seq") -> DataFrame:
-    """Stored postings after a batch, with ``change`` = kept, refreshed or new.
-
-    A duplicate refreshes the stored posting when it was posted after that one
-    was discovered; of several the last in the batch wins. A NULL in the batch
-    counts as absent. New rows have no id yet (see :func:`with_ids`).
-    """
+def _decided(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame]:
+    """New rows of a batch, and the one refresh per stored posting."""
     batch = new_postings(incoming, key)
     if seen is not None:
         batch = filters.unseen_postings(batch, seen)
-    matches = dedupe.find_duplicates(batch, stored, as_of, key)
-    decided = batch.join(matches, key)
+    decided = batch.join(dedupe.find_duplicates(batch, stored, as_of, key), key)
     known = stored.select(F.col("id").alias("match_id"), F.col("discovered_at").alias("_found_at"))
     later = decided.filter(F.col("match_id").isNotNull()).join(known, "match_id").filter(F.col("posted_date") > F.col("_found_at"))
     last = keep_first(later, ["match_id"], [F.col(key).desc()]).select(
         F.col("match_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in REFRESHED], F.lit(True).alias("_hit")
     )
-    old = stored.join(last, "id", "left")
-    for c in REFRESHED:
-        old = old.withColumn(c, F.when(F.col("_hit"), F.coalesce(F.col(f"_{c}"), F.col(c))).otherwise(F.col(c)))
-    old = old.withColumn("change", F.when(F.col("_hit"), "refreshed").otherwise("kept")).drop("_hit", *[f"_{c}" for c in REFRESHED])
     fresh = decided.filter(F.col("match_id").isNull()).select(
         F.lit(None).cast("bigint").alias("id"), "company_id", "external_id", "title", "url",
         F.coalesce("source_url", "url").alias("source_url"), "description", "posted_date",
         dates.ts(as_of).alias("discovered_at"), F.lit("new").alias("status"), F.lit("new").alias("change"),
     )
-    return old.unionByName(fresh, allowMissingColumns=True)
+    return fresh, last
+
+
+def _refresh(stored: DataFrame, last: DataFrame, how: str) -> DataFrame:
+    old = stored.join(last, "id", how)
+    for c in REFRESHED:
+        old = old.withColumn(c, F.when(F.col("_hit"), F.coalesce(F.col(f"_{c}"), F.col(c))).otherwise(F.col(c)))
+    change = F.when(F.col("_hit"), "refreshed").otherwise("kept")
+    return old.withColumn("change", change).drop("_hit", *[f"_{c}" for c in REFRESHED])
+
+
+def ingest(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None = None, key: str = "seq") -> DataFrame:
+    """Stored postings after a batch, with ``change`` = kept, refreshed or new.
+
+    A duplicate refreshes the stored posting when it was posted after that one
+    was discovered; of several the last in the batch wins. A NULL in the batch
+    counts as absent. New rows have no id yet (see :func:`with_ids`).
+    """
+    fresh, last = _decided(stored, incoming, as_of, seen, key)
+    return _refresh(stored, last, "left").unionByName(fresh, allowMissingColumns=True)
+
+
+def ingest_changes(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None = None, key: str = "seq") -> DataFrame:
+    """Only the refreshed and new rows of :func:`ingest`."""
+    fresh, last = _decided(stored, incoming, as_of, seen, key)
+    return _refresh(stored, last, "inner").unionByName(fresh, allowMissingColumns=True)
 
 
 def simple_ingest(stored: DataFrame, incoming: DataFrame, key: str = "seq") -> DataFrame:
