@@ -31,9 +31,9 @@ def landed(t: Tables, df: DataFrame, part, label: str, files_per_batch: int | No
 
 
 def by_year(column: str):
-    """0, 1, 2 in time order: before 1995, before 1998, later."""
+    """0, 1, 2 in time order: before 1997, before 1999, later."""
     year = F.year(column)
-    return F.when(year < 1995, 0).when(year < 1998, 1).otherwise(2)
+    return F.when(year < 1997, 0).when(year < 1999, 1).otherwise(2)
 
 
 def finished(stream_query) -> None:

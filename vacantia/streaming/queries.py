@@ -81,7 +81,7 @@ def stuck_runs(starts: DataFrame, finishes: DataFrame, keys: list[str], late: st
     same = F.lit(True)
     for k in keys:
         same = same & (F.col(k) == F.col(f"_{k}"))
-    limit = dates.plus(F.col("started_at"), STUCK_MINUTES, "minute")
+    limit = F.col("started_at") + F.expr(f"INTERVAL {STUCK_MINUTES} MINUTES")
     in_time = (F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= limit)
     joined = s.join(f, same & in_time, "left_outer")
     return joined.filter(F.col("finished_at").isNull()).drop("finished_at", *[f"_{k}" for k in keys])
