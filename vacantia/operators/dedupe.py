@@ -8,78 +8,86 @@ from pyspark.sql import functions as F
 from vacantia.functions import dates, text, urls
 from vacantia.operators.joins import child_counts
 from vacantia.operators.scale import keep_first, paged_ids
+from vacantia.session import settled
 
 #: Days within which an equal external id of another company is the same posting.
 CROSS_COMPANY_DAYS = 7
+#: Rows up to which a batch of postings filters the stored ones by its keys.
+SMALL_BATCH = 200_000
+#: Scope of keys that hold across companies.
+ANY_COMPANY = -(2**63)
+TIERS = (1, 2, 3, 4)
 
 
 def _blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def _lookup(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Smallest stored id per key; one row per key whatever its number of copies."""
-    filled = rows
-    for k in keys:
-        filled = filled.filter(F.col(k).isNotNull())
-    return filled.groupBy(*keys).agg(F.min("id").alias(name))
+def _key_rows(rows: DataFrame, keep: list[str], *entries: tuple[int, Column, Column]) -> DataFrame:
+    """``keep`` columns with one ``tier, scope, k`` row per entry that has both."""
+    made = F.array(*[F.struct(F.lit(t).alias("tier"), scope.alias("scope"), k.alias("k")) for t, scope, k in entries])
+    return rows.select(*keep, F.inline(made)).filter(F.col("scope").isNotNull() & F.col("k").isNotNull())
 
 
-def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str = "seq") -> DataFrame:
+def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str = "seq", settle: bool = True) -> DataFrame:
     """Per incoming row the first tier that finds a stored posting, and its id.
 
     Tiers: 1 external id and company; 2 normalised URL, within the company when
     it is known; 3 normalised title and company; 4 the latest posting with that
-    external id, if it is at most 7 days old. Stored rows are first cut to one
-    row per key, so equal keys on both sides never multiply.
+    external id, if it is at most 7 days old. Of several the smallest id counts.
+
+    All tiers share one pass: both sides become (tier, scope, key) rows, stored
+    rows are cut to one per key by a hash aggregate, so equal keys on both sides
+    never multiply, and the hits of a row are folded by tier. A small batch first
+    filters the stored rows to its own keys without shuffling them.
+    ``settle=False`` when ``incoming`` is already a settled frame.
     """
-    new_url = F.when(F.coalesce(F.col("url"), F.lit("")) != "", F.col("url")).otherwise(F.col("source_url"))
+    any_scope = F.lit(ANY_COMPANY)
     company = F.col("company_id")
+    new_url = F.when(F.coalesce(F.col("url"), F.lit("")) != "", F.col("url")).otherwise(F.col("source_url"))
     wanted = incoming.select(
         F.col(key),
-        _blank_to_null(F.col("external_id")).alias("k_ext"),
         company.alias("k_company"),
-        _blank_to_null(urls.normalize_url(new_url)).alias("k_url"),
-        _blank_to_null(text.normalize_title(F.col("title"))).alias("k_title"),
-    )
-    wanted = wanted.withColumn("k_free_url", F.when(F.col("k_company").isNull(), F.col("k_url")))
-    slim = stored.select(
-        "id",
         _blank_to_null(F.col("external_id")).alias("k_ext"),
-        company.alias("k_company"),
+        _blank_to_null(urls.normalize_url(new_url)).alias("k_url"),
         _blank_to_null(text.normalize_title(F.col("title"))).alias("k_title"),
-        F.array_distinct(F.array(urls.normalize_url(F.col("url")), urls.normalize_url(F.col("source_url")))).alias("links"),
-        "discovered_at",
-    )
-    links = slim.select("id", "k_company", F.explode("links").alias("k_url")).filter(F.col("k_url") != "")
-    tier1 = _lookup(slim, ["k_ext", "k_company"], "t1")
-    tier2 = _lookup(links, ["k_url", "k_company"], "t2")
-    tier2_free = _lookup(links.withColumnRenamed("k_url", "k_free_url"), ["k_free_url"], "t2_free")
-    tier3 = _lookup(slim, ["k_title", "k_company"], "t3")
-    latest = F.max(F.struct("discovered_at", (-F.col("id")).alias("neg")))
-    horizon = dates.plus(dates.ts(as_of), -CROSS_COMPANY_DAYS, "day")
-    tier4 = (
-        slim.filter(F.col("k_ext").isNotNull() & F.col("discovered_at").isNotNull())
-        .groupBy("k_ext")
-        .agg(latest.alias("last"))
-        .filter(F.col("last.discovered_at") >= horizon)
-        .select("k_ext", (-F.col("last.neg")).alias("t4"))
     )
-    out = (
-        wanted.join(tier1, ["k_ext", "k_company"], "left")
-        .join(tier2, ["k_url", "k_company"], "left")
-        .join(tier3, ["k_title", "k_company"], "left")
-        .join(tier4, "k_ext", "left")
-        .join(tier2_free, "k_free_url", "left")
+    if settle:
+        wanted = settled(wanted, "wanted")
+    facts = wanted.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("k_company").isNull()).alias("free")).first()
+    url_scope = F.coalesce(F.col("k_company"), any_scope)
+    asked = _key_rows(
+        wanted, [key],
+        (1, F.col("k_company"), F.col("k_ext")),
+        (2, url_scope, F.col("k_url")),
+        (3, F.col("k_company"), F.col("k_title")),
+        (4, any_scope, F.col("k_ext")),
     )
-    second = F.coalesce(F.col("t2"), F.col("t2_free"))
-    tier = (
-        F.when(F.col("t1").isNotNull(), 1)
-        .when(second.isNotNull(), 2)
-        .when(F.col("t3").isNotNull(), 3)
-        .when(F.col("t4").isNotNull(), 4)
+
+    ext = _blank_to_null(F.col("external_id"))
+    links = [_blank_to_null(urls.normalize_url(F.col(c))) for c in ("url", "source_url")]
+    scopes = [company, any_scope] if facts["free"] else [company]
+    offered = _key_rows(
+        stored, ["id"],
+        (1, company, ext),
+        *[(2, scope, link) for link in links for scope in scopes],
+        (3, company, _blank_to_null(text.normalize_title(F.col("title")))),
     )
-    return out.select(key, tier.alias("tier"), F.coalesce(F.col("t1"), second, F.col("t3"), F.col("t4")).alias("match_id"))
+    horizon = dates.plus(dates.ts(as_of), -CROSS_COMPANY_DAYS, "day")
+    # the latest posting is recent only if it is among the recent ones
+    recent = _key_rows(stored.filter(F.col("discovered_at") >= horizon), ["id", "discovered_at"], (4, any_scope, ext))
+    on = ["tier", "scope", "k"]
+    if facts["rows"] <= SMALL_BATCH:
+        keys = asked.select(*on)
+        offered, recent = offered.join(keys, on, "left_semi"), recent.join(keys, on, "left_semi")
+    found = offered.groupBy(*on).agg(F.min("id").alias("id"))
+    last = recent.groupBy(*on).agg(F.max(F.struct("discovered_at", (-F.col("id")).alias("neg"))).alias("last"))
+    lookup = found.unionByName(last.select(*on, (-F.col("last.neg")).alias("id")))
+
+    hits = asked.join(lookup, on).groupBy(key).agg(*[F.min(F.when(F.col("tier") == n, F.col("id"))).alias(f"t{n}") for n in TIERS])
+    tier = F.coalesce(*[F.when(F.col(f"t{n}").isNotNull(), n) for n in TIERS])
+    out = wanted.select(key).join(hits, key, "left")
+    return out.select(key, tier.alias("tier"), F.coalesce(*[F.col(f"t{n}") for n in TIERS]).alias("match_id"))
 
 
 def duplicate_groups(jobs: DataFrame) -> DataFrame:

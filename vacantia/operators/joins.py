@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import dates, scores, text, urls
 from vacantia.operators.filters import desc
 from vacantia.operators.scale import top_rows
+from vacantia.session import settled
 
 #: Threshold of the task generator and the number of salts of whole-table scopes.
 TASK_SCORE = 50
@@ -167,8 +168,9 @@ def keyword_hits(jobs: DataFrame, keywords: DataFrame) -> DataFrame:
         F.flatten(F.transform(starts, lambda p: F.transform(sizes, lambda n: F.substring(F.col("word"), p, n))))
     )
     by_gram = vocabulary.select("word", F.explode(grams).alias("gram"))
-    wanted = keywords.select("keyword").distinct().withColumn("gram", F.substring("keyword", 1, GRAM))
+    wanted = settled(keywords.select("keyword").distinct().withColumn("gram", F.substring("keyword", 1, GRAM)), "keywords")
     pairs = by_gram.join(wanted, "gram").filter(F.contains(F.col("word"), F.col("keyword"))).select("word", "keyword")
+    pairs = settled(pairs, "keyword-words")
     return words.join(pairs, "word").select("job_id", "keyword").distinct()
 
 
@@ -189,13 +191,13 @@ def search_matches(searches: DataFrame, jobs: DataFrame, companies: DataFrame) -
         F.lower(F.coalesce(F.col("job_type"), F.lit(""))).alias("type"),
     ).join(active, "company_id", "left_semi")
 
-    tokens = live.select("search_id", F.explode("tokens").alias("keyword"))
-    hits = keyword_hits(jobs, tokens)
-    told = live.filter(F.size("tokens") > 0)
-    # searches with words: through the words, then the company scope
-    by_word = tokens.join(hits, "keyword").select("search_id", "job_id").distinct()
-    worded = by_word.join(told.drop("tokens"), "search_id").join(posts, "job_id")
-    worded = worded.filter((F.size("targets") == 0) | F.array_contains(F.col("targets"), F.col("company_id")))
+    wanted = live.select("search_id", "targets", "remote_only", "wanted_type", F.explode("tokens").alias("keyword"))
+    hits = keyword_hits(jobs, wanted).join(posts, "job_id")
+    # searches with words: by word and company, or by word alone where every company will do
+    named = wanted.filter(F.size("targets") > 0).withColumn("company_id", F.explode(F.array_distinct("targets"))).drop("targets")
+    open_ones = wanted.filter(F.size("targets") == 0).drop("targets")
+    shown = ["search_id", "job_id", "remote_only", "is_remote", "wanted_type", "type"]
+    worded = named.join(hits, ["keyword", "company_id"]).select(*shown).unionByName(open_ones.join(hits, "keyword").select(*shown))
     # searches without words: through the companies only
     silent = live.filter(F.size("tokens") == 0).drop("tokens", "targets")
     scope = search_targets(searches, companies)
@@ -204,7 +206,8 @@ def search_matches(searches: DataFrame, jobs: DataFrame, companies: DataFrame) -
         (F.col("wanted_type") == "") | F.contains(F.col("type"), F.col("wanted_type"))
     )
     columns = ["search_id", "job_id"]
-    return worded.filter(fits).select(*columns).unionByName(unworded.filter(fits).select(*columns))
+    by_word = worded.filter(fits).select(*columns).distinct()
+    return by_word.unionByName(unworded.filter(fits).select(*columns))
 
 
 def job_context(jobs: DataFrame, sections: Mapping[str, DataFrame], job_id: int | None = None) -> DataFrame:

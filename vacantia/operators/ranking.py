@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import dates
 from vacantia.operators.filters import desc
 from vacantia.operators.scale import keep_first, ordinals, salted_join, top_rows
+from vacantia.session import settled
 
 LAST_SEEN_CAP = 500
 COMPANY_CAP = 1500
@@ -105,16 +106,24 @@ def discovery_order(records: DataFrame, limit: int | None = 100) -> DataFrame:
     return top_rows(records, [F.col("priority").desc(), linkedin.desc(), indeed.desc(), F.col("seq")], limit)
 
 
-def rows_since_last(rows: DataFrame, keys: list[str], reset: Column, order: list[str]) -> DataFrame:
+def rows_since_last(
+    rows: DataFrame, keys: list[str], reset: Column, order: list[str], tops: DataFrame | None = None
+) -> DataFrame:
     """Rows of each key after its last ``reset`` row in ``order``.
 
-    The last reset is a map-side combined maximum per key; rows meet it through
-    a salted join, so a key of any size is spread over tasks and no key is
-    sorted as a whole.
+    ``order[0]`` is a plain time, so its last reset per key is a hash aggregate.
+    It is settled: small, it filters the rows without a shuffle; large, the rows
+    meet it through a salted join. The other order columns then decide among the
+    rows of that one time. No key is ever sorted as a whole. ``tops`` may bring
+    the last times (``keys``, ``_top``) when they are known already.
     """
+    head = F.col(order[0])
+    if tops is None:
+        tops = settled(rows.filter(reset).groupBy(*keys).agg(F.max(head).alias("_top")), "last-reset")
+    tail = salted_join(rows, tops, keys, "left").filter(F.col("_top").isNull() | (head >= F.col("_top")))
     place = F.struct(*[F.col(c) for c in order])
-    last = rows.filter(reset).groupBy(*keys).agg(F.max(place).alias("_last"))
-    out = salted_join(rows, last, keys, "left")
+    last = settled(tail.filter(reset).groupBy(*keys).agg(F.max(place).alias("_last")), "last-place")
+    out = salted_join(tail.drop("_top"), last, keys, "left")
     return out.filter(F.col("_last").isNull() | (place > F.col("_last"))).drop("_last")
 
 
@@ -127,11 +136,14 @@ def empty_crawl_streaks(logs: DataFrame, as_of: str, order: list[str]) -> DataFr
         F.max("started_at").alias("last_crawled_at"),
         F.max(F.when(found, F.col("completed_at"))).alias("last_successful_crawl"),
         F.coalesce(F.sum(F.when(found, F.col("new_jobs"))), F.lit(0)).cast("bigint").alias("jobs_found_total"),
+        F.max(F.when(found, F.col(order[0]))).alias("_top"),
     )
-    streak = rows_since_last(done, ["company_id"], found, order).groupBy("company_id").agg(
+    totals = settled(totals, "crawl-totals")
+    tops = totals.select("company_id", "_top").filter(F.col("_top").isNotNull())
+    streak = rows_since_last(done, ["company_id"], found, order, tops).groupBy("company_id").agg(
         F.count(F.lit(1)).alias("consecutive_empty_crawls")
     )
-    out = totals.join(streak, "company_id", "left")
+    out = totals.drop("_top").join(streak, "company_id", "left")
     return out.withColumn("consecutive_empty_crawls", F.coalesce("consecutive_empty_crawls", F.lit(0)))
 
 

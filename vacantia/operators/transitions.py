@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import dates, scores, urls
 from vacantia.operators import dedupe, filters, joins, ranking
 from vacantia.operators.scale import keep_first, ordinals
+from vacantia.session import settled
 
 AUTO_APPROVE = 70.0
 REFRESHED = ("description", "posted_date", "url", "source_url")
@@ -29,12 +30,14 @@ def _decided(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame
     batch = new_postings(incoming, key)
     if seen is not None:
         batch = filters.unseen_postings(batch, seen)
-    decided = batch.join(dedupe.find_duplicates(batch, stored, as_of, key), key)
+    batch = settled(batch, "batch")
+    decided = settled(batch.join(dedupe.find_duplicates(batch, stored, as_of, key, settle=False), key), "decided")
     known = stored.select(F.col("id").alias("match_id"), F.col("discovered_at").alias("_found_at"))
     later = decided.filter(F.col("match_id").isNotNull()).join(known, "match_id").filter(F.col("posted_date") > F.col("_found_at"))
     last = keep_first(later, ["match_id"], [F.col(key).desc()]).select(
         F.col("match_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in REFRESHED], F.lit(True).alias("_hit")
     )
+    last = settled(last, "refreshes")
     fresh = decided.filter(F.col("match_id").isNull()).select(
         F.lit(None).cast("bigint").alias("id"), "company_id", "external_id", "title", "url",
         F.coalesce("source_url", "url").alias("source_url"), "description", "posted_date",

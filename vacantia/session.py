@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings the operators rely on. The join settings let AQE split a
 #: hot key even where the split costs one more shuffle.
@@ -62,3 +62,15 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder name of the shared folder (nothing is created)."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write a frame to the shared folder once and read it back.
+
+    The result is computed once however often it is used, survives lost
+    executors, and has a known size, so Spark broadcasts it only where its
+    files are under the broadcast limit and shuffles it otherwise.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
