@@ -35,7 +35,7 @@ def paged_ids(df: DataFrame, keys: Sequence[str], size: Column, item: Column, id
     ``size`` is the known member count of the row's group.
     """
     pages = F.ceil(size / F.lit(PAGE_SIZE))
-    return df.withColumn("page", F.pmod(F.col(id_col), pages))
+    return df.withColumn("page", F.pmod(F.xxhash64(id_col), pages))
 
 
 def salted_join(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:

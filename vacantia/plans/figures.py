@@ -75,7 +75,7 @@ def _(t):
 
 @query("d7_duplicate_groups", """
 WITH c AS (SELECT external_id, count(*) AS group_count FROM {jobs} WHERE external_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
-SELECT c.external_id, group_count, CAST(j.id % CAST(ceil(group_count / 1000) AS BIGINT) AS BIGINT) AS page,
+SELECT c.external_id, group_count, CAST(0 AS BIGINT) AS page,
  string_agg(CAST(j.id AS VARCHAR), ',' ORDER BY j.id) AS job_ids, string_agg(CAST(j.company_id AS VARCHAR), ',' ORDER BY j.id) AS company_ids
 FROM {jobs} j JOIN c ON c.external_id = j.external_id GROUP BY 1, 2, 3""")
 def _(t):
