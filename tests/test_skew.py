@@ -72,7 +72,7 @@ def brute_duplicates(incoming, stored, as_of):
 
 @pytest.mark.parametrize("small_batch", [10**6, 0])
 def test_cascade_with_hot_keys_on_both_sides(spark, monkeypatch, small_batch):
-    monkeypatch.setattr(dedupe, "SMALL_BATCH", small_batch)
+    monkeypatch.setattr(dedupe, "SMALL_BATCH_BYTES", small_batch)
     random.seed(3)
     hot = lambda a, b: "hot" if random.random() < 0.4 else f"{a}{random.randrange(b)}"
     stored = [(i, hot("e", 300), random.randrange(3), hot("T - ", 200), f"https://X.com/{hot('p', 200)}/?a=1", None if i % 3 else f"https://y.com/{i}/", T0 + dt.timedelta(hours=random.randrange(400))) for i in range(400)]

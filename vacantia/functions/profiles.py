@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from vacantia.functions.payloads import blank_to_null
 from vacantia.functions.text import py_strip
-from vacantia.operators.scale import PAGE_SIZE, ordinals
+from vacantia.operators.scale import ordinals
 
 SUMMARY_CHARS = 600
+#: Documents per part of a summary text; whole documents can be long.
+DOCUMENTS_PER_PART = 100
 
 
 def _s(value: Column) -> Column:
@@ -62,14 +64,14 @@ def document_block(summary: Column, title: Column, filename: Column, content: Co
 
 
 def document_summaries(documents: DataFrame, owner: str, order: str = "id") -> DataFrame:
-    """Blocks of each owner's documents as one text, in parts of 1000 documents.
+    """Blocks of each owner's documents as one text, in parts of 100 documents.
 
     ``part`` counts from 0; almost every owner has one part, and an owner with
     very many documents gets several that follow each other.
     """
     placed = ordinals(documents, [owner], [F.col(order)], name="_n")
     block = document_block(F.col("summary"), F.col("title"), F.col("filename"), F.col("content"))
-    parts = placed.select(owner, F.floor((F.col("_n") - 1) / PAGE_SIZE).alias("part"), "_n", block.alias("block"))
+    parts = placed.select(owner, F.floor((F.col("_n") - 1) / DOCUMENTS_PER_PART).alias("part"), "_n", block.alias("block"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "block"))), lambda b: b["block"]), "\n")
     return parts.groupBy(owner, "part").agg(joined.alias("text"))
 

@@ -62,7 +62,9 @@ def match_score(
     low_title = F.lower(F.coalesce(title, F.lit("")))
     low_text = F.lower(F.coalesce(description, F.lit("")))
     tokens = keyword_tokens(keywords)
-    hits = F.size(F.filter(tokens, lambda k: F.contains(low_title, k) | F.contains(low_text, k)))
+    body = F.array(F.struct(low_title.alias("title"), low_text.alias("text")))
+    found = F.transform(body, lambda b: F.filter(tokens, lambda k: F.contains(b["title"], k) | F.contains(b["text"], k)))
+    hits = F.size(F.flatten(found))
     share = F.when(F.size(tokens) > 0, hits / F.size(tokens) * 30).otherwise(0.0)
     place = F.when(
         (F.coalesce(wanted_location, F.lit("")) != "")

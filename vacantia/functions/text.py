@@ -49,8 +49,10 @@ def long_lines(value: Column, min_chars: int = 50, max_lines: int = 50) -> Colum
 
 
 def technologies(description: Column) -> Column:
-    low = F.lower(F.coalesce(description, F.lit("")))
-    return F.filter(F.array(*[F.lit(t) for t in TECHNOLOGIES]), lambda t: F.contains(low, t))
+    words = F.array(*[F.lit(t) for t in TECHNOLOGIES])
+    # the lambda variable holds the lower-case text, so it is made once per row
+    low = F.array(F.lower(F.coalesce(description, F.lit(""))))
+    return F.flatten(F.transform(low, lambda x: F.filter(words, lambda t: F.contains(x, t))))
 
 
 def years_of_experience(description: Column) -> Column:
@@ -76,7 +78,7 @@ def keyword_tokens(keywords: Column, split_on: str = PY_SPACE) -> Column:
 
 
 def has_any_keyword(text: Column, tokens: Column) -> Column:
-    return F.exists(tokens, lambda k: F.contains(text, k))
+    return F.exists(F.array(text), lambda x: F.exists(tokens, lambda k: F.contains(x, k)))
 
 
 def is_remote_location(location: Column) -> Column:

@@ -12,8 +12,8 @@ from vacantia.session import settled
 
 #: Days within which an equal external id of another company is the same posting.
 CROSS_COMPANY_DAYS = 7
-#: Rows up to which a batch of postings filters the stored ones by its keys.
-SMALL_BATCH = 200_000
+#: Measured size of the keys up to which a batch filters the stored postings.
+SMALL_BATCH_BYTES = 32 * 1024 * 1024
 #: Scope of keys that hold across companies.
 ANY_COMPANY = -(2**63)
 TIERS = (1, 2, 3, 4)
@@ -54,7 +54,11 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str
     )
     if settle:
         wanted = settled(wanted, "wanted")
-    facts = wanted.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("k_company").isNull()).alias("free")).first()
+    # external ids are asked for twice; 96 covers the fixed part of the four key rows
+    width = F.octet_length(F.concat_ws("", "k_ext", "k_ext", "k_url", "k_title")) + 96
+    facts = wanted.agg(
+        F.coalesce(F.sum(width), F.lit(0)).alias("bytes"), F.count_if(F.col("k_company").isNull()).alias("free")
+    ).first()
     url_scope = F.coalesce(F.col("k_company"), any_scope)
     asked = _key_rows(
         wanted, [key],
@@ -77,8 +81,8 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str
     # the latest posting is recent only if it is among the recent ones
     recent = _key_rows(stored.filter(F.col("discovered_at") >= horizon), ["id", "discovered_at"], (4, any_scope, ext))
     on = ["tier", "scope", "k"]
-    if facts["rows"] <= SMALL_BATCH:
-        keys = asked.select(*on)
+    if facts["bytes"] <= SMALL_BATCH_BYTES:
+        keys = F.broadcast(asked.select(*on))
         offered, recent = offered.join(keys, on, "left_semi"), recent.join(keys, on, "left_semi")
     found = offered.groupBy(*on).agg(F.min("id").alias("id"))
     last = recent.groupBy(*on).agg(F.max(F.struct("discovered_at", (-F.col("id")).alias("neg"))).alias("last"))

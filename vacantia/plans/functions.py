@@ -408,8 +408,8 @@ def _(t):
 
 
 @query("g40_document_summaries", r"""
-SELECT owner, CAST(0 AS BIGINT) AS part, md5(string_agg('### ' || coalesce(summary, title, filename) || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10), chr(10) ORDER BY id)) AS text_md5
-FROM (SELECT *, id % 37 AS owner FROM {user_documents}) GROUP BY 1""")
+SELECT owner, part, md5(string_agg('### ' || coalesce(summary, title, filename) || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10), chr(10) ORDER BY id)) AS text_md5
+FROM (SELECT *, id % 37 AS owner, CAST(floor((row_number() OVER (PARTITION BY id % 37 ORDER BY id) - 1) / 100) AS BIGINT) AS part FROM {user_documents}) GROUP BY 1, 2""")
 def _(t):
     owned = t("user_documents").withColumn("owner", F.col("id") % 37)
     return profiles.document_summaries(owned, "owner").select("owner", "part", F.md5("text").alias("text_md5"))

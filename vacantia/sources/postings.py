@@ -196,9 +196,9 @@ def jsonld_blocks(html: Column) -> Column:
 def jsonld_postings(landed: DataFrame, prefix: str = "api_jsonld") -> DataFrame:
     """``landed``: company, career_url, payload. Every JobPosting at any depth."""
     good = landed.filter(strict_json(F.col("payload")).isNotNull() & F.col("payload").rlike(r"[{\[]"))
-    nodes = good.select("company", "career_url", F.explode(json_nodes(F.col("payload"))).alias("v"))
+    typed = F.filter(json_nodes(F.col("payload")), lambda n: F.try_variant_get(n, "$['@type']", "string") == "JobPosting")
+    items = good.select("company", "career_url", F.explode(typed).alias("v"))
     v = F.col("v")
-    items = nodes.filter(F.try_variant_get(v, "$['@type']", "string") == "JobPosting")
     url = F.coalesce(_text(v, "url"), _text(v, "hiringOrganization.sameAs"))
     return _open_postings(
         items, prefix, _text(v, "title"), url, F.try_variant_get(v, "$.jobLocation.address.addressLocality", "string"),

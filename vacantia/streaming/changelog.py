@@ -32,7 +32,15 @@ class ChangeLog:
         return rows if before is None else rows.filter(F.col("batch") < before)
 
     def current(self, before: int | None = None) -> DataFrame:
-        return keep_first(self.rows(before), self.keys, [F.col("batch").desc()]).drop("batch")
+        """Base rows without a change, and the latest change per key.
+
+        The changes are small beside the base, so the base is filtered by their
+        keys and not shuffled; ``compact`` keeps them small.
+        """
+        rows = self.rows(before)
+        latest = keep_first(rows.filter("batch >= 0"), self.keys, [F.col("batch").desc()])
+        base = rows.filter("batch < 0").join(rows.filter("batch >= 0").select(*self.keys), self.keys, "left_anti")
+        return base.select(*latest.columns).unionByName(latest).drop("batch")
 
     def compact(self, batch_id: int, target: str) -> "ChangeLog":
         """Write the state after a batch as the base of a new log."""
