@@ -88,9 +88,11 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str
     last = recent.groupBy(*on).agg(F.max(F.struct("discovered_at", (-F.col("id")).alias("neg"))).alias("last"))
     lookup = found.unionByName(last.select(*on, (-F.col("last.neg")).alias("id")))
 
-    hits = asked.join(lookup, on).groupBy(key).agg(*[F.min(F.when(F.col("tier") == n, F.col("id"))).alias(f"t{n}") for n in TIERS])
+    hits = asked.join(lookup, on).select(key, "tier", "id")
+    # one bare row per posting keeps those without a hit
+    every = wanted.select(key, F.lit(None).cast("int").alias("tier"), F.lit(None).cast("bigint").alias("id"))
+    out = hits.unionByName(every).groupBy(key).agg(*[F.min(F.when(F.col("tier") == n, F.col("id"))).alias(f"t{n}") for n in TIERS])
     tier = F.coalesce(*[F.when(F.col(f"t{n}").isNotNull(), n) for n in TIERS])
-    out = wanted.select(key).join(hits, key, "left")
     return out.select(key, tier.alias("tier"), F.coalesce(*[F.col(f"t{n}") for n in TIERS]).alias("match_id"))
 
 
