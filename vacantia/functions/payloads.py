@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacantia.functions.text import py_strip
+
 FENCE = "```"
 
 
@@ -102,4 +104,4 @@ def names_of(items: Column) -> Column:
 
 
 def blank_to_null(value: Column) -> Column:
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.nullif(py_strip(value), F.lit(""))

@@ -415,12 +415,12 @@ def _(t):
     return profiles.document_summaries(owned, "owner").select("owner", "part", F.md5("text").alias("text_md5"))
 
 
-@query("g41_job_summaries", """
-SELECT id, substring(CASE WHEN id % 3 = 0 THEN trim(substring(description, 1, 900)) WHEN id % 3 = 1 THEN 'Profile' ELSE title || ' at ' || company || '.' END, 1, 600) AS summary
-FROM {jobs} WHERE id % 3 <> 0 OR coalesce(trim(substring(description, 1, 900)), '') <> ''
-UNION ALL SELECT id, title || ' at ' || company || '.' FROM {jobs} WHERE id % 3 = 0 AND coalesce(trim(substring(description, 1, 900)), '') = ''""")
+@query("g41_job_summaries", r"""
+SELECT id, substring(CASE WHEN kind = 0 THEN body WHEN kind = 1 THEN 'Profile' ELSE title || ' at ' || company || '.' END, 1, 600) AS summary
+FROM (SELECT id, title, company, CASE WHEN id % 3 = 0 AND coalesce(stripped, '') = '' THEN 2 ELSE id % 3 END AS kind, stripped AS body FROM (
+ SELECT *, regexp_replace(description, '^\s+|\s+$', '', 'g') AS stripped FROM {jobs}))""")
 def _(t):
     i = F.col("id")
-    role = F.when(i % 3 == 0, F.substring("description", 1, 900)).otherwise("  ")
+    role = F.when(i % 3 == 0, F.col("description")).otherwise("  ")
     profile = F.when(i % 3 == 1, "Profile")
     return t("jobs").select("id", profiles.job_summary(role, profile, F.col("title"), F.col("company")).alias("summary"))

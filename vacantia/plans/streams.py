@@ -43,7 +43,8 @@ def finished(stream_query) -> None:
 @query("h1_ingest_stream", INGEST + " SELECT company_id, external_id, title, url, posted_date, status FROM after")
 def _(t):
     incoming = t("incoming").select("seq", "external_id", "company_id", "title", "url", "source_url", "description", "posted_date")
-    part = F.when(F.col("seq") % 2 == 1, 2).otherwise(F.pmod(F.floor(F.col("seq") / 1000), F.lit(2)))
+    middle = incoming.agg((F.max("seq") / 2).alias("m")).scalar()
+    part = F.when(F.col("seq") % 2 == 1, 2).when(F.col("seq") < middle, 0).otherwise(1)
     base = t("stored_jobs").withColumn("change", F.lit("kept"))
     store = ChangeLog(t.spark, work_path(t.spark, "postings"), ["id"], ddl(base))
     store.start(base)

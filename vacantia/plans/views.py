@@ -130,7 +130,7 @@ FROM {supplier}""",
     "stored_jobs": """
 SELECT j.id, j.company_id, j.external_id, concat(j.title, ' ', CAST(j.id AS STRING)) AS title, j.url, j.source_url,
  j.description, j.posted_date, j.discovered_at, j.status
-FROM {jobs} j WHERE j.id % 10 < 5""",
+FROM {jobs} j""",
     "incoming": """
 SELECT i.seq, i.external_id, i.company_id, i.title, i.url, i.source_url, i.description, i.posted_date, i.location
 FROM (
@@ -146,11 +146,11 @@ FROM (
   CASE WHEN j.id % 7 = 0 THEN NULL ELSE concat('refreshed ', CAST(j.id AS STRING)) END AS description,
   CASE WHEN j.id % 9 = 0 THEN NULL WHEN j.id % 2 = 0 THEN j.discovered_at + INTERVAL '1' DAY ELSE j.discovered_at - INTERVAL '1' DAY END AS posted_date,
   j.location AS location
- FROM {jobs} j WHERE j.id % 3 = 0
+ FROM {jobs} j
  UNION ALL
- SELECT j.id * 2 + 1, concat('new_', CAST(j.id AS STRING)), j.company_id, concat('Brand New ', CAST(j.id AS STRING)),
-  concat('https://jobs.example.com/n/', CAST(j.id AS STRING)), NULL, 'again', NULL, j.location
- FROM {jobs} j WHERE j.id % 15 = 9
+ SELECT j.id * 2 + 1, concat(CASE WHEN j.id % 5 = 4 THEN 'new_' ELSE 'again_' END, CAST(j.id AS STRING)), j.company_id, concat('Brand New ', CAST(j.id AS STRING)),
+  concat('https://jobs.example.com/again/', CAST(j.id AS STRING)), NULL, 'again', NULL, j.location
+ FROM {jobs} j
 ) i""",
     "user_documents": """
 SELECT doc_id AS id, concat(source, '-', CAST(doc_id AS STRING), '.txt') AS filename,

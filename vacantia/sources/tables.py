@@ -37,10 +37,9 @@ def write_version(df: DataFrame, root: str, name: str | None = None) -> str:
     path = next_version(root)
     column = PARTITION_BY.get(name or "")
     if column and column in df.columns:
-        day = F.to_date(column)
-        df.withColumn(f"{column}_day", day).repartition(F.col(f"{column}_day"), F.pmod(F.xxhash64(*df.columns), F.lit(32))).write.partitionBy(
-            f"{column}_day"
-        ).parquet(path)
+        # rebalance cuts a big day into several files and joins small ones
+        dated = df.withColumn(f"{column}_day", F.to_date(column)).hint("rebalance", f"{column}_day")
+        dated.write.partitionBy(f"{column}_day").parquet(path)
     else:
         df.write.parquet(path)
     return path
