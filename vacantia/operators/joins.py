@@ -158,17 +158,20 @@ def keyword_hits(jobs: DataFrame, keywords: DataFrame) -> DataFrame:
     matching words are joined back to the postings that hold them.
     """
     body = F.concat_ws(" ", F.lower(F.coalesce(F.col("title"), F.lit(""))), F.lower(F.coalesce(F.col("description"), F.lit(""))))
-    words = jobs.select(
-        F.col("id").alias("job_id"), F.explode(F.array_distinct(F.split(body, text.PY_SPACE))).alias("word")
-    )
+    # repeats of a word within a text fall to the map-side combine of the two distincts
+    words = jobs.select(F.col("id").alias("job_id"), F.explode(F.split(body, text.PY_SPACE)).alias("word"))
     vocabulary = words.select("word").filter(F.col("word") != "").distinct()
-    starts = F.sequence(F.lit(1), F.length("word"))
-    sizes = F.sequence(F.lit(1), F.lit(GRAM))
-    grams = F.array_distinct(
-        F.flatten(F.transform(starts, lambda p: F.transform(sizes, lambda n: F.substring(F.col("word"), p, n))))
-    )
-    by_gram = vocabulary.select("word", F.explode(grams).alias("gram"))
     wanted = settled(keywords.select("keyword").distinct().withColumn("gram", F.substring("keyword", 1, GRAM)), "keywords")
+    # at most GRAM different lengths; words are cut only to lengths that some keyword has
+    sizes = sorted(r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect())
+
+    def cuts(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("word") - (n - 1))
+        made = F.transform(starts, lambda p: F.substring(F.col("word"), p, F.lit(n)))
+        return F.when(F.length("word") >= n, made).otherwise(F.array().cast("array<string>"))
+
+    nothing = F.array().cast("array<string>")
+    by_gram = vocabulary.select("word", F.explode(F.concat(nothing, *[cuts(n) for n in sizes])).alias("gram"))
     pairs = by_gram.join(wanted, "gram").filter(F.contains(F.col("word"), F.col("keyword"))).select("word", "keyword")
     pairs = settled(pairs, "keyword-words")
     return words.join(pairs, "word").select("job_id", "keyword").distinct()
