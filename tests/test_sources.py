@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from vacantia.functions import dates
 from vacantia.functions.payloads import match_response, strict_json
 from vacantia.operators.filters import verified_records
 from vacantia.operators.ranking import capped_records
@@ -111,3 +112,12 @@ def test_table_versions_stand_side_by_side(spark, tmp_path):
     dated = spark.sql("SELECT 1L AS id, TIMESTAMP'2001-01-02 03:00:00' AS discovered_at")
     path = tables.write_version(dated, str(tmp_path), "jobs")
     assert spark.read.parquet(path).filter("discovered_at_day = DATE'2001-01-02'").count() == 1
+
+
+def test_day_bounds_prune_folders(spark, tmp_path):
+    days = spark.sql("SELECT id, TIMESTAMP'2001-01-01 12:00:00' + make_interval(0, 0, 0, CAST(id AS INT)) AS discovered_at, 50D AS ai_match_score FROM range(10)")
+    stored = tables.scan(spark, tables.write_version(days, str(tmp_path), "jobs"))
+    kept = dates.in_range(stored, "discovered_at", since=dates.plus(dates.ts("2001-01-09"), -3, "day"), before=dates.ts("2001-01-09 12:00:00"))
+    assert sorted(r["id"] for r in kept.collect()) == [5, 6, 7]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(discovered_at_day" in plan

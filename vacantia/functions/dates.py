@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,26 @@ def plus(when: Column, amount: Column | int, unit: str) -> Column:
     return when + F.make_interval(**{slot: amount})
 
 
+def in_range(rows: DataFrame, column: str, since: Column | None = None, before: Column | None = None, through: Column | None = None) -> DataFrame:
+    """Rows with ``since <= column``, ``column < before``, ``column <= through``.
+
+    A table split by day has ``<column>_day``; the same bounds on it let the scan
+    skip the folders of other days.
+    """
+    day = F.col(f"{column}_day") if f"{column}_day" in rows.columns else None
+    for bound, test, on_day in (
+        (since, lambda c, b: c >= b, lambda d, b: d >= b),
+        (before, lambda c, b: c < b, lambda d, b: d <= b),
+        (through, lambda c, b: c <= b, lambda d, b: d <= b),
+    ):
+        if bound is None:
+            continue
+        rows = rows.filter(test(F.col(column), bound))
+        if day is not None:
+            rows = rows.filter(on_day(day, F.to_date(bound)))
+    return rows
+
+
 def relative_date(text: Column, as_of: Column) -> Column:
     """``3 days ago``, ``Just posted``, ``30+ days ago`` … relative to as_of."""
     low = F.lower(F.coalesce(text, F.lit("")))

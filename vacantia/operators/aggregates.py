@@ -56,7 +56,7 @@ def company_summary(companies: DataFrame) -> DataFrame:
 
 
 def latest_logs(logs: DataFrame, as_of: str, limit: int, ties: tuple[str, ...]) -> DataFrame:
-    past = logs.filter(F.col("started_at") < dates.ts(as_of))
+    past = dates.in_range(logs, "started_at", before=dates.ts(as_of))
     return top_rows(past, [desc("started_at"), *[F.col(c) for c in ties]], limit)
 
 
@@ -83,7 +83,7 @@ def company_crawl_totals(logs: DataFrame, as_of: str) -> DataFrame:
 
 def combined_metrics(logs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     now = dates.ts(as_of)
-    recent = logs.filter((F.col("started_at") >= dates.plus(now, -days, "day")) & (F.col("started_at") < now))
+    recent = dates.in_range(logs, "started_at", since=dates.plus(now, -days, "day"), before=now)
     done = F.col("status") == "completed"
     seconds = dates.seconds_between(F.col("started_at"), F.col("completed_at"))
     totals = recent.agg(
@@ -101,7 +101,7 @@ def combined_metrics(logs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 
 def feedback_counts(feedback: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     since = dates.plus(dates.ts(as_of), -days, "day")
-    kept = feedback.filter(F.col("created_at") >= since)
+    kept = dates.in_range(feedback, "created_at", since=since)
     return kept.groupBy("feedback_type", "feedback_value").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -79,7 +79,7 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str
     )
     horizon = dates.plus(dates.ts(as_of), -CROSS_COMPANY_DAYS, "day")
     # the latest posting is recent only if it is among the recent ones
-    recent = _key_rows(stored.filter(F.col("discovered_at") >= horizon), ["id", "discovered_at"], (4, any_scope, ext))
+    recent = _key_rows(dates.in_range(stored, "discovered_at", since=horizon), ["id", "discovered_at"], (4, any_scope, ext))
     on = ["tier", "scope", "k"]
     if facts["bytes"] <= SMALL_BATCH_BYTES:
         keys = F.broadcast(asked.select(*on))

@@ -167,7 +167,7 @@ def crawl_log_list(
 ) -> DataFrame:
     """Latest logs with company and class; the class filter comes after the limit."""
     since = dates.plus(dates.ts(as_of), -hours, "hour")
-    logs = logs.filter((F.col("started_at") >= since) & (F.col("started_at") < dates.ts(as_of)))
+    logs = dates.in_range(logs, "started_at", since=since, before=dates.ts(as_of))
     if status:
         logs = logs.filter(F.col("status") == status)
     latest = top_rows(logs, [desc("started_at"), *[F.col(c) for c in ties]], limit)

@@ -40,7 +40,7 @@ def with_counts(parents: DataFrame, key: str, **children: tuple[DataFrame, str])
 def score_discrepancy(jobs: DataFrame, feedback: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Mean of AI score minus the user's score; a mean of exactly 0 is NULL."""
     since = dates.plus(dates.ts(as_of), -days, "day")
-    told = feedback.filter((F.col("created_at") >= since) & F.col("ai_match_score_actual").isNotNull())
+    told = dates.in_range(feedback, "created_at", since=since).filter(F.col("ai_match_score_actual").isNotNull())
     scored = jobs.filter(F.col("ai_match_score").isNotNull()).select(F.col("id").alias("job_id"), "ai_match_score")
     gap = F.avg(F.col("ai_match_score") - F.col("ai_match_score_actual"))
     return told.join(scored, "job_id").agg(F.nullif(gap, F.lit(0.0)).alias("avg_discrepancy"))

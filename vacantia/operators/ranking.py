@@ -18,9 +18,8 @@ DEFAULT_CRAWL_SECONDS = 30
 def daily_top(jobs: DataFrame, as_of: str, count: int = 5) -> DataFrame:
     """Best scored postings of the day with rank 1..N."""
     now = dates.ts(as_of)
-    today = jobs.filter(
-        (F.col("discovered_at") >= F.date_trunc("day", now)) & (F.col("discovered_at") <= now) & F.col("ai_match_score").isNotNull()
-    )
+    found = dates.in_range(jobs, "discovered_at", since=F.date_trunc("day", now), through=now)
+    today = found.filter(F.col("ai_match_score").isNotNull())
     order = [F.col("ai_match_score").desc(), F.col("discovered_at").desc(), F.col("id")]
     best = today.orderBy(*order).limit(count * 3)
     # at most 3 x count rows reach this window
