@@ -1,19 +1,22 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k draw.
 
 Words and marks of a text, alone and in pairs, are hashed to buckets. The raw
-model is the bucket frequencies of all documents, the target model those of the
-texts labelled good. A document's log weight is the sum of the log ratios of its
-n-grams. Adding Gumbel noise to log weights and keeping the k largest draws k
-documents without replacement in proportion to their weights; k is the sum of
-min(1, weight), the number of documents the target could have, unless the caller
-gives it. The noise of a document follows from its id, so a run can be repeated.
-
-The target model learns from at most ``sample`` labelled good documents; the raw
-model, the weights and the draw cover all rows. Defined results: a text without
-n-grams (null and empty ones too) has log weight 0; with no good label the ratio
-is 1 everywhere and all are kept; rows that tie keep any of them, k in all; rows
-that share an id share their noise; an empty table gives an empty table; other
-columns are not read, whatever their names.
+model is the bucket frequencies of all documents, the target model those of
+texts labelled good, smoothed towards the raw ones. A document's log weight is
+the mean log ratio of its n-grams times LENGTH, as if all documents had that
+many n-grams, so that length decides nothing. Adding Gumbel noise to log weights
+and keeping the k largest draws k documents without replacement in proportion to
+their weights. Unless the caller gives k, it is the number of documents whose
+log weight reaches a cut, taken from labelled documents the target model has not
+seen. The noise of a document follows from its id, so a run can be repeated.
+
+Labels are learned from a sample of at most ``sample`` good and as many bad
+documents; the raw model, the weights and the draw cover all rows. Defined
+results: a text without n-grams (null and empty ones too) has log weight 0; with
+no good label the ratio is 1 everywhere, and without labels to take a cut from
+it is 0; rows that tie keep any of them, k in all; rows that share an id share
+their noise; an empty table gives an empty table; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,20 +35,27 @@ from vacantia.llm.common import binaries, ranked, text_batches, tune_arrow
 from vacantia.session import settled
 
 BUCKETS = 1 << 14
-#: Labelled good documents the target model learns from at most.
+#: Labelled documents of a class that are learned from at most.
 SAMPLE = 20_000
-#: Added to every bucket of both models, in n-grams.
+#: N-grams a bucket gets on average before anything is counted.
 SMOOTHING = 1.0
+LENGTH = 1000
+#: Of the labelled documents one in so many gives the cut and not the target model.
+HELD = 3
+#: A lost good document weighs as much as so many bad ones that stay.
+LOSS = 20
 SEED = 20
+WEIGHT_SCHEMA = "doc_id bigint, log_weight double, n_grams bigint"
 #: A word, or a run of marks.
 PARTS = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
 
 
 @dataclass
 class Ratio:
-    """Log ratio of target to raw frequency of every bucket."""
+    """Log ratio of target to raw frequency of every bucket, and the log weight from which documents count as good."""
 
     logs: np.ndarray
+    cut: float
 
 
 def buckets(text: bytes | None) -> np.ndarray:
@@ -77,18 +87,37 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ratio:
-    """Log ratios from all documents and a bounded sample of those labelled good, the smallest hashes of ids first."""
-    tune_arrow(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    good = labels.filter(F.col(label_col) == 1).select(F.col("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    bad = labels.filter(F.col(label_col) == 0).select(F.col("doc_id").alias("doc_id"))
-    good = good.join(bad, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    target = bucket_counts(texts.join(F.broadcast(good), "doc_id"))  # ``sample`` ids at most
+    """Log ratios and the cut, from all documents and a bounded sample of labelled ones, the smallest hashes of ids first."""
+    spark = tune_arrow(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
+    marks = marks.groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    classes = [marks.filter(F.col("y") == y).orderBy("h", "doc_id").limit(sample) for y in (0, 1)]
+    known = settled(classes[0].unionByName(classes[1]).withColumn("held", F.pmod(F.shiftright("h", 8), F.lit(HELD)) == 0), "labels")
+    few = F.broadcast(known)  # 2 * ``sample`` rows of three numbers
     raw = bucket_counts(texts)
+    target = bucket_counts(texts.join(few.filter("y = 1 AND NOT held"), "doc_id").select("text"))
     if not target.any():
-        return Ratio(np.zeros(BUCKETS))
-    share = np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS))
-    return Ratio(share - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)))
+        return Ratio(np.zeros(BUCKETS), 0.0)
+    share = (raw + 1) / (raw.sum() + BUCKETS)
+    logs = np.log((target + SMOOTHING * BUCKETS * share) / (target.sum() + SMOOTHING * BUCKETS)) - np.log(share)
+    unseen = texts.join(few.filter("held"), "doc_id").select("doc_id", "text")
+    weights = unseen.mapInArrow(weigh(spark.sparkContext.broadcast(Ratio(logs, 0.0))), WEIGHT_SCHEMA).join(few, "doc_id")
+    return Ratio(logs, best_cut([(r["log_weight"], r["y"]) for r in weights.select("log_weight", "y").collect()]))
+
+
+def best_cut(rows: list[tuple[float, int]]) -> float:
+    """The log weight that parts good from bad at the least cost; 0 if there is nothing to part."""
+    good = np.sort([w for w, y in rows if y == 1])
+    bad = np.sort([w for w, y in rows if y == 0])
+    if not len(good):
+        return 0.0
+    if not len(bad):
+        return float(min(good[0], 0.0))
+    cuts = np.unique(np.concatenate([good, bad]))
+    lost, kept = np.searchsorted(good, cuts) / len(good), 1 - np.searchsorted(bad, cuts) / len(bad)
+    at = int(np.argmin(LOSS * lost + kept))
+    return float((cuts[at] + cuts[at - 1]) / 2 if at else cuts[0])  # half way down to the next labelled one
 
 
 def weigh(ratio):
@@ -96,7 +125,7 @@ def weigh(ratio):
         logs = ratio.value.logs
         for batch in text_batches(batches):
             found = [buckets(t) for t in binaries(batch.column("text"))]
-            weights = [float(logs[b].sum()) for b in found]
+            weights = [LENGTH * float(logs[b].mean()) if len(b) else 0.0 for b in found]
             sizes = [len(b) for b in found]
             yield pa.record_batch([batch.column("doc_id"), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "log_weight", "n_grams"])
 
@@ -118,9 +147,9 @@ def resampled(docs: DataFrame, ratio: Ratio, k: int | None = None, id_col: str =
     spark = tune_arrow(docs.sparkSession)
     shared = spark.sparkContext.broadcast(ratio)  # BUCKETS numbers
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    weights = rows.mapInArrow(weigh(shared), "doc_id bigint, log_weight double, n_grams bigint")
+    weights = rows.mapInArrow(weigh(shared), WEIGHT_SCHEMA)
     drawn = settled(weights.withColumn("draw", F.col("log_weight") + gumbel(F.col("doc_id"))), "draws")
     if k is None:
-        k = int(round(drawn.agg(F.sum(F.exp(F.least(F.col("log_weight"), F.lit(0.0))))).first()[0] or 0.0))
+        k = drawn.filter(F.col("log_weight") >= ratio.cut).count()
     order = [F.col("draw").desc(), F.col("doc_id"), F.col("n_grams")]
     return ranked(drawn, order, "rank").select("doc_id", "n_grams", "log_weight", "draw", "rank", (F.col("rank") < k).alias("kept"))
