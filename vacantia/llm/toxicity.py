@@ -34,15 +34,15 @@ LENGTHS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 #: Words of a segment.
-SEGMENT = 8
-EPOCHS = 14
+SEGMENT = 2
+EPOCHS = 12
 RATE = 0.5
 SEED = 5
 PER_CLASS = 1200
 #: Documents without the label for each with it.
 CLEAN_SHARE = 2
 #: Half segments learned from at most; with the n-grams of a half it bounds the memory of learning.
-HALF_LIMIT = 450_000
+HALF_LIMIT = 1_500_000
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -149,14 +149,14 @@ def fit(rows: list[tuple[bytes | None, int]], half_limit: int = HALF_LIMIT) -> M
     toxic = labels[doc_of] == 1
     rng = np.random.default_rng(SEED)
 
-    # first guess of what is toxic in a toxic document: smoothed log odds of the places an n-gram is in
-    halves = np.diff(begin)
+    # first guess of what is toxic in a toxic document: log odds of the documents an n-gram is in, in standard errors
     yes, no = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for d in range(len(first)):
-        own = flat[begin[first[d]] : begin[first[d + 1] if d + 1 < len(first) else len(halves)]]
-        np.add.at(yes if labels[d] else no, own, 1.0)
-    floor = 20 / len(halves)
-    weights = np.log((yes / max(1, toxic.sum()) + floor) / (no / max(1, (~toxic).sum()) + floor))
+        own = np.unique(flat[begin[first[d]] : begin[first[d + 1] if d + 1 < len(first) else len(pair)]])
+        (yes if labels[d] else no)[own] += 1
+    part = max(1, labels.sum()) / len(labels)
+    yes, no = yes + part, no + (1 - part)
+    weights = (np.log(yes / part) - np.log(no / (1 - part))) / np.sqrt(1 / yes + 1 / no)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (2, DIMENSIONS)).astype(np.float32)
     bias = np.zeros(2, np.float32)
