@@ -211,7 +211,7 @@ def url_part(url: Column, title: Column) -> Column:
 
 def generated_external_id(prefix: str, company: Column, url: Column, title: Column) -> Column:
     owner = F.lower(F.replace(company, F.lit(" "), F.lit("_")))
-    return F.substring(F.concat_ws("_", F.lit(prefix), owner, url_part(url, title)), 1, 255)
+    return F.concat_ws("_", F.lit(prefix), owner, url_part(url, title))
 
 
 def absolute_url(url: Column, page: Column) -> Column:

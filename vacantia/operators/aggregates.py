@@ -60,9 +60,11 @@ def latest_logs(logs: DataFrame, as_of: str, limit: int, ties: tuple[str, ...])
     return top_rows(past, [desc("started_at"), *[F.col(c) for c in ties]], limit)
 
 
-def crawler_health(logs: DataFrame, companies: DataFrame, as_of: str, ties: tuple[str, ...], limit: int = 50) -> DataFrame:
-    """Success and duration per crawler class over the latest logs."""
-    last = logs_with_company(latest_logs(logs, as_of, min(limit, 50), ties), companies)
+def crawler_health(logs: DataFrame, companies: DataFrame, as_of: str, ties: tuple[str, ...], days: int = 30, limit: int | None = None) -> DataFrame:
+    """Success and duration per crawler class over the logs of the last ``days``, or the latest ``limit`` of them."""
+    now = dates.ts(as_of)
+    recent = dates.in_range(logs, "started_at", since=dates.plus(now, -days, "day"), before=now)
+    last = logs_with_company(recent if limit is None else latest_logs(recent, as_of, limit, ties), companies)
     seconds = dates.seconds_between(F.col("started_at"), F.col("completed_at"))
     return (
         last.filter(F.col("crawler_class").isNotNull())

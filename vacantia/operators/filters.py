@@ -165,20 +165,20 @@ def crawl_log_list(
     hours: int = 24,
     ties: tuple[str, ...] = LOG_TIES,
 ) -> DataFrame:
-    """Latest logs with company and class; the class filter comes after the limit."""
+    """Latest logs with company and class, of one class if it is given."""
     since = dates.plus(dates.ts(as_of), -hours, "hour")
     logs = dates.in_range(logs, "started_at", since=since, before=dates.ts(as_of))
     if status:
         logs = logs.filter(F.col("status") == status)
-    latest = top_rows(logs, [desc("started_at"), *[F.col(c) for c in ties]], limit)
     named = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"), "crawler_type")
-    out = latest.join(named, "company_id", "left").withColumn(
+    out = logs.join(named, "company_id", "left").withColumn(
         "crawler_class",
         F.when(F.col("company_name").isNotNull(), urls.crawler_class(F.col("crawler_type"))),
     )
     if crawler_class:
         out = out.filter(F.col("crawler_class") == crawler_class)
-    return out.withColumn("duration_seconds", dates.seconds_between(F.col("started_at"), F.col("completed_at")))
+    latest = top_rows(out, [desc("started_at"), *[F.col(c) for c in ties]], limit)
+    return latest.withColumn("duration_seconds", dates.seconds_between(F.col("started_at"), F.col("completed_at")))
 
 
 def archivable(jobs: DataFrame, as_of: str, days_old: int = 90) -> DataFrame:

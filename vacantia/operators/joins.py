@@ -74,10 +74,9 @@ def applied_without_follow_up(jobs: DataFrame, follow_ups: DataFrame) -> DataFra
 
 
 def action_recommendations(jobs: DataFrame, tasks: DataFrame, limit: int = 10, threshold: float = TASK_SCORE) -> DataFrame:
-    """High-scored new postings without any task; candidates are the best 2 x limit."""
+    """The best scored new postings among those without any task."""
     fit = jobs.filter((F.col("ai_match_score") >= threshold) & (F.col("status") == "new"))
-    best = top_rows(fit, [F.col("ai_match_score").desc(), F.col("id")], limit * 2)
-    free = best.join(tasks.select(F.col("job_id").alias("id")), "id", "left_anti")
+    free = fit.join(tasks.select(F.col("job_id").alias("id")), "id", "left_anti")
     high = F.col("ai_match_score") >= 75
     out = free.filter(F.col("ai_match_score") >= 50).select(
         F.col("id").alias("job_id"),
@@ -94,10 +93,10 @@ def action_recommendations(jobs: DataFrame, tasks: DataFrame, limit: int = 10, t
 
 
 def follow_up_recommendations(jobs: DataFrame, tasks: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Latest applied postings that have no follow-up task."""
-    applied = top_rows(jobs.filter(F.col("status") == "applied"), [desc("updated_at"), F.col("id")], limit)
+    """The latest of the applied postings that have no follow-up task."""
     done = tasks.filter(F.col("task_type") == "follow_up").select(F.col("job_id").alias("id"))
-    return applied.join(done, "id", "left_anti").select(
+    lacking = jobs.filter(F.col("status") == "applied").join(done, "id", "left_anti")
+    return top_rows(lacking, [desc("updated_at"), F.col("id")], limit).select(
         F.col("id").alias("job_id"),
         F.col("title").alias("job_title"),
         "company",

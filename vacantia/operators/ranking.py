@@ -10,8 +10,6 @@ from vacantia.operators.filters import desc
 from vacantia.operators.scale import keep_first, ordinals, salted_join, top_rows
 from vacantia.session import settled
 
-LAST_SEEN_CAP = 500
-COMPANY_CAP = 1500
 DEFAULT_CRAWL_SECONDS = 30
 
 
@@ -31,8 +29,8 @@ def daily_top(jobs: DataFrame, as_of: str, count: int = 5) -> DataFrame:
     )
 
 
-def rank_latest(jobs: DataFrame, limit: int = 1000) -> DataFrame:
-    """The newest postings with a description, best score first."""
+def rank_latest(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """All postings with a description, or the newest ``limit`` of them, best score first."""
     newest = top_rows(jobs.filter(F.col("description").isNotNull()), [desc("discovered_at"), F.col("id")], limit)
     return newest.orderBy(F.coalesce("ai_match_score", F.lit(0.0)).desc(), "id")
 
@@ -58,7 +56,8 @@ def new_versions(documents: DataFrame, requests: DataFrame, as_of: str) -> DataF
 
     ``requests``: ``job_id, document_type, content, parent_version_id``, at most
     one per posting and type. The new version follows its parent, or the highest
-    version; earlier versions are no longer current. ``id`` of a new row is NULL.
+    version; earlier versions are no longer current and stay as they are otherwise,
+    with all their columns. ``id`` of a new row is NULL.
     """
     keys = ["job_id", "document_type"]
     top = documents.groupBy(*keys).agg(F.max("version").alias("_top"))
@@ -73,12 +72,10 @@ def new_versions(documents: DataFrame, requests: DataFrame, as_of: str) -> DataF
         F.col("parent_version_id"), F.lit(True).alias("is_current"),
     )
     touched = requests.select(*keys, F.lit(True).alias("_touched")).distinct()
-    old = (
-        documents.join(touched, keys, "left")
-        .withColumn("is_current", F.col("is_current") & F.col("_touched").isNull())
-        .withColumn("parent_version_id", F.lit(None).cast("bigint"))
-    )
-    return old.select(*fresh.columns).unionByName(fresh)
+    old = documents.join(touched, keys, "left").withColumn("is_current", F.col("is_current") & F.col("_touched").isNull()).drop("_touched")
+    if "parent_version_id" not in documents.columns:
+        old = old.withColumn("parent_version_id", F.lit(None).cast("bigint"))
+    return old.unionByName(fresh, allowMissingColumns=True)
 
 
 def restore_requests(documents: DataFrame, document_ids: DataFrame) -> DataFrame:
@@ -158,8 +155,8 @@ def crawl_eta(logs: DataFrame, companies: DataFrame, as_of: str, order: list[str
     return both.select(known.alias("avg_duration"), "remaining", F.floor(known * F.col("remaining")).alias("eta_seconds"))
 
 
-def last_seen_ids(jobs: DataFrame, cap: int = LAST_SEEN_CAP) -> DataFrame:
-    """Newest external ids per company, at most ``cap``, newest first."""
+def last_seen_ids(jobs: DataFrame, cap: int) -> DataFrame:
+    """The newest ``cap`` external ids of each company, newest first; the list is one value, so the caller bounds it."""
     filled = jobs.filter(F.coalesce("external_id", F.lit("")) != "").select("company_id", "external_id", "discovered_at", "id")
     newest = keep_first(filled, ["company_id"], [F.col("discovered_at").desc_nulls_last(), F.col("id")], cap)
     place = F.struct((-F.unix_micros("discovered_at")).alias("t"), "id", "external_id")
@@ -168,8 +165,8 @@ def last_seen_ids(jobs: DataFrame, cap: int = LAST_SEEN_CAP) -> DataFrame:
     )
 
 
-def capped_records(records: DataFrame, cap: int = COMPANY_CAP) -> DataFrame:
-    """Records with results, then priority, then name — all descending — up to the cap."""
+def capped_records(records: DataFrame, cap: int | None = None) -> DataFrame:
+    """Records with results, then priority, then name — all descending — up to the caller's cap."""
     order = [F.col("has_crawl_results").desc(), F.col("priority").desc(), F.lower("name").desc(), F.col("seq")]
     return top_rows(records, order, cap)
 
@@ -184,18 +181,19 @@ def newest_list(jobs: DataFrame, limit: int = 10, new_only: bool = False) -> Dat
 
 
 def lacking_documents(jobs: DataFrame, documents: DataFrame, limit: int = 10) -> DataFrame:
-    """Best scored postings and which of their documents have yet to be written."""
-    best = top_rows(jobs.filter(F.col("ai_match_score").isNotNull()), [F.col("ai_match_score").desc(), F.col("id")], limit)
+    """The best scored of the postings that lack a document, and which ones they lack."""
+    best = jobs.filter(F.col("ai_match_score").isNotNull())
     have = documents.groupBy("job_id").agg(
         (F.count_if(F.col("document_type") == "resume") > 0).alias("_resume"),
         (F.count_if(F.col("document_type") == "cover_letter") > 0).alias("_letter"),
     )
-    return (
+    lacking = (
         best.join(have, best["id"] == have["job_id"], "left")
         .withColumn("needs_resume", ~F.coalesce("_resume", F.lit(False)))
         .withColumn("needs_cover_letter", ~F.coalesce("_letter", F.lit(False)))
-        .drop("job_id", "_resume", "_letter")
+        .filter("needs_resume OR needs_cover_letter")
     )
+    return top_rows(lacking.drop("job_id", "_resume", "_letter"), [F.col("ai_match_score").desc(), F.col("id")], limit)
 
 
 def recent_pending(pending: DataFrame, limit: int = 5) -> DataFrame:

@@ -12,9 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.functions import payloads, scores
+from vacantia.functions import dates, payloads, scores
 from vacantia.operators import ranking
-from vacantia.session import settled
 
 Scorer = Callable[[DataFrame], DataFrame]
 RECOMMEND_FROM = 70
@@ -50,7 +49,8 @@ def scored(jobs: DataFrame, scorer: Scorer) -> DataFrame:
     return bare.join(scorer(jobs), "id", "left")
 
 
-def daily_selection(jobs: DataFrame, scorer: Scorer, as_of: str, latest: int = 1000, count: int = 5) -> DataFrame:
-    """The newest postings, scored, ranked, and the top of the day picked."""
-    newest = settled(ranking.rank_latest(jobs.filter(F.col("discovered_at") <= F.lit(as_of).cast("timestamp")), latest), "newest")
-    return ranking.daily_top(scored(newest, scorer), as_of, count)
+def daily_selection(jobs: DataFrame, scorer: Scorer, as_of: str, count: int = 5) -> DataFrame:
+    """All described postings of the day, scored, and the top of them picked."""
+    now = dates.ts(as_of)
+    today = dates.in_range(jobs.filter(F.col("description").isNotNull()), "discovered_at", since=F.date_trunc("day", now), through=now)
+    return ranking.daily_top(scored(today, scorer), as_of, count)

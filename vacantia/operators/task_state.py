@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.functions import dates
-
 # The states and the allowed moves.
 STATES = ("pending", "in_progress", "completed", "snoozed", "cancelled")
 MOVES = {
@@ -27,9 +25,11 @@ MOVES = {
     "completed": (),
     "cancelled": (),
 }
+SNOOZE_HOURS = {"1h": 1, "1d": 24, "3d": 72, "1w": 168}
+DEFAULT_SNOOZE = "1d"
 BULK_STATUS = {"complete": "completed", "cancel": "cancelled", "snooze": "snoozed"}
 NEVER = np.iinfo(np.int64).min
-SUMMARY = "task_id long, first_ts timestamp, first_id long, ends array<int>, rejected array<long>, completed_at array<timestamp>"
+SUMMARY = "task_id long, first_ts timestamp, first_id long, ends array<int>, rejected array<long>, completed_us array<long>"
 
 
 def outcome(state: str, command: str) -> tuple[str, bool]:
@@ -101,15 +101,24 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(task, ends, rejected, done, stamp, ident) -> pd.DataFrame:
-    def times(row):
-        return [None if v == NEVER else pd.Timestamp(v, unit="us") for v in row]
-
     return pd.DataFrame({
         "task_id": task, "first_ts": pd.to_datetime(stamp, unit="us"), "first_id": ident,
-        "ends": [r.astype("int32") for r in ends], "rejected": list(rejected), "completed_at": [times(r) for r in done],
+        "ends": list(ends.astype("int32")), "rejected": list(rejected), "completed_us": list(done),
     })
 
 
+def _moment(us: Column) -> Column:
+    return F.when(us != NEVER, F.timestamp_micros(us))
+
+
+def snoozed_until(ts: Column, option: Column) -> Column:
+    """End of a snooze of one of the offered lengths."""
+    hours = F.lit(SNOOZE_HOURS[DEFAULT_SNOOZE])
+    for name, length in SNOOZE_HOURS.items():
+        hours = F.when(option == name, length).otherwise(hours)
+    return ts + F.make_dt_interval(F.lit(0), hours)
+
+
 def state_code(status: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in STATES]), status).cast("int") - 1
 
@@ -117,14 +126,16 @@ def state_code(status: Column) -> Column:
 def replay_commands(commands: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Final state per task.
 
-    ``commands``: ``id, task_id, ts, new_status`` in the order (ts, id).
+    ``commands``: ``id, task_id, ts, new_status`` in the order (ts, id), and
+    optionally ``snooze_for``, one of SNOOZE_HOURS; a day where it is missing.
     ``initial``: ``task_id, status``; tasks without one start as pending.
     """
-    known = commands.filter(F.col("new_status").isin(*STATES)).select("id", "task_id", "ts", "new_status")
+    option = F.col("snooze_for") if "snooze_for" in commands.columns else F.lit(None).cast("string")
+    known = commands.filter(F.col("new_status").isin(*STATES)).select("id", "task_id", "ts", "new_status", snoozed_until(F.col("ts"), option).alias("until"))
     order = ["task_id", "ts", "id"]
-    cut = known.repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = known.drop("until").repartitionByRange(*order).sortWithinPartitions(*order)
     runs = cut.mapInPandas(_summaries, SUMMARY)
-    run = F.struct("first_ts", "first_id", "ends", "rejected", "completed_at")
+    run = F.struct("first_ts", "first_id", "ends", "rejected", "completed_us")
     per_task = runs.groupBy("task_id").agg(F.sort_array(F.collect_list(run)).alias("runs"))
     start = F.lit(0)
     if initial is not None:
@@ -139,7 +150,7 @@ def replay_commands(commands: DataFrame, initial: DataFrame | None = None) -> Da
         lambda acc, r: F.struct(
             F.get(r["ends"], acc["s"]).alias("s"),
             (acc["rejected"] + F.get(r["rejected"], acc["s"])).alias("rejected"),
-            F.coalesce(acc["completed_at"], F.get(r["completed_at"], acc["s"])).alias("completed_at"),
+            F.coalesce(acc["completed_at"], _moment(F.get(r["completed_us"], acc["s"]))).alias("completed_at"),
         ),
     )
     names = F.array(*[F.lit(s) for s in STATES])
@@ -150,7 +161,7 @@ def replay_commands(commands: DataFrame, initial: DataFrame | None = None) -> Da
     counts = known.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("commands"),
         F.count_if(snoozed).alias("snooze_count"),
-        dates.plus(F.max(F.when(snoozed, F.col("ts"))), 1, "day").alias("snooze_until"),
+        F.max(F.when(snoozed, F.struct("ts", "id", "until")))["until"].alias("snooze_until"),
     )
     return final.join(counts, "task_id")
 

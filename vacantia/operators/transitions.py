@@ -85,13 +85,13 @@ def with_ids(rows: DataFrame, start: int, order: Sequence[Column]) -> DataFrame:
     return rows.filter(F.col("id").isNotNull()).unionByName(numbered)
 
 
-def update_company_stats(companies: DataFrame, logs: DataFrame, jobs: DataFrame, as_of: str, order: list[str]) -> DataFrame:
-    """Companies after a batch of crawls: streak, totals, times and last seen ids."""
+def update_company_stats(companies: DataFrame, logs: DataFrame, jobs: DataFrame, as_of: str, order: list[str], seen_cap: int) -> DataFrame:
+    """Companies after a batch of crawls: streak, totals, times and the newest ``seen_cap`` ids."""
     streaks = ranking.empty_crawl_streaks(logs, as_of, order).select(
         F.col("company_id").alias("id"), F.col("last_crawled_at").alias("_crawled"), F.col("last_successful_crawl").alias("_good"),
         F.col("jobs_found_total").alias("_found"), F.col("consecutive_empty_crawls").alias("_empty"),
     )
-    ids = ranking.last_seen_ids(jobs).withColumnRenamed("company_id", "id")
+    ids = ranking.last_seen_ids(jobs, seen_cap).withColumnRenamed("company_id", "id")
     out = companies.drop("last_seen_ids").join(streaks, "id", "left").join(ids, "id", "left")
     base = F.when(F.col("_good").isNull(), F.col("consecutive_empty_crawls")).otherwise(0)
     for name, value in (("last_crawled_at", "_crawled"), ("last_successful_crawl", "_good")):
@@ -304,14 +304,23 @@ def migrated_stages(jobs: DataFrame, applications: DataFrame, tasks: DataFrame,
     return out.withColumn("pipeline_stage", F.when(empty, stage).otherwise(F.col("pipeline_stage"))).drop("_app", "_task", "_apply", "_later")
 
 
+def _stored(rows: DataFrame, name: str, kind: str) -> Column:
+    """The column a row has already, NULL where the table has none."""
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+
 def reviewed_pending(pending: DataFrame, decisions: DataFrame, as_of: str) -> DataFrame:
-    """Pending companies after review. ``decisions``: ``id, decision`` (approve/reject)."""
-    verdict = decisions.select("id", F.col("decision").alias("_d"))
+    """Pending companies after review. ``decisions``: ``id, decision`` (approve/reject).
+
+    Of several decisions for one id approval counts. Rows without a decision keep
+    what they have.
+    """
+    verdict = decisions.filter(F.col("decision").isin("approve", "reject")).groupBy("id").agg(F.min("decision").alias("_d"))
     out = pending.join(verdict, "id", "left")
     waiting = (F.col("status") == "pending") & F.col("_d").isin("approve", "reject")
     hit = F.coalesce(waiting, F.lit(False))
     return (
-        out.withColumn("reviewed_at", F.when(hit, dates.ts(as_of)))
+        out.withColumn("reviewed_at", F.when(hit, dates.ts(as_of)).otherwise(_stored(pending, "reviewed_at", "timestamp")))
         .withColumn("status", F.when(hit & (F.col("_d") == "approve"), "approved").when(hit, "rejected").otherwise(F.col("status")))
         .drop("_d")
     )
@@ -372,8 +381,8 @@ def retirable(companies: DataFrame, empty_crawls: int = 3, viability: float = 30
 def reviewed_documents(documents: DataFrame, reviews: DataFrame) -> DataFrame:
     """Documents after review. ``reviews``: ``review_id, document_id, action, edited_content, notes, ts``.
 
-    The last review sets the status; edits and notes stay until a later review
-    brings new ones.
+    The last review sets the status; edits, notes and dates stay until a later
+    review brings new ones.
     """
     valid = reviews.filter(F.col("action").isin("approved", "rejected", "edited"))
     at = lambda value, when: F.max(F.when(when, F.struct("ts", "review_id", F.col(value).alias("v"))))
@@ -385,9 +394,9 @@ def reviewed_documents(documents: DataFrame, reviews: DataFrame) -> DataFrame:
     out = documents.join(last, "id", "left")
     return (
         out.withColumn("review_status", F.coalesce("_status.v", "review_status"))
-        .withColumn("reviewed_at", F.col("_status.ts"))
-        .withColumn("edited_content", F.col("_edit.v"))
-        .withColumn("review_notes", F.col("_notes.v"))
+        .withColumn("reviewed_at", F.coalesce("_status.ts", _stored(documents, "reviewed_at", "timestamp")))
+        .withColumn("edited_content", F.coalesce("_edit.v", _stored(documents, "edited_content", "string")))
+        .withColumn("review_notes", F.coalesce("_notes.v", _stored(documents, "review_notes", "string")))
         .drop("_status", "_edit", "_notes")
     )
 

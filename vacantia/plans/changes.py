@@ -68,7 +68,7 @@ SELECT c.id, s.last_crawled_at, s.good AS last_successful_crawl, CAST(c.jobs_fou
  CAST(CASE WHEN s.good IS NULL THEN c.consecutive_empty_crawls ELSE 0 END + coalesce(s.empty, 0) AS INT) AS consecutive_empty_crawls, i.ids AS last_seen_ids
 FROM {{companies}} c LEFT JOIN s ON s.company_id = c.id LEFT JOIN i ON i.company_id = c.id""")
 def _(t):
-    out = transitions.update_company_stats(t("companies"), t("crawl_logs"), t("jobs"), AS_OF, ORDER)
+    out = transitions.update_company_stats(t("companies"), t("crawl_logs"), t("jobs"), AS_OF, ORDER, seen_cap=500)
     return out.select(
         "id", "last_crawled_at", "last_successful_crawl", "jobs_found_total", "consecutive_empty_crawls",
         F.array_join("last_seen_ids", ",").alias("last_seen_ids"),
@@ -149,8 +149,9 @@ def _(t):
     return out.select("job_id", "task_type", "title", "priority", "recommended_by", "due_date")
 
 
-REPLAY = """
-WITH RECURSIVE c AS (SELECT task_id, ts, new_status, row_number() OVER (PARTITION BY task_id ORDER BY ts, id) AS n FROM {task_commands}),
+UNTIL = "ts + CASE snooze_for WHEN '1h' THEN INTERVAL '1' HOUR WHEN '3d' THEN INTERVAL '3' DAY WHEN '1w' THEN INTERVAL '7' DAY ELSE INTERVAL '1' DAY END"
+REPLAY = f"""
+WITH RECURSIVE c AS (SELECT id, task_id, ts, new_status, {UNTIL} AS until, row_number() OVER (PARTITION BY task_id ORDER BY ts, id) AS n FROM {{task_commands}}),
 walk AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, 'pending' AS status, CAST(NULL AS TIMESTAMP) AS completed_at, CAST(0 AS BIGINT) AS rejected FROM c
  UNION ALL SELECT w.task_id, c.n, CASE WHEN ok THEN c.new_status ELSE w.status END, CASE WHEN ok AND c.new_status = 'completed' AND w.status <> 'completed' THEN c.ts ELSE w.completed_at END,
   w.rejected + CASE WHEN ok OR c.new_status = 'snoozed' THEN 0 ELSE 1 END
@@ -159,7 +160,7 @@ walk AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, 'pending' AS status, C
   OR (w.status = 'snoozed' AND c.new_status IN ('pending', 'in_progress', 'cancelled')) AS ok) x),
 last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1)
 SELECT l.task_id, l.status, l.completed_at, l.rejected, a.commands, a.snooze_count, a.snooze_until FROM last l JOIN (
- SELECT task_id, count(*) AS commands, count(*) FILTER (new_status = 'snoozed') AS snooze_count, max(ts) FILTER (new_status = 'snoozed') + INTERVAL '1' DAY AS snooze_until FROM c GROUP BY 1) a ON a.task_id = l.task_id"""
+ SELECT task_id, count(*) AS commands, count(*) FILTER (new_status = 'snoozed') AS snooze_count, arg_max(until, (ts, id)) FILTER (new_status = 'snoozed') AS snooze_until FROM c GROUP BY 1) a ON a.task_id = l.task_id"""
 
 
 @query("j8_replayed_tasks", REPLAY)
@@ -230,7 +231,7 @@ def decisions(t):
 
 @query("j11_reviewed_pending", f"""
 SELECT id, name, CASE WHEN status = 'pending' AND id % 3 = 0 THEN 'approved' WHEN status = 'pending' AND id % 3 = 1 THEN 'rejected' ELSE status END AS status,
- CASE WHEN status = 'pending' AND id % 3 < 2 THEN TIMESTAMP '{AS_OF}' END AS reviewed_at FROM {{pending_companies}}""")
+ CASE WHEN status = 'pending' AND id % 3 < 2 THEN TIMESTAMP '{AS_OF}' ELSE reviewed_at END AS reviewed_at FROM {{pending_companies}}""")
 def _(t):
     return transitions.reviewed_pending(t("pending_companies"), decisions(t), AS_OF).select("id", "name", "status", "reviewed_at")
 
@@ -269,9 +270,9 @@ def _(t):
 @query("j13_company_refresh", """
 WITH all_records AS (SELECT name, career_page_url, source, priority, has_crawl_results, industry, seq, 0 AS source_no FROM {company_records}
  UNION ALL SELECT name, career_page_url, discovery_source, CAST(floor(confidence_score) AS INT), false, NULL, id + 1000000, 1 FROM {pending_companies}),
-capped AS (SELECT * FROM all_records ORDER BY has_crawl_results DESC, priority DESC, lower(name) DESC, seq LIMIT 150)
-SELECT name AS "Company Name", career_page_url AS "Career Page URL", source AS "Source", priority AS "Priority", '' AS "Notes" FROM capped
-WHERE has_crawl_results OR priority >= 40 OR regexp_matches(lower(coalesce(industry, '')), 'software|technology|ai')""")
+capped AS (SELECT * FROM all_records WHERE has_crawl_results OR priority >= 40 OR regexp_matches(lower(coalesce(industry, '')), 'software|technology|ai')
+ ORDER BY has_crawl_results DESC, priority DESC, lower(name) DESC, seq LIMIT 150)
+SELECT name AS "Company Name", career_page_url AS "Career Page URL", source AS "Source", priority AS "Priority", '' AS "Notes" FROM capped""")
 def _(t):
     from vacantia.operators.filters import rule_heuristic
     from vacantia.sources.companies import csv_rows, refresh_records
@@ -281,7 +282,7 @@ def _(t):
         "name", "career_page_url", F.col("discovery_source").alias("source"), F.floor("confidence_score").cast("int").alias("priority"),
         F.lit(False).alias("has_crawl_results"), (F.col("id") + 1000000).alias("seq"),
     )
-    kept = refresh_records([t("company_records").select(*shared), pending], 150, rule_heuristic)
+    kept = refresh_records([t("company_records").select(*shared), pending], rule_heuristic, cap=150)
     return csv_rows(kept, F.lit(None).cast("string"))
 
 
@@ -304,7 +305,8 @@ WITH v AS (SELECT * FROM {document_reviews} WHERE action <> 'glanced'),
 s AS (SELECT document_id, arg_max(action, (ts, review_id)) AS action, max(ts) AS ts FROM v GROUP BY 1),
 e AS (SELECT document_id, arg_max(edited_content, (ts, review_id)) AS x FROM v WHERE action = 'edited' GROUP BY 1),
 n AS (SELECT document_id, arg_max(notes, (ts, review_id)) AS x FROM v WHERE coalesce(notes, '') <> '' GROUP BY 1)
-SELECT d.id, coalesce(s.action, d.review_status) AS review_status, s.ts AS reviewed_at, e.x AS edited_content, n.x AS review_notes FROM {generated_documents} d
+SELECT d.id, coalesce(s.action, d.review_status) AS review_status, coalesce(s.ts, d.reviewed_at) AS reviewed_at,
+ coalesce(e.x, d.edited_content) AS edited_content, coalesce(n.x, d.review_notes) AS review_notes FROM {generated_documents} d
 LEFT JOIN s ON s.document_id = d.id LEFT JOIN e ON e.document_id = d.id LEFT JOIN n ON n.document_id = d.id""")
 def _(t):
     out = transitions.reviewed_documents(t("generated_documents"), t("document_reviews"))

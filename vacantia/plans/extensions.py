@@ -33,16 +33,15 @@ def _(t):
 
 
 @query("i3_scored_from_responses", """
-SELECT id, CASE WHEN id % 2 = 1 OR id % 8 IN (3, 4, 7) THEN 50.0 ELSE s END::DOUBLE AS ai_match_score,
- CASE WHEN id % 2 = 1 OR id % 8 IN (3, 4, 7) THEN false WHEN id % 3 = 0 THEN id % 2 = 0 ELSE s >= 70 END AS ai_recommended
+SELECT id, CASE WHEN id % 10 = 9 OR id % 8 IN (3, 4, 7) THEN 50.0 ELSE s END::DOUBLE AS ai_match_score,
+ CASE WHEN id % 10 = 9 OR id % 8 IN (3, 4, 7) THEN false WHEN id % 3 = 0 THEN id % 2 = 0 ELSE s >= 70 END AS ai_recommended
 FROM (SELECT *, CASE id % 8 WHEN 5 THEN 100 WHEN 6 THEN 0 ELSE id % 101 END AS s FROM {jobs})""")
 def _(t):
-    told = responses(t).filter("id % 2 = 0")
-    return scoring.scored(t("jobs"), scoring.response_scorer(told)).select("id", "ai_match_score", "ai_recommended")
+    return scoring.scored(t("jobs"), scoring.response_scorer(responses(t, silent=F.col("id") % 10 == 9))).select("id", "ai_match_score", "ai_recommended")
 
 
 @query("i3_daily_selection", f"""
-WITH newest AS (SELECT * FROM {{jobs}} WHERE description IS NOT NULL AND discovered_at <= TIMESTAMP '{TODAY}' ORDER BY discovered_at DESC NULLS FIRST, id LIMIT 1000),
+WITH newest AS (SELECT * FROM {{jobs}} WHERE description IS NOT NULL AND discovered_at <= TIMESTAMP '{TODAY}'),
 s AS (SELECT id, title, discovered_at, {SCORE} AS ai_match_score FROM newest WHERE discovered_at >= TIMESTAMP '{TODAY[:10]} 00:00:00')
 SELECT id, title, ai_match_score, CAST(row_number() OVER (ORDER BY ai_match_score DESC, discovered_at DESC, id) AS INT) AS ai_rank FROM s
 QUALIFY ai_rank <= 5""")
@@ -52,13 +51,12 @@ def _(t):
 
 
 @query("g21_json_endpoints", """
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://x.com/api/v1/jobs.json|/jobs/api/' || page_id || '.json|/api/jobs/list' ELSE '' END AS endpoints FROM {pages}""")
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/jobs/api/' || page_id || '.json|/api/jobs/list|https://x.com/api/v1/jobs.json|/api/a/jobs.json|/api/b/jobs.json|/api/c/positions.json|/jobs/api/d.json' ELSE '' END AS endpoints FROM {pages}""")
 def _(t):
     p = F.col("page_id").cast("string")
     script = F.concat(
-        F.lit("<script>var a='/jobs/api/"), p, F.lit(".json'; fetch(\"/api/jobs/list\"); load(\"https://x.com/api/v1/jobs.json\")</script>")
+        F.lit("<script>var a='/jobs/api/"), p, F.lit(".json'; fetch(\"/api/jobs/list\"); load(\"https://x.com/api/v1/jobs.json\"); "),
+        F.lit("more('/api/a/jobs.json', '/api/b/jobs.json', '/api/a/jobs.json', '/api/c/positions.json', '/jobs/api/d.json')</script>"),
     )
     html = F.concat("html", F.when(F.col("page_id") % 2 == 0, script).otherwise(""))
-    found = pages.json_endpoints(html)
-    # shown in a fixed order
-    return t("pages").select("page_id", F.array_join(F.reverse(F.array_sort(found)), "|").alias("endpoints"))
+    return t("pages").select("page_id", F.array_join(pages.json_endpoints(html), "|").alias("endpoints"))

@@ -42,8 +42,7 @@ SELECT crawler_class, count(*) AS total_runs, count(*) FILTER (status = 'complet
  round_even(count(*) FILTER (status = 'completed') / count(*) * 100, 1) AS success_rate FROM (
  SELECT l.*, CASE WHEN c.crawler_type IN ('indeed','linkedin') THEN 'selenium' WHEN c.crawler_type IN ('greenhouse','lever') THEN 'api'
   WHEN c.crawler_type IN ('generic','workday') THEN 'ai' ELSE 'unknown' END AS crawler_class
- FROM (SELECT * FROM {{crawl_logs}} WHERE started_at < TIMESTAMP '{AS_OF}'
-  ORDER BY started_at DESC, company_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 50) l JOIN {{companies}} c ON c.id = l.company_id)
+ FROM (SELECT * FROM {{crawl_logs}} WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY AND started_at < TIMESTAMP '{AS_OF}') l JOIN {{companies}} c ON c.id = l.company_id)
 GROUP BY 1""")
 def _(t):
     return aggregates.crawler_health(t("crawl_logs"), t("companies"), AS_OF, LOG_TIES)

@@ -143,7 +143,7 @@ def _(t):
 
 
 @query("g14_external_ids", f"""
-SELECT id, substring(concat_ws('_', 'generic', lower(replace(company, ' ', '_')), CASE WHEN url IS NOT NULL THEN replace({PATH.format('url')}, '/', '_') ELSE lower(replace(title, ' ', '_')) END), 1, 255) AS external_id
+SELECT id, concat_ws('_', 'generic', lower(replace(company, ' ', '_')), CASE WHEN url IS NOT NULL THEN replace({PATH.format('url')}, '/', '_') ELSE lower(replace(title, ' ', '_')) END) AS external_id
 FROM (SELECT id, company, title, CASE WHEN id % 3 <> 2 THEN url END AS url FROM {{jobs}})""")
 def _(t):
     url = F.when(F.col("id") % 3 != 2, F.col("url"))
@@ -303,8 +303,8 @@ def _(t):
     return fetched.groupBy(scores.http_error_class(F.col("code")).alias("error_class")).agg(F.count(F.lit(1)).alias("fetches"))
 
 
-def responses(t):
-    """Model answers built from postings: plain, fenced, prose, out of range, broken."""
+def responses(t, silent=None):
+    """Model answers built from postings: plain, fenced, prose, out of range, broken; none where ``silent``."""
     i = F.col("id")
     score = F.when(i % 8 == 5, F.lit(101)).when(i % 8 == 6, F.lit(-5)).otherwise((i % 101).cast("int"))
     body = F.to_json(F.struct(
@@ -316,6 +316,8 @@ def responses(t):
         .when(i % 8 == 3, F.concat(F.lit("Here you go: "), body, F.lit(" Hope it helps."))).when(i % 8 == 4, F.concat(body, F.lit("}")))
         .when(i % 8 == 7, "").otherwise(body)
     )
+    if silent is not None:
+        said = F.when(~silent, said)
     return t("jobs").select("id", said.alias("response"))
 
 

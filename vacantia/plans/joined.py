@@ -58,7 +58,7 @@ def _(t):
 
 
 @query("c6_action_recommendations", """
-WITH best AS (SELECT * FROM {jobs} WHERE ai_match_score >= 50 AND status = 'new' ORDER BY ai_match_score DESC, id LIMIT 200)
+WITH best AS (SELECT * FROM {jobs} WHERE ai_match_score >= 50 AND status = 'new')
 SELECT id AS job_id, title AS job_title, company, ai_match_score AS match_score,
  CASE WHEN ai_match_score >= 75 THEN 'apply' ELSE 'research' END AS recommended_action,
  CASE WHEN ai_match_score >= 75 THEN 'high' ELSE 'medium' END AS priority,

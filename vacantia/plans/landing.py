@@ -194,7 +194,7 @@ PATH = "replace(regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^(
 
 
 @query("a9_custom_json_postings", f"""
-SELECT substring(concat('api_custom_', {OWNER}, '_', CASE WHEN id % 4 = 1 THEN lower(replace(title, ' ', '_')) ELSE {PATH} END), 1, 255) AS external_id,
+SELECT concat('api_custom_', {OWNER}, '_', CASE WHEN id % 4 = 1 THEN lower(replace(title, ' ', '_')) ELSE {PATH} END) AS external_id,
  trim(title) AS title, company, location, CASE WHEN id % 4 = 1 THEN '{CAREER}' WHEN id % 4 = 2 THEN concat('https://www.example.com/p/', id) ELSE url END AS url,
  job_type, posted_date, md5(nullif(description, '')) AS description_md5
 FROM (SELECT *, floor(id / 20) % 7 AS shape FROM (SELECT * REPLACE (CASE WHEN id % 4 = 2 THEN concat('https://www.example.com/p/', id) ELSE url END AS url) FROM {{jobs}}))
@@ -223,7 +223,7 @@ def _(t):
 
 
 @query("a10_jsonld_postings", f"""
-SELECT substring(concat('api_jsonld_', {OWNER}, '_', {PATH}), 1, 255) AS external_id, trim(title) AS title, company, location, url,
+SELECT concat('api_jsonld_', {OWNER}, '_', {PATH}) AS external_id, trim(title) AS title, company, location, url,
  job_type, posted_date, md5(description) AS description_md5 FROM {{jobs}}
 UNION ALL SELECT concat('api_jsonld_', {OWNER}, '_inner_', id), concat('Inner ', id), company, NULL, '{CAREER}', NULL, NULL, NULL FROM {{jobs}} WHERE id % 4 = 3""")
 def _(t):
@@ -308,7 +308,7 @@ def _(t):
 
 
 @query("a14_browser_postings", f"""
-SELECT substring(concat('browser_', {OWNER}, '_', CASE WHEN id % 4 = 1 THEN '_careers_list' ELSE {PATH} END), 1, 255) AS external_id, trim(title) AS title, company,
+SELECT concat('browser_', {OWNER}, '_', CASE WHEN id % 4 = 1 THEN '_careers_list' ELSE {PATH} END) AS external_id, trim(title) AS title, company,
  location, CASE WHEN id % 4 = 1 THEN '{CAREER}' ELSE url END AS url, job_type, CAST(NULL AS TIMESTAMP) AS posted_date, md5(nullif(description, '')) AS description_md5 FROM {{jobs}}""")
 def _(t):
     i = F.col("id")

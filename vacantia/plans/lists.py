@@ -103,9 +103,9 @@ SELECT * FROM (
   CASE WHEN c.name IS NULL THEN NULL WHEN c.crawler_type IN ('indeed','linkedin') THEN 'selenium'
    WHEN c.crawler_type IN ('greenhouse','lever') THEN 'api' WHEN c.crawler_type IN ('generic','workday') THEN 'ai' ELSE 'unknown' END AS crawler_class,
   l.status, l.started_at, (epoch_us(l.completed_at) - epoch_us(l.started_at)) / 1e6 AS duration_seconds, l.jobs_found, l.new_jobs
- FROM (SELECT * FROM {{crawl_logs}} WHERE started_at >= TIMESTAMP '2001-07-03 00:00:00' AND started_at < TIMESTAMP '{AS_OF}' AND status <> ''
-   ORDER BY started_at DESC NULLS FIRST, company_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 200) l
- LEFT JOIN {{companies}} c ON c.id = l.company_id) WHERE crawler_class = 'api'""")
+ FROM (SELECT * FROM {{crawl_logs}} WHERE started_at >= TIMESTAMP '2001-07-03 00:00:00' AND started_at < TIMESTAMP '{AS_OF}' AND status <> '') l
+ LEFT JOIN {{companies}} c ON c.id = l.company_id WHERE c.crawler_type IN ('greenhouse', 'lever')
+ ORDER BY started_at DESC NULLS FIRST, company_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 200)""")
 def _(t):
     return filters.crawl_log_list(
         t("crawl_logs"), t("companies"), AS_OF, crawler_class="api", limit=200, hours=24 * 30

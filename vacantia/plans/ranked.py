@@ -22,7 +22,7 @@ def _(t):
 
 
 @query("e2_rank_latest", """
-SELECT id, title, ai_match_score, discovered_at FROM {jobs} WHERE description IS NOT NULL ORDER BY discovered_at DESC NULLS FIRST, id LIMIT 1000""")
+SELECT id, title, ai_match_score, discovered_at FROM {jobs} WHERE description IS NOT NULL""")
 def _(t):
     return ranking.rank_latest(t("jobs")).select("id", "title", "ai_match_score", "discovered_at")
 
@@ -46,11 +46,11 @@ def _(t):
 WITH d AS (SELECT * FROM {{generated_documents}}), r AS (
   SELECT job_id, document_type, content, CASE WHEN job_id % 2 = 0 THEN id END AS parent_version_id FROM d
   QUALIFY row_number() OVER (PARTITION BY job_id, document_type ORDER BY id) = 1)
-SELECT d.id, d.job_id, d.document_type, length(d.content) AS chars, d.generated_at, d.version, CAST(NULL AS BIGINT) AS parent_version_id,
- d.is_current AND r.job_id IS NULL AS is_current FROM d LEFT JOIN r ON r.job_id = d.job_id AND r.document_type = d.document_type AND r.job_id % 5 <> 0
+SELECT d.id, d.job_id, d.document_type, length(d.content) AS chars, d.generated_at, d.version, d.parent_version_id,
+ d.is_current AND r.job_id IS NULL AS is_current, d.review_status, d.edited_content, d.review_notes, d.reviewed_at FROM d LEFT JOIN r ON r.job_id = d.job_id AND r.document_type = d.document_type AND r.job_id % 5 <> 0
 UNION ALL SELECT NULL, r.job_id, r.document_type, length(r.content), TIMESTAMP '{AS_OF}',
  CAST(CASE WHEN r.parent_version_id IS NOT NULL THEN coalesce(p.version + 1, 1) ELSE coalesce((SELECT max(version) FROM d x WHERE x.job_id = r.job_id AND x.document_type = r.document_type) + 1, 1) END AS INT),
- r.parent_version_id, true FROM r LEFT JOIN d p ON p.id = r.parent_version_id WHERE r.job_id % 5 <> 0""")
+ r.parent_version_id, true, NULL, NULL, NULL, NULL FROM r LEFT JOIN d p ON p.id = r.parent_version_id WHERE r.job_id % 5 <> 0""")
 def _(t):
     documents = t("generated_documents")
     first = dedupe.dedupe_by_id(documents, "id", ("job_id", "document_type")).filter("job_id % 5 <> 0")
@@ -131,7 +131,7 @@ SELECT company_id, string_agg(external_id, ',' ORDER BY discovered_at DESC, id)
  SELECT * FROM {jobs} WHERE coalesce(external_id, '') <> '' QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY discovered_at DESC, id) <= 500)
 GROUP BY 1""")
 def _(t):
-    return ranking.last_seen_ids(t("jobs")).withColumn("last_seen_ids", F.array_join("last_seen_ids", ","))
+    return ranking.last_seen_ids(t("jobs"), cap=500).withColumn("last_seen_ids", F.array_join("last_seen_ids", ","))
 
 
 @query("e14_capped_records", """
@@ -152,9 +152,9 @@ def _(t):
 
 
 @query("e16_lacking_documents", """
-SELECT id, ai_match_score, NOT EXISTS (SELECT 1 FROM {generated_documents} d WHERE d.job_id = j.id AND document_type = 'resume') AS needs_resume,
+SELECT * FROM (SELECT id, ai_match_score, NOT EXISTS (SELECT 1 FROM {generated_documents} d WHERE d.job_id = j.id AND document_type = 'resume') AS needs_resume,
  NOT EXISTS (SELECT 1 FROM {generated_documents} d WHERE d.job_id = j.id AND document_type = 'cover_letter') AS needs_cover_letter
-FROM (SELECT * FROM {jobs} WHERE ai_match_score IS NOT NULL ORDER BY ai_match_score DESC, id LIMIT 10) j""")
+FROM {jobs} j WHERE ai_match_score IS NOT NULL) WHERE needs_resume OR needs_cover_letter ORDER BY ai_match_score DESC, id LIMIT 10""")
 def _(t):
     return ranking.lacking_documents(t("jobs"), t("generated_documents")).select("id", "ai_match_score", "needs_resume", "needs_cover_letter")
 
@@ -195,10 +195,10 @@ def _(t):
 
 
 @query("f2_task_board", """
-WITH best AS (SELECT * FROM {jobs} WHERE ai_match_score >= 50 AND status = 'new' ORDER BY ai_match_score DESC, id LIMIT 40),
+WITH best AS (SELECT * FROM {jobs} WHERE ai_match_score >= 50 AND status = 'new'),
  act AS (SELECT 0 AS branch, -ai_match_score AS place, * FROM best b WHERE NOT EXISTS (SELECT 1 FROM {tasks} t WHERE t.job_id = b.id) ORDER BY ai_match_score DESC, id LIMIT 20),
- app AS (SELECT * FROM {jobs} WHERE status = 'applied' ORDER BY updated_at DESC, id LIMIT 20),
- later AS (SELECT 1 AS branch, -epoch_us(updated_at) AS place, * FROM app a WHERE NOT EXISTS (SELECT 1 FROM {tasks} t WHERE t.job_id = a.id AND t.task_type = 'follow_up'))
+ later AS (SELECT 1 AS branch, -epoch_us(updated_at) AS place, * FROM {jobs} a WHERE status = 'applied'
+  AND NOT EXISTS (SELECT 1 FROM {tasks} t WHERE t.job_id = a.id AND t.task_type = 'follow_up') ORDER BY updated_at DESC, id LIMIT 20)
 SELECT id AS job_id, title AS job_title, company, ai_match_score AS match_score,
  CASE WHEN branch = 1 THEN 'follow_up' WHEN ai_match_score >= 75 THEN 'apply' ELSE 'research' END AS recommended_action,
  CASE WHEN branch = 1 OR ai_match_score >= 75 THEN 'high' ELSE 'medium' END AS priority,

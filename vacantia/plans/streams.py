@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.plans.changes import INGEST, REPLAY
+from vacantia.plans.changes import INGEST, REPLAY, UNTIL
 from vacantia.plans.registry import Tables, query
 from vacantia.plans.views import AS_OF, TODAY
 from vacantia.session import work_path
@@ -19,15 +19,29 @@ def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def landed(t: Tables, df: DataFrame, part, label: str, files_per_batch: int | None = None) -> DataFrame:
-    """Write ``df`` as PARTS landings in the order of ``part`` (0..PARTS-1) and stream them."""
-    root = work_path(t.spark, label)
+class Landing:
+    """Rows that arrive in PARTS landings, in the order of ``part`` (0..PARTS-1)."""
+
+    def __init__(self, t: Tables, df: DataFrame, part, label: str):
+        self.df, self.part, self.root = df, part, work_path(t.spark, label)
+
+    def land(self, n: int) -> None:
+        self.df.filter(self.part == n).write.parquet(f"{self.root}/{n}")
+
+    def stream(self) -> DataFrame:
+        return self.df.sparkSession.readStream.schema(self.df.schema).parquet(f"{self.root}/*")
+
+
+def drained(start, *landings: Landing) -> None:
+    """Land part after part, each as many files as Spark writes, and drain it before the next.
+
+    ``start`` takes the streams and starts a query that ends when it has read
+    all; its checkpoint stays the same, so the query goes on where it stopped.
+    """
     for n in range(PARTS):
-        df.filter(part == n).coalesce(1).write.parquet(f"{root}/{n}")
-    reader = t.spark.readStream.schema(df.schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{root}/*")
+        for landing in landings:
+            landing.land(n)
+        start(*[landing.stream() for landing in landings]).awaitTermination()
 
 
 def by_year(column: str):
@@ -36,10 +50,6 @@ def by_year(column: str):
     return F.when(year < 1997, 0).when(year < 1999, 1).otherwise(2)
 
 
-def finished(stream_query) -> None:
-    stream_query.awaitTermination()
-
-
 @query("h1_ingest_stream", INGEST + " SELECT company_id, external_id, title, url, posted_date, status FROM after")
 def _(t):
     incoming = t("incoming").select("seq", "external_id", "company_id", "title", "url", "source_url", "description", "posted_date")
@@ -48,18 +58,23 @@ def _(t):
     base = t("stored_jobs").withColumn("change", F.lit("kept"))
     store = ChangeLog(t.spark, work_path(t.spark, "postings"), ["id"], ddl(base))
     store.start(base)
-    stream = landed(t, incoming, part, "landing", files_per_batch=1)
-    finished(streams.ingest_stream(stream, store, AS_OF, work_path(t.spark, "ckpt")))
+    checkpoint = work_path(t.spark, "ckpt")
+    drained(lambda stream: streams.ingest_stream(stream, store, AS_OF, checkpoint), Landing(t, incoming, part, "landing"))
     return store.current().select("company_id", "external_id", "title", "url", "posted_date", "status")
 
 
-@query("h2_dedupe_stream")
+@query("h2_dedupe_stream", """
+WITH p AS (SELECT external_id, discovered_at, CASE WHEN year(discovered_at) < 1997 THEN 0 WHEN year(discovered_at) < 1999 THEN 1 ELSE 2 END AS part FROM {jobs}),
+clock AS (SELECT n AS part, (SELECT max(discovered_at) FROM p WHERE part < n) - INTERVAL '7' DAY AS watermark FROM (SELECT unnest([0, 1, 2]) AS n))
+SELECT DISTINCT p.external_id, CAST(p.part AS INT) AS part FROM p JOIN clock USING (part) WHERE watermark IS NULL OR p.discovered_at >= watermark
+ AND NOT EXISTS (SELECT 1 FROM p e WHERE e.external_id = p.external_id AND e.part < p.part AND e.discovered_at + INTERVAL '7' DAY > watermark)""")
 def _(t):
+    """Which ids each landing lets through; which of a landing's equal ids is the first depends on the order of arrival."""
     jobs = t("jobs").select("id", "external_id", "company_id", "discovered_at")
-    stream = landed(t, jobs, by_year("discovered_at"), "jobs", files_per_batch=1)
-    path = work_path(t.spark, "deduped")
-    finished(streams.append_to(streams.dedupe_stream(stream), path, work_path(t.spark, "ckpt")))
-    return t.spark.read.schema(jobs.schema).parquet(path)
+    path, checkpoint = work_path(t.spark, "deduped"), work_path(t.spark, "ckpt")
+    drained(lambda stream: streams.append_to(streams.dedupe_stream(stream), path, checkpoint), Landing(t, jobs, by_year("discovered_at"), "jobs"))
+    found = t.spark.read.schema(jobs.schema).parquet(path)
+    return found.select("external_id", by_year("discovered_at").alias("part"))
 
 
 WINDOWS = """
@@ -76,40 +91,59 @@ def _(t):
 @query("h3_window_stream", WINDOWS)
 def _(t):
     jobs = t("jobs").select("id", "status", "discovered_at")
-    stream = landed(t, jobs, by_year("discovered_at"), "jobs", files_per_batch=1)
     log = ChangeLog(t.spark, work_path(t.spark, "windows"), ["window_start", "status"], "window_start timestamp, window_end timestamp, status string, n bigint")
-    finished(streams.window_stream(stream, "discovered_at", ["status"], log, work_path(t.spark, "ckpt")))
+    checkpoint = work_path(t.spark, "ckpt")
+    drained(lambda stream: streams.window_stream(stream, "discovered_at", ["status"], log, checkpoint), Landing(t, jobs, by_year("discovered_at"), "jobs"))
     return log.current()
 
 
 RUN = ["company_id", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
-@query("h4_stuck_runs", """
-SELECT company_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice, started_at FROM {crawl_logs} WHERE completed_at IS NULL AND started_at < TIMESTAMP '2001-06-01 00:00:00'""")
+@query("h4_stuck_runs", f"""
+SELECT company_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice, started_at FROM {{crawl_logs}} WHERE completed_at IS NULL AND started_at < TIMESTAMP '{AS_OF}' - INTERVAL '60' MINUTE""")
 def _(t):
     logs = t("crawl_logs").select(*RUN, "started_at", "completed_at")
-    starts = landed(t, logs.drop("completed_at"), by_year("started_at"), "starts")
+    begun = logs.drop("completed_at")
+    starts = Landing(t, begun, by_year("started_at"), "starts")
     done = logs.filter("completed_at IS NOT NULL").select(*RUN, F.col("completed_at").alias("finished_at"))
-    # the crawl log ends with running rows, so a closing row moves the clock of the finishes
-    last = logs.agg(F.max("started_at").alias("finished_at")).select(*[F.lit(-1).cast(logs.schema[c].dataType).alias(c) for c in RUN], "finished_at")
-    finishes = landed(t, done.unionByName(last), by_year("finished_at"), "finishes")
-    path = work_path(t.spark, "stuck")
-    finished(streams.append_to(streams.stuck_runs(starts, finishes, RUN), path, work_path(t.spark, "ckpt")))
-    found = t.spark.read.schema(logs.drop("completed_at").schema).parquet(path)
-    return found.filter(F.col("started_at") < F.lit("2001-06-01 00:00:00").cast("timestamp"))
+    finishes = Landing(t, done, by_year("finished_at"), "finishes")
+    path, checkpoint = work_path(t.spark, "stuck"), work_path(t.spark, "ckpt")
+    drained(lambda s, f: streams.append_to(streams.stuck_runs(s, f, RUN), path, checkpoint), starts, finishes)
+    found = t.spark.read.schema(begun.schema).parquet(path)
+    return streams.stuck_as_of(found, begun, done, RUN, AS_OF)
 
 
 @query("h5_task_stream", REPLAY)
 def _(t):
-    commands = t("task_commands")
+    return task_log(t).current()
+
+
+def task_log(t: Tables, wake: bool = False) -> ChangeLog:
+    """Tasks after three landings of commands."""
     day = F.dayofmonth("ts")
     part = F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2)
-    stream = landed(t, commands, part, "commands", files_per_batch=1)
     log = ChangeLog(t.spark, work_path(t.spark, "tasks"), ["task_id"], streams.STATE)
     log.start(t.spark.createDataFrame([], streams.STATE))
-    finished(streams.task_stream(stream, log, work_path(t.spark, "ckpt")))
-    return log.current()
+    checkpoint = work_path(t.spark, "ckpt")
+    drained(lambda stream: streams.task_stream(stream, log, checkpoint, wake=wake), Landing(t, t("task_commands"), part, "commands"))
+    return log
+
+
+@query("h5_snooze_wake_up", f"""
+WITH RECURSIVE e AS (SELECT *, {UNTIL} AS until, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END AS part FROM {{task_commands}}),
+clock AS (SELECT part, max(ts) AS ts FROM e GROUP BY 1),
+m AS (SELECT task_id, part, 0 AS look, ts, id, new_status, until FROM e UNION ALL SELECT t.task_id, k.part, 1, k.ts, 0, NULL, NULL FROM (SELECT DISTINCT task_id FROM e) t, clock k),
+c AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY part, look, ts, id) AS n FROM m),
+walk AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, 'pending' AS status, CAST(NULL AS TIMESTAMP) AS until FROM c
+ UNION ALL SELECT w.task_id, c.n, CASE WHEN look = 1 THEN CASE WHEN w.status = 'snoozed' AND w.until <= c.ts THEN 'pending' ELSE w.status END
+   WHEN (w.status = 'pending' AND c.new_status IN ('in_progress', 'completed', 'snoozed', 'cancelled')) OR (w.status = 'in_progress' AND c.new_status IN ('completed', 'snoozed', 'cancelled'))
+   OR (w.status = 'snoozed' AND c.new_status IN ('pending', 'in_progress', 'cancelled')) THEN c.new_status ELSE w.status END,
+  CASE WHEN c.new_status = 'snoozed' THEN c.until ELSE w.until END
+ FROM walk w JOIN c ON c.task_id = w.task_id AND c.n = w.n + 1)
+SELECT task_id, status, until AS snooze_until FROM walk QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1""")
+def _(t):
+    return task_log(t, wake=True).current().select("task_id", "status", "snooze_until")
 
 
 @query("h6_due_reminders", f"""
@@ -118,11 +152,11 @@ def _(t):
     before = F.col("discovered_at") <= F.lit(TODAY).cast("timestamp")
     clock = F.greatest("discovered_at", F.when(F.col("discovered_at") >= F.lit("1998-06-30"), F.lit(TODAY).cast("timestamp")))
     ticks = t("jobs").filter(before).select(clock.alias("as_of")).distinct()
-    stream = landed(t, ticks, by_year("as_of"), "ticks", files_per_batch=1)
     tasks = t("tasks").select("id", "job_id", "due_date", "status")
     sent = ChangeLog(t.spark, work_path(t.spark, "sent"), ["id"], "id bigint, job_id bigint, due_date timestamp, sent_at timestamp")
     sent.start(t.spark.createDataFrame([], sent.schema))
-    finished(streams.reminder_stream(stream, tasks, sent, work_path(t.spark, "ckpt")))
+    checkpoint = work_path(t.spark, "ckpt")
+    drained(lambda stream: streams.reminder_stream(stream, tasks, sent, checkpoint), Landing(t, ticks, by_year("as_of"), "ticks"))
     return sent.rows().select("id", "job_id", "due_date")
 
 
@@ -131,7 +165,6 @@ def _(t):
     rows = t("job_activities")
     day = F.dayofmonth("created_at")
     part = F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2)
-    path = work_path(t.spark, "timeline")
-    stream = landed(t, rows, part, "activities", files_per_batch=1)
-    finished(streams.activity_stream(stream, path, work_path(t.spark, "ckpt")))
+    path, checkpoint = work_path(t.spark, "timeline"), work_path(t.spark, "ckpt")
+    drained(lambda stream: streams.activity_stream(stream, path, checkpoint), Landing(t, rows, part, "activities"))
     return t.spark.read.parquet(path).select("id", "job_id", "activity_type", "created_at")

@@ -55,7 +55,7 @@ SELECT o_orderkey AS id, o_custkey % 10 AS company_id,
  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) - INTERVAL '1' HOUR * CAST(o_orderkey % 60 AS INT) END AS posted_date,
  CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' HOUR * CAST(o_orderkey % 48 AS INT) AS updated_at,
  CASE WHEN o_orderkey % 13 = 0 THEN TIMESTAMP '2001-01-01 00:00:00' ELSE NULL END AS archived_at
-FROM {orders} LEFT JOIN {documents} d ON d.doc_id = o_orderkey % 200""",
+FROM (SELECT *, o_orderkey % (SELECT count(*) FROM {documents}) AS doc_no FROM {orders}) o LEFT JOIN {documents} d ON d.doc_id = o.doc_no""",
     "crawl_logs": """
 SELECT l_suppkey AS company_id, CAST(l_shipdate AS TIMESTAMP) AS started_at,
  CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL ELSE CAST(l_shipdate AS TIMESTAMP) + INTERVAL '1' SECOND * CAST(l_quantity * 6 AS INT) END AS completed_at,
@@ -70,7 +70,8 @@ SELECT doc_id AS id, doc_id AS job_id, CASE doc_id % 3 WHEN 0 THEN 'match_score'
  TIMESTAMP '2001-08-02 00:00:00' - INTERVAL '1' DAY * CAST(doc_id % 60 AS INT) AS created_at FROM {labels}""",
     "task_commands": """
 SELECT event_id AS id, user_id AS task_id, CAST(ts AS TIMESTAMP) AS ts,
- CASE event_type WHEN 'view' THEN 'in_progress' WHEN 'click' THEN 'snoozed' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled' ELSE 'pending' END AS new_status FROM {events}""",
+ CASE event_type WHEN 'view' THEN 'in_progress' WHEN 'click' THEN 'snoozed' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled' ELSE 'pending' END AS new_status,
+ CASE event_id % 5 WHEN 0 THEN '1h' WHEN 1 THEN '1d' WHEN 2 THEN '3d' WHEN 3 THEN '1w' END AS snooze_for FROM {events}""",
     "tasks": """
 SELECT o_orderkey AS id, o_orderkey - o_orderkey % 3 AS job_id,
  CASE o_orderkey % 5 WHEN 0 THEN 'apply' WHEN 1 THEN 'follow_up' WHEN 2 THEN 'research' WHEN 3 THEN 'network' ELSE 'prepare_interview' END AS task_type,
@@ -96,7 +97,10 @@ FROM {orders} WHERE o_orderstatus = 'F'""",
 SELECT doc_id AS id, doc_id % 50 AS job_id, CASE doc_id % 2 WHEN 0 THEN 'resume' ELSE 'cover_letter' END AS document_type,
  text AS content, TIMESTAMP '2001-08-02 00:00:00' - INTERVAL '1' HOUR * CAST(doc_id AS INT) AS generated_at,
  CASE WHEN doc_id % 3 = 0 THEN 'pending' WHEN doc_id % 3 = 1 THEN 'approved' ELSE NULL END AS review_status,
- CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 7 AS INT) END AS version, doc_id % 5 = 0 AS is_current
+ CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 7 AS INT) END AS version, doc_id % 5 = 0 AS is_current,
+ CASE WHEN doc_id % 6 = 5 THEN doc_id - 50 END AS parent_version_id, CASE WHEN doc_id % 7 = 3 THEN concat('edit of ', CAST(doc_id AS STRING)) END AS edited_content,
+ CASE WHEN doc_id % 7 = 4 THEN concat('note of ', CAST(doc_id AS STRING)) END AS review_notes,
+ CASE WHEN doc_id % 3 = 1 THEN TIMESTAMP '2001-08-01 00:00:00' - INTERVAL '1' HOUR * CAST(doc_id AS INT) END AS reviewed_at
 FROM {documents}""",
     "search_criteria": """
 SELECT c_custkey AS id, concat('search ', CAST(c_custkey AS STRING)) AS name,
@@ -116,7 +120,8 @@ SELECT s_suppkey AS id, concat('Supplier#', lpad(CAST(s_suppkey + 50 AS STRING),
  CASE s_suppkey % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed' WHEN 2 THEN 'web_search' ELSE 'seed' END AS discovery_source,
  CAST(s_suppkey % 100 AS DOUBLE) AS confidence_score,
  CASE s_suppkey % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status,
- TIMESTAMP '2001-06-01 00:00:00' + INTERVAL '1' HOUR * CAST(s_suppkey AS INT) AS created_at
+ TIMESTAMP '2001-06-01 00:00:00' + INTERVAL '1' HOUR * CAST(s_suppkey AS INT) AS created_at,
+ CASE WHEN s_suppkey % 5 < 2 THEN TIMESTAMP '2001-07-01 00:00:00' + INTERVAL '1' HOUR * CAST(s_suppkey AS INT) END AS reviewed_at
 FROM {supplier}""",
     "company_records": """
 SELECT s_suppkey AS seq, concat(CASE s_suppkey % 3 WHEN 0 THEN 'Supplier#' WHEN 1 THEN 'SUPPLIER#' ELSE ' Fresh ' END, lpad(CAST(s_suppkey * 2 - s_suppkey % 4 AS STRING), 9, '0')) AS name,

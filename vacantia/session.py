@@ -45,12 +45,15 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the cluster names none (tests on one machine) a local folder is
-    made and remembered in the session.
+    Only on one machine, as in tests, a local folder is made where the setting
+    is missing; it is remembered in the session. A cluster must name one, because
+    executors don't share a local folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.conf.get("spark.vacantia.localShared", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="vacantia-")
         spark.conf.set("spark.vacantia.localShared", path)

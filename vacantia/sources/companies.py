@@ -126,9 +126,9 @@ def collect_records(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
 
 
-def refresh_records(parts: Sequence[DataFrame], cap: int, heuristic: Callable[[DataFrame], Column]) -> DataFrame:
-    """Collect, cap and verify: the frame the CSV sink writes."""
+def refresh_records(parts: Sequence[DataFrame], heuristic: Callable[[DataFrame], Column], cap: int | None = None) -> DataFrame:
+    """Collect and verify, then cut to the caller's cap: the frame the CSV sink writes."""
     from vacantia.operators.filters import verified_records
     from vacantia.operators.ranking import capped_records
 
-    return verified_records(capped_records(collect_records(parts), cap), heuristic)
+    return capped_records(verified_records(collect_records(parts), heuristic), cap)

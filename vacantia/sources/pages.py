@@ -53,9 +53,13 @@ def has_jobposting(html: Column) -> Column:
 
 
 def json_endpoints(html: Column) -> Column:
-    """Up to five distinct candidate JSON addresses, in text order."""
-    found = F.concat(*[F.regexp_extract_all(html, F.lit("(?i)" + p), F.lit(1)) for p in ENDPOINTS])
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, 5)
+    """All distinct candidate JSON addresses, in text order.
+
+    The patterns are tried at every place of the text in their order; the
+    address is what stands between the quotes of a match.
+    """
+    matches = F.regexp_extract_all(html, F.lit("(?i)" + "|".join(ENDPOINTS)), F.lit(0))
+    return F.array_distinct(F.transform(matches, lambda m: F.regexp_extract(m, r"[\"']([^\"']*)[\"']", 1)))
 
 
 def page_methods(pages: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def _open_postings(
         tail = urls.url_part(F.col("_link"), F.col("_raw"))
     owner = F.lower(F.replace("company", F.lit(" "), F.lit("_")))
     return rows.select(
-        F.substring(F.concat_ws("_", F.lit(prefix), owner, tail), 1, 255).alias("external_id"),
+        F.concat_ws("_", F.lit(prefix), owner, tail).alias("external_id"),
         F.col("_title").alias("title"),
         "company",
         location.alias("location"),

@@ -87,6 +87,18 @@ def stuck_runs(starts: DataFrame, finishes: DataFrame, keys: list[str], late: st
     return joined.filter(F.col("finished_at").isNull()).drop("finished_at", *[f"_{k}" for k in keys])
 
 
+def stuck_as_of(found: DataFrame, starts: DataFrame, finishes: DataFrame, keys: list[str], as_of: str) -> DataFrame:
+    """Runs the stream has reported, and those its watermark has not reached, as of a moment."""
+    late = dates.plus(dates.ts(as_of), -STUCK_MINUTES, "minute")
+    ended = finishes.select(*keys, "finished_at").withColumnRenamed("finished_at", "_end")
+    rest = starts.join(found.select(*keys, "started_at"), [*keys, "started_at"], "left_anti")
+    open_ones = rest.join(ended, keys, "left").groupBy(*starts.columns).agg(
+        F.max((F.col("_end") >= F.col("started_at")) & (F.col("_end") <= F.col("started_at") + F.expr(f"INTERVAL {STUCK_MINUTES} MINUTES"))).alias("_done")
+    )
+    both = found.unionByName(open_ones.filter(~F.coalesce("_done", F.lit(False))).drop("_done"))
+    return both.filter(F.col("started_at") < late)
+
+
 STATE = "task_id bigint, status string, rejected bigint, completed_at timestamp, commands bigint, snooze_count bigint, snooze_until timestamp"
 
 
