@@ -214,6 +214,23 @@ def test_draws_follow_the_weights(session):
     assert abs(sum(i % 4 == 0 for _, i in draw) / 2000 - 0.5) < 0.04
 
 
+def test_misspellings_share_the_vectors_of_their_parts():
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        words = prose(rng, 60).split()
+        if k % 3 == 0:
+            words[rng.randrange(60)] = rng.choice(["wretched", "abysmal"])
+        rows.append((" ".join(words).encode(), int(k % 3 == 0)))
+    model = toxicity.fit(rows)
+    assert all(toxicity.text_score(t, model) > 0.5 for t in (b"kana wretched lomus", b"WRETCHEDD", b"so abysmall", b"wretchd"))
+    assert toxicity.text_score(prose(rng, 5000).encode(), model) < 0.5
+
+
 def test_toxicity_of_held_out_documents(tables, docs, none, session):
     fold = language_id.remainder("doc_id", 5)
     model = toxicity.train(tables("documents"), tables("labels"), fold != 0)
@@ -223,7 +240,6 @@ def test_toxicity_of_held_out_documents(tables, docs, none, session):
     assert sum(clean) / len(clean) < 0.05
     toxic = [r.predicted for r in rows if r.toxic == 1]
     assert sum(toxic) / len(toxic) > 0.6
-    assert all(toxicity.text_score(t, model) > 0.5 for t in (b"an idiott", b"such a moronn", b"IDIOT"))  # spellings that were never seen
     scores = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
     assert scores[80] == scores[81] == scores[82] and all(0 <= s <= 1 for s in scores.values())
     assert toxicity.scored(none, model).count() == 0
