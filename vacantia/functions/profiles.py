@@ -66,10 +66,12 @@ def document_block(summary: Column, title: Column, filename: Column, content: Co
 def document_summaries(documents: DataFrame, owner: str, order: str = "id") -> DataFrame:
     """Blocks of each owner's documents as one text, in parts of 100 documents.
 
-    ``part`` counts from 0; almost every owner has one part, and an owner with
+    ``order`` is a unique key: only it is sorted and numbered. ``part`` counts
+    from 0; almost every owner has one part, and an owner with
     very many documents gets several that follow each other.
     """
-    placed = ordinals(documents, [owner], [F.col(order)], name="_n")
+    numbers = ordinals(documents.select(owner, order), [owner], [F.col(order)], name="_n")
+    placed = documents.join(numbers.select(order, "_n"), order)
     block = document_block(F.col("summary"), F.col("title"), F.col("filename"), F.col("content"))
     parts = placed.select(owner, F.floor((F.col("_n") - 1) / DOCUMENTS_PER_PART).alias("part"), "_n", block.alias("block"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "block"))), lambda b: b["block"]), "\n")

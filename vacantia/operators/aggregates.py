@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import dates, scores, urls
 from vacantia.operators.filters import desc
-from vacantia.operators.joins import crawl_totals, logs_with_company
+from vacantia.operators.joins import logs_with_company
 from vacantia.operators.ranking import rows_since_last
 from vacantia.operators.scale import top_rows
 
@@ -55,8 +55,10 @@ def company_summary(companies: DataFrame) -> DataFrame:
     )
 
 
-def latest_logs(logs: DataFrame, as_of: str, limit: int, ties: tuple[str, ...]) -> DataFrame:
-    past = dates.in_range(logs, "started_at", before=dates.ts(as_of))
+def latest_logs(logs: DataFrame, as_of: str, limit: int, ties: tuple[str, ...], days: int | None = None) -> DataFrame:
+    """The latest ``limit`` logs, looked for in the last ``days`` only if they are given."""
+    since = None if days is None else dates.plus(dates.ts(as_of), -days, "day")
+    past = dates.in_range(logs, "started_at", since=since, before=dates.ts(as_of))
     return top_rows(past, [desc("started_at"), *[F.col(c) for c in ties]], limit)
 
 
@@ -79,10 +81,6 @@ def crawler_health(logs: DataFrame, companies: DataFrame, as_of: str, ties: tupl
     )
 
 
-def company_crawl_totals(logs: DataFrame, as_of: str) -> DataFrame:
-    return crawl_totals(logs, as_of)
-
-
 def combined_metrics(logs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     now = dates.ts(as_of)
     recent = dates.in_range(logs, "started_at", since=dates.plus(now, -days, "day"), before=now)
@@ -148,7 +146,7 @@ def load_diagnosis(parsed: DataFrame, companies: DataFrame) -> DataFrame:
         companies.agg(F.count_if("is_active").alias("active")),
         parsed.agg(
             F.count_if(F.col("reason").isNull()).alias("found"),
-            F.count_if(F.col("reason") == "no_url").alias("no_url"),
+            F.count_if(F.col("reason") == "blank_url").alias("no_url"),
         ),
     )
     rules = F.array(

@@ -105,7 +105,7 @@ def duplicate_groups(jobs: DataFrame) -> DataFrame:
     filled = jobs.filter(F.col("external_id").isNotNull()).select("id", "external_id", "company_id")
     counts = child_counts(filled, "external_id", "group_count").filter(F.col("group_count") > 1)
     members = filled.join(counts, filled["external_id"] == counts["_parent"]).drop("_parent")
-    paged = paged_ids(members, ["external_id"], F.col("group_count"), F.col("id"))
+    paged = paged_ids(members, F.col("group_count"))
     pairs = F.sort_array(F.collect_list(F.struct("id", "company_id")))
     return (
         paged.groupBy("external_id", "group_count", "page")

@@ -125,19 +125,11 @@ def _targets(searches: DataFrame) -> Column:
 
 
 def search_targets(searches: DataFrame, companies: DataFrame) -> DataFrame:
-    """(search_id, company_id) pairs; an empty target list means all active companies.
-
-    The rows of the second kind are all combinations by definition. They are
-    made by an equi-join on a salt, so the work is even and no side is copied.
-    """
+    """(search_id, company_id) of active targets; a search without targets has one row with a NULL company, for all active ones."""
     active = companies.filter("is_active").select(F.col("id").alias("company_id"))
     live = searches.filter("is_active").select(F.col("id").alias("search_id"), _targets(searches).alias("targets"))
     named = live.select("search_id", F.explode(F.array_distinct("targets")).alias("company_id")).join(active, "company_id")
-    open_ones = live.filter(F.size("targets") == 0).select(
-        "search_id", F.explode(F.sequence(F.lit(0), F.lit(SCOPE_SALTS - 1))).alias("_salt")
-    )
-    salted = active.withColumn("_salt", F.pmod(F.xxhash64("company_id"), F.lit(SCOPE_SALTS)).cast("int"))
-    everywhere = open_ones.join(salted, "_salt").select("search_id", "company_id")
+    everywhere = live.filter(F.size("targets") == 0).select("search_id", F.lit(None).cast("bigint").alias("company_id"))
     return named.select("search_id", "company_id").unionByName(everywhere)
 
 
@@ -176,15 +168,24 @@ def keyword_hits(jobs: DataFrame, keywords: DataFrame) -> DataFrame:
     return words.join(pairs, "word").select("job_id", "keyword").distinct()
 
 
-def search_matches(searches: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
-    """(search_id, job_id) of active saved searches and the postings they accept."""
-    live = searches.filter("is_active").select(
+def search_matches(searches: DataFrame, jobs: DataFrame, companies: DataFrame, since: Column | None = None) -> DataFrame:
+    """(search_id, job_id) of active saved searches and the postings they accept, or those discovered ``since``.
+
+    Searches that ask for the same are matched once, as the one with the
+    smallest id, and their matches are handed to all of them at the end.
+    """
+    if since is not None:
+        jobs = dates.in_range(jobs, "discovered_at", since=since)
+    asked = searches.filter("is_active").select(
         F.col("id").alias("search_id"),
-        text.keyword_tokens(F.col("keywords")).alias("tokens"),
+        F.array_sort(F.array_distinct(text.keyword_tokens(F.col("keywords")))).alias("tokens"),
         F.coalesce(F.col("remote_only"), F.lit(False)).alias("remote_only"),
         F.lower(F.coalesce(F.col("job_type"), F.lit(""))).alias("wanted_type"),
-        _targets(searches).alias("targets"),
+        F.array_sort(F.array_distinct(_targets(searches))).alias("targets"),
     )
+    signature = ["tokens", "remote_only", "wanted_type", "targets"]
+    live = asked.groupBy(*signature).agg(F.min("search_id").alias("search_id"))
+    members = asked.join(live.withColumnRenamed("search_id", "_like"), signature).select(F.col("search_id").alias("_member"), "_like")
     active = companies.filter("is_active").select(F.col("id").alias("company_id"))
     posts = jobs.select(
         F.col("id").alias("job_id"),
@@ -196,20 +197,23 @@ def search_matches(searches: DataFrame, jobs: DataFrame, companies: DataFrame) -
     wanted = live.select("search_id", "targets", "remote_only", "wanted_type", F.explode("tokens").alias("keyword"))
     hits = keyword_hits(jobs, wanted).join(posts, "job_id")
     # searches with words: by word and company, or by word alone where every company will do
-    named = wanted.filter(F.size("targets") > 0).withColumn("company_id", F.explode(F.array_distinct("targets"))).drop("targets")
+    named = wanted.filter(F.size("targets") > 0).withColumn("company_id", F.explode("targets")).drop("targets")
     open_ones = wanted.filter(F.size("targets") == 0).drop("targets")
     shown = ["search_id", "job_id", "remote_only", "is_remote", "wanted_type", "type"]
     worded = named.join(hits, ["keyword", "company_id"]).select(*shown).unionByName(open_ones.join(hits, "keyword").select(*shown))
-    # searches without words: through the companies only
-    silent = live.filter(F.size("tokens") == 0).drop("tokens", "targets")
-    scope = search_targets(searches, companies)
-    unworded = scope.join(silent, "search_id").join(posts, "company_id")
+    # searches without words: through the companies only; those without either take every posting, dealt out by a salt
+    silent = live.filter(F.size("tokens") == 0).drop("tokens")
+    scoped = silent.withColumn("company_id", F.explode("targets")).join(posts, "company_id")
+    salted = posts.withColumn("_salt", F.pmod(F.xxhash64("job_id"), F.lit(SCOPE_SALTS)).cast("int"))
+    any_one = silent.filter(F.size("targets") == 0).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SCOPE_SALTS - 1))))
+    unworded = scoped.select(*shown).unionByName(any_one.join(salted, "_salt").select(*shown))
     fits = (~F.col("remote_only") | F.col("is_remote")) & (
         (F.col("wanted_type") == "") | F.contains(F.col("type"), F.col("wanted_type"))
     )
     columns = ["search_id", "job_id"]
     by_word = worded.filter(fits).select(*columns).distinct()
-    return by_word.unionByName(unworded.filter(fits).select(*columns))
+    found = by_word.unionByName(unworded.filter(fits).select(*columns))
+    return found.join(members, found["search_id"] == members["_like"]).select(F.col("_member").alias("search_id"), "job_id")
 
 
 def job_context(jobs: DataFrame, sections: Mapping[str, DataFrame], job_id: int | None = None) -> DataFrame:

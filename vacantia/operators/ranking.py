@@ -40,9 +40,14 @@ def latest_per_company(jobs: DataFrame, count: int = 10) -> DataFrame:
 
 
 def numbered_versions(documents: DataFrame) -> DataFrame:
-    """Versions 1..n per posting and type where missing; the last is current."""
+    """Versions 1..n per posting and type where missing; the last is current.
+
+    Only the keys are sorted and numbered; the documents meet their numbers by id.
+    """
     order = [F.col("generated_at").asc_nulls_first(), F.col("id")]
-    placed = ordinals(documents, ["job_id", "document_type"], order, name="_position", size="_versions")
+    keys = documents.select("id", "job_id", "document_type", "generated_at")
+    numbers = ordinals(keys, ["job_id", "document_type"], order, name="_position", size="_versions")
+    placed = documents.join(numbers.select("id", "_position", "_versions"), "id")
     missing = F.coalesce("version", F.lit(0)) == 0
     return (
         placed.withColumn("version", F.when(missing, F.col("_position").cast("int")).otherwise(F.col("version")))

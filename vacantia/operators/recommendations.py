@@ -95,9 +95,5 @@ def next_steps(jobs: DataFrame, as_of: str) -> DataFrame:
     return made.select("job_id", "s.*")
 
 
-def known_name_set(companies: DataFrame, pending: DataFrame) -> DataFrame:
-    return joins.known_names(companies, pending)
-
-
 def id_difference(wanted: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
     return wanted.select(key).distinct().join(known.select(key), key, "left_anti")

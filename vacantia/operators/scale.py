@@ -29,8 +29,8 @@ def top_rows(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataF
     return out if limit is None else out.limit(limit)
 
 
-def paged_ids(df: DataFrame, keys: Sequence[str], size: Column, item: Column, id_col: str = "id") -> DataFrame:
-    """Add ``page`` so that (keys, page) holds about PAGE_SIZE members of a group.
+def paged_ids(df: DataFrame, size: Column, id_col: str = "id") -> DataFrame:
+    """Add ``page`` so that a page of a group holds about PAGE_SIZE members.
 
     ``size`` is the known member count of the row's group.
     """

@@ -31,7 +31,8 @@ def _decided(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame
     if seen is not None:
         batch = filters.unseen_postings(batch, seen)
     batch = settled(batch, "batch")
-    decided = settled(batch.join(dedupe.find_duplicates(batch, stored, as_of, key, settle=False), key), "decided")
+    # the texts of a batch are written once; only the keys of the hits are kept beside them
+    decided = batch.join(settled(dedupe.find_duplicates(batch, stored, as_of, key, settle=False), "hits"), key)
     known = stored.select(F.col("id").alias("match_id"), F.col("discovered_at").alias("_found_at"))
     later = decided.filter(F.col("match_id").isNotNull()).join(known, "match_id").filter(F.col("posted_date") > F.col("_found_at"))
     last = keep_first(later, ["match_id"], [F.col(key).desc()]).select(

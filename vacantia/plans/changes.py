@@ -294,6 +294,17 @@ def _(t):
     return out.select("name", "career_page_url", "is_active", "discovery_source")
 
 
+@query("j14_refused_load", "WITH " + PARSED + """,
+fresh AS (SELECT DISTINCT p.name FROM p WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM {companies} c WHERE c.name = p.name))
+SELECT 'enough' AS load, name FROM fresh WHERE (SELECT count(*) FILTER (is_active) FROM {companies}) < 2
+UNION ALL SELECT 'forced', name FROM n""")
+def _(t):
+    parsed, companies = raw_companies(t), t("companies")
+    refused = transitions.loaded_companies(parsed, companies, "seq", min_companies=2)
+    forced = transitions.loaded_companies(parsed, companies, "seq", min_companies=2, force=True)
+    return refused.select(F.lit("enough").alias("load"), "name").unionByName(forced.select(F.lit("forced").alias("load"), "name"))
+
+
 @query("j15_retirable_companies", """
 SELECT id, name FROM {companies} WHERE is_active AND (consecutive_empty_crawls >= 3 OR coalesce(viability_score < 30, false))""")
 def _(t):

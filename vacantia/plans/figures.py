@@ -53,7 +53,7 @@ SELECT company_id, max(started_at) AS last_crawl_at, count(*) FILTER (started_at
  count(*) FILTER (started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY AND status = 'completed') AS successful_crawls_30d
 FROM {{crawl_logs}} WHERE started_at < TIMESTAMP '{AS_OF}' GROUP BY 1""")
 def _(t):
-    return aggregates.company_crawl_totals(t("crawl_logs"), AS_OF)
+    return joins.crawl_totals(t("crawl_logs"), AS_OF)
 
 
 @query("d5_combined_metrics", f"""
@@ -174,11 +174,8 @@ def _(t):
     return aggregates.domain_failures(t("crawl_logs"), t("companies"), AS_OF, ORDER)
 
 
-HEALTH = AUTOMATION
-
-
 @query("g26_company_health_classes", f"""
-SELECT health_status, needs_attention, count(*) AS companies FROM ({HEALTH.strip()}) GROUP BY 1, 2""")
+SELECT health_status, needs_attention, count(*) AS companies FROM ({AUTOMATION.strip()}) GROUP BY 1, 2""")
 def _(t):
     out = joins.companies_with_automation(t("companies"), t("crawl_logs"), AS_OF)
     return out.groupBy("health_status", "needs_attention").agg(F.count(F.lit(1)).alias("companies"))

@@ -85,7 +85,8 @@ def _(t):
 
 @query("c9_search_targets", """
 SELECT s.id AS search_id, c.id AS company_id FROM {search_criteria} s JOIN {companies} c
- ON c.is_active AND (s.target_1 IS NULL OR c.id IN (s.target_1, s.target_2, s.target_3)) WHERE s.is_active""")
+ ON c.is_active AND c.id IN (s.target_1, s.target_2, s.target_3) WHERE s.is_active
+UNION ALL SELECT id, NULL FROM {search_criteria} WHERE is_active AND target_1 IS NULL""")
 def _(t):
     return joins.search_targets(searches(t), t("companies"))
 

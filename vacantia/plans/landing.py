@@ -83,15 +83,14 @@ def _(t):
     return load_statistics(raw_companies(t))
 
 
-@query("d12_load_diagnosis", """
+@query("d12_load_diagnosis", "WITH " + PARSED + """
 SELECT 'warning' AS severity, 'Only ' || count(*) || ' active companies' AS message FROM {companies} WHERE is_active HAVING count(*) BETWEEN 1 AND 9
 UNION ALL SELECT 'critical', 'No active companies found' FROM {companies} WHERE is_active HAVING count(*) = 0
-UNION ALL SELECT 'info', count(*) || ' companies have no extractable URLs' FROM {company_records} WHERE priority < 5 HAVING count(*) > 0""")
+UNION ALL SELECT 'info', count(*) || ' companies have no extractable URLs' FROM p WHERE reason = 'blank_url' HAVING count(*) > 0""")
 def _(t):
     from vacantia.operators.aggregates import load_diagnosis
 
-    parsed = t("company_records").withColumn("reason", F.when(F.col("priority") < 5, "no_url"))
-    return load_diagnosis(parsed, t("companies"))
+    return load_diagnosis(raw_companies(t), t("companies"))
 
 
 @query("a2_company_csv_rows", """
@@ -341,13 +340,15 @@ def _(t):
 
 
 @query("a16_csv_documents", """
-SELECT CAST(floor(seq / 5) AS BIGINT) AS id, string_agg(concat(trim(name), ', ', coalesce(notes, ''), ', ', priority), chr(10) ORDER BY seq) AS text,
+SELECT CAST(floor(seq / 5) AS BIGINT) AS id,
+ string_agg(concat(trim(name), ', ', CASE WHEN seq % 4 = 0 THEN concat(notes, ',', chr(10), 'second line') ELSE coalesce(notes, '') END, ', ', priority), chr(10) ORDER BY seq) AS text,
  CAST(count(*) AS INT) AS row_count, 3 AS column_count FROM {company_records} GROUP BY 1""")
 def _(t):
     def cell(value):
         return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
 
-    line = F.concat_ws(",", cell(F.col("name")), cell(F.coalesce("notes", F.lit(""))), F.col("priority").cast("string"))
+    notes = F.when(F.col("seq") % 4 == 0, F.concat(F.coalesce("notes", F.lit("")), F.lit(",\nsecond line"))).otherwise(F.coalesce("notes", F.lit("")))
+    line = F.concat_ws(",", cell(F.col("name")), cell(notes), F.col("priority").cast("string"))
     files = t("company_records").groupBy(F.floor(F.col("seq") / 5).alias("id")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("content")
     )

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vacantia.operators import dedupe, ranking, recommendations
+from vacantia.operators import aggregates, dedupe, joins, ranking, recommendations
 from vacantia.operators.filters import LOG_TIES, desc
-from vacantia.operators.scale import top_rows
 from vacantia.plans.figures import ORDER
 from vacantia.plans.registry import query
 from vacantia.plans.views import AS_OF, TODAY
@@ -160,11 +159,10 @@ def _(t):
 
 
 @query("e17_recent_crawls", f"""
-SELECT company_id, status, started_at, jobs_found, new_jobs FROM {{crawl_logs}} WHERE started_at < TIMESTAMP '{AS_OF}'
+SELECT company_id, status, started_at, jobs_found, new_jobs FROM {{crawl_logs}} WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '60' DAY AND started_at < TIMESTAMP '{AS_OF}'
 ORDER BY started_at DESC, company_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 20""")
 def _(t):
-    past = t("crawl_logs").filter(F.col("started_at") < F.lit(AS_OF).cast("timestamp"))
-    out = top_rows(past, [desc("started_at"), *[F.col(c) for c in LOG_TIES]], 20)
+    out = aggregates.latest_logs(t("crawl_logs"), AS_OF, 20, LOG_TIES, days=60)
     return out.select("company_id", "status", "started_at", "jobs_found", "new_jobs")
 
 
@@ -212,7 +210,7 @@ def _(t):
 @query("f3_known_names", """
 SELECT lower(name) AS known_name FROM {companies} UNION SELECT lower(name) FROM {pending_companies} WHERE status = 'pending'""")
 def _(t):
-    return recommendations.known_name_set(t("companies"), t("pending_companies"))
+    return joins.known_names(t("companies"), t("pending_companies"))
 
 
 @query("f4_id_difference", """

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vacantia.functions import text
 
@@ -18,20 +13,32 @@ RECIPES = (
 )
 
 
-CSV_CELLS = T.StructType(
-    [T.StructField("text", T.StringType()), T.StructField("row_count", T.IntegerType()), T.StructField("column_count", T.IntegerType())]
-)
-
-
-@F.pandas_udf(CSV_CELLS)
-def _csv_cells(content: pd.Series) -> pd.DataFrame:
-    """Whole CSV text of a document: cells joined by ``, ``, rows by newline."""
-    out = []
-    for value in content.fillna(""):
-        rows = list(csv.reader(io.StringIO(value)))
-        joined = "\n".join(", ".join(cell.strip() for cell in row) for row in rows)
-        out.append((joined, len(rows), len(rows[0]) if rows else 0))
-    return pd.DataFrame(out, columns=["text", "row_count", "column_count"])
+#: A cell, quoted or bare, and what ends it.
+CSV_CELL = r'("(?:[^"]|"")*"|[^,\r\n]*)(,|\r\n|\n|\r|\z)'
+
+
+def _csv_cells(content: Column) -> Column:
+    """Whole CSV text of a document: cells joined by ``, ``, rows by newline, with the rows and the first row's cells.
+
+    Quoted cells may hold commas, line breaks and doubled quotes. A quote inside
+    a bare cell, or text after a closing quote, is kept as it stands.
+    """
+    cells, ends = (F.regexp_extract_all(content, F.lit(CSV_CELL), F.lit(n)) for n in (1, 2))
+    # the pattern also matches the nothing after the last cell, unless that is an empty cell after a comma
+    count = F.size(cells) - F.when(F.coalesce(F.get(ends, F.size(ends) - 2), F.lit(",")) == ",", 0).otherwise(1)
+    pairs = F.slice(F.arrays_zip(cells.alias("c"), ends.alias("e")), 1, count)
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    plain = lambda c: text.py_strip(F.when(F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1), inner(c)).otherwise(c))
+    shown = lambda p, i: F.concat(plain(p["c"]), F.when(i == count - 1, "").when(p["e"] == ",", ", ").otherwise("\n"))
+    breaks = F.filter(pairs, lambda p: p["e"] != ",")
+    first = F.array_position(F.transform(pairs, lambda p: p["e"] != ","), True)
+    empty = F.coalesce(content, F.lit("")) == ""
+    blank = F.get(cells, F.lit(0)) == ""
+    return F.struct(
+        F.when(empty, "").otherwise(F.array_join(F.transform(pairs, shown), "")).alias("text"),
+        F.when(empty, 0).otherwise(F.size(breaks)).cast("int").alias("row_count"),
+        F.when(empty | ((first == 1) & blank), 0).otherwise(first).cast("int").alias("column_count"),
+    )
 
 
 def document_statistics(documents: DataFrame, content: str = "content") -> DataFrame:
