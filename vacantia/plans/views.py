@@ -164,6 +164,14 @@ SELECT doc_id AS id, concat(source, '-', CAST(doc_id AS STRING), '.txt') AS file
  text AS content, doc_id % 2 = 0 AS is_active, lang AS document_type,
  TIMESTAMP '2001-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id AS INT) AS created_at
 FROM {documents}""",
+    "career_pages": """
+SELECT page_id, url, concat(html, replace(replace(CASE page_id % 5
+ WHEN 0 THEN '<script type="application/ld+json">(("@type":"JobPosting","title":"x"))</script>'
+ WHEN 1 THEN '<a href="https://co.wd1.myworkdayjobs.com/x">apply</a>' WHEN 2 THEN '<script>fetch("/api/jobs/list")</script>'
+ WHEN 3 THEN '<script type="application/ld+json">(("@type":"Organization"))</script><script type="application/ld+json">[(("@graph":[(("@type":"JobPosting"))]))]</script>'
+ ELSE '' END, '((', chr(123)), '))', chr(125))) AS html FROM {pages}""",
+    "robots_rules": """
+SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN length(url) % 2 = 0 THEN '/fr/' ELSE '/en' END AS prefix FROM {pages} WHERE page_id % 3 = 0""",
     "stage_change_log": """
 SELECT event_id AS change_id, user_id AS job_id, CAST(ts AS TIMESTAMP) AS ts,
  CASE event_id % 7 WHEN 0 THEN 'discover' WHEN 1 THEN 'review' WHEN 2 THEN 'prepare' WHEN 3 THEN 'apply' WHEN 4 THEN 'follow_up' WHEN 5 THEN 'archive' ELSE 'nowhere' END AS stage

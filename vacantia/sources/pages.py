@@ -74,7 +74,8 @@ def page_methods(pages: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract(html, r"jobs\.lever\.co/([^/\"']+)", 1), F.lit("")),
     )
     out = (
-        pages.withColumn("_low", F.lower(html))
+        pages.withColumn("endpoints", json_endpoints(html))
+        .withColumn("_low", F.lower(html))
         .withColumn("_text", visible_text(html))
         .withColumn("external_scripts", F.regexp_count("_low", F.lit(r"<script[^>]+src=")))
         .withColumn("is_spa", F.col("_low").rlike("|".join(SPA_MARKERS)))
@@ -89,7 +90,9 @@ def page_methods(pages: DataFrame) -> DataFrame:
         .when(host.contains("lever.co") & by_url.isNotNull(), "lever")
         .when(F.contains(html, F.lit("greenhouse.io")) & in_greenhouse.isNotNull(), "greenhouse")
         .when(F.contains(html, F.lit("api.lever.co")) & in_lever.isNotNull(), "lever")
+        .when(F.contains(html, F.lit("workday.com")) | F.contains(html, F.lit("myworkdayjobs.com")), "workday")
         .when(F.contains(html, F.lit("application/ld+json")) & has_jobposting(html), "jsonld")
+        .when(F.size("endpoints") > 0, "custom_json")
     )
     slug = F.when(host.contains("greenhouse.io") | host.contains("lever.co"), by_url)
     return (
@@ -102,6 +105,5 @@ def page_methods(pages: DataFrame) -> DataFrame:
             "method",
             F.when(F.col("api_type").isNotNull(), "api").when(browser, "browser").when(static, "html").otherwise("generic"),
         )
-        .withColumn("endpoints", json_endpoints(html))
         .drop("_low", "_text", "_words")
     )
