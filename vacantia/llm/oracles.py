@@ -34,3 +34,15 @@ reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id,
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
 JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) c ON c.vec_id = e.vec_id"""
+
+#: CRC-32 of the UTF-8 bytes by its table of 256 entries, made from the polynomial.
+ORACLES["op2_sharding"] = r"""
+WITH RECURSIVE bits AS (SELECT n, n AS c, 0 AS k FROM range(256) t(n) UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8),
+raw AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+ list_filter(list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1,', 'g'), ','), lambda h: CASE WHEN h <> '' THEN CAST('0x' || h AS BIGINT) END), lambda x: x IS NOT NULL) AS bytes FROM documents),
+sums AS (SELECT doc_id, size, CASE WHEN len(bytes) = 0 THEN 0 ELSE xor(list_reduce(bytes, lambda a, x: xor(a // 256, tab[xor(a, x) % 256 + 1]), 4294967295), 4294967295) END AS text_crc32 FROM raw, crc),
+scores AS (SELECT doc_id, shard, -ln((CAST('0x' || substr(md5(doc_id || ':' || shard), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS score FROM (SELECT DISTINCT doc_id FROM documents), range(17) t(shard)),
+placed AS (SELECT doc_id, arg_min(shard, (score, shard)) FILTER (shard < 16) AS shard, arg_min(shard, (score, shard)) AS grown_shard FROM scores GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+ row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM sums JOIN placed USING (doc_id)"""
