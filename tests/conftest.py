@@ -5,9 +5,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from vacantia.session import local_session  # noqa: E402
+from vacantia.session import forget_work, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", shuffle_partitions=8, memory="6g")
+    session = local_session("8", shuffle_partitions=8, memory="6g")
+    yield session
+    forget_work(session)

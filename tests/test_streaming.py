@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import task_state
 from vacantia.session import work_path
+from vacantia.streaming import changelog
 from vacantia.streaming import queries as streams
 from vacantia.streaming.changelog import ChangeLog
 
@@ -85,6 +86,22 @@ def test_change_log_batches_can_be_written_again(spark):
     assert sorted(map(tuple, small.current().collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_change_log_folds_after_some_batches(spark, monkeypatch):
+    monkeypatch.setattr(changelog, "FOLD_EVERY", 3)
+    log = ChangeLog(spark, work_path(spark, "l"), ["id"], "id bigint, v string")
+    log.start(spark.createDataFrame([(0, "base"), (99, "kept")], log.schema))
+    want = {0: "base", 99: "kept"}
+    for n in range(8):
+        assert dict(map(tuple, log.current(n).collect())) == want
+        changed = {n % 4: f"b{n}", 10 + n: "new"}
+        log.write(spark.createDataFrame(list(changed.items()), log.schema), n)
+        want |= changed
+    assert sorted(log._folds()) == [3, 6]
+    assert dict(map(tuple, log.current().collect())) == want
+    again = {int(k): v for k, v in map(tuple, log.current(7).collect())}
+    assert again == {k: v for k, v in want.items() if k != 17} | {3: "b3"}
+
+
 def test_stuck_runs(spark):
     minute = dt.timedelta(minutes=1)
     starts = [[(1, T0), (2, T0 + minute), (3, T0 + 2 * minute)], [(4, T0 + 600 * minute)], [(5, T0 + 1200 * minute)]]

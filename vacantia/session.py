@@ -63,8 +63,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder name of the shared folder (nothing is created)."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh name in this application's part of the shared folder (nothing is created)."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/vacantia-{spark.sparkContext.applicationId}"
+
+
+def forget_work(spark: SparkSession) -> None:
+    """Delete what this application has settled, once no frame that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df: DataFrame, label: str = "settled") -> DataFrame:
@@ -77,3 +87,14 @@ def settled(df: DataFrame, label: str = "settled") -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables in a folder; none if there is no such folder."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(root)]
+    return [name for name in names if fs.exists(fs_path(f"{path}/{name}/_SUCCESS"))]

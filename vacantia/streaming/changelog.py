@@ -2,7 +2,9 @@
 
 Each batch writes only its changed rows into its own folder, and writing the
 same batch again replaces that folder, so a retried batch has no double effect.
-Readers take the latest row per key.
+Readers take the latest row per key. Every FOLD_EVERY batches the state is
+written as a new base beside the log, so a batch reads a bounded number of
+earlier ones; a fold that was cut off has no success file and is written anew.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.operators.scale import keep_first
+from vacantia.session import folders
+
+#: Batches between two folds of a log.
+FOLD_EVERY = 8
 
 
 class ChangeLog:
@@ -32,15 +38,30 @@ class ChangeLog:
         return rows if before is None else rows.filter(F.col("batch") < before)
 
     def current(self, before: int | None = None) -> DataFrame:
-        """Base rows without a change, and the latest change per key.
+        """Base rows without a change, and the latest change per key; the state before a batch if one is given.
 
         The changes are small beside the base, so the base is filtered by their
-        keys and not shuffled; ``compact`` keeps them small.
+        keys and not shuffled; folding keeps them small.
         """
+        fold = max((n for n in self._folds() if before is None or n <= before), default=None)
+        if before is not None and before - (fold or 0) >= FOLD_EVERY:
+            self._state(before, fold).write.mode("overwrite").parquet(f"{self.root}-folds/{before}")
+            fold = before
+        return self._state(before, fold)
+
+    def _folds(self) -> list[int]:
+        return [int(name) for name in folders(self.spark, f"{self.root}-folds")]
+
+    def _state(self, before: int | None, fold: int | None) -> DataFrame:
         rows = self.rows(before)
-        latest = keep_first(rows.filter("batch >= 0"), self.keys, [F.col("batch").desc()])
-        base = rows.filter("batch < 0").join(rows.filter("batch >= 0").select(*self.keys), self.keys, "left_anti")
-        return base.select(*latest.columns).unionByName(latest).drop("batch")
+        changes = rows.filter(F.col("batch") >= (fold or 0))
+        latest = keep_first(changes, self.keys, [F.col("batch").desc()]).drop("batch")
+        if fold is None:
+            base = rows.filter("batch < 0").drop("batch")
+        else:
+            base = self.spark.read.schema(self.schema).parquet(f"{self.root}-folds/{fold}")
+        kept = base.join(changes.select(*self.keys), self.keys, "left_anti")
+        return kept.select(*latest.columns).unionByName(latest)
 
     def compact(self, batch_id: int, target: str) -> "ChangeLog":
         """Write the state after a batch as the base of a new log."""
