@@ -297,7 +297,7 @@ def _(t):
 @query("j14_refused_load", "WITH " + PARSED + """,
 fresh AS (SELECT DISTINCT p.name FROM p WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM {companies} c WHERE c.name = p.name))
 SELECT 'enough' AS load, name FROM fresh WHERE (SELECT count(*) FILTER (is_active) FROM {companies}) < 2
-UNION ALL SELECT 'forced', name FROM n""")
+UNION ALL SELECT 'forced', name FROM fresh""")
 def _(t):
     parsed, companies = raw_companies(t), t("companies")
     refused = transitions.loaded_companies(parsed, companies, "seq", min_companies=2)
