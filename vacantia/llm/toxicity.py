@@ -38,11 +38,11 @@ SEGMENT = 2
 EPOCHS = 12
 RATE = 0.5
 SEED = 5
-PER_CLASS = 1200
+PER_CLASS = 700
 #: Documents without the label for each with it.
-CLEAN_SHARE = 2
+CLEAN_SHARE = 3
 #: Half segments learned from at most; with the n-grams of a half it bounds the memory of learning.
-HALF_LIMIT = 1_500_000
+HALF_LIMIT = 1_200_000
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -110,21 +110,26 @@ def text_score(text: bytes | None, model: Model) -> float:
 def half_bags(rows: list[tuple[bytes | None, int]], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """N-grams of all texts by half segments: the buckets, where each half begins (and the end), the first
     half of each text, and for each half the last half of the segment that begins there."""
-    flat, ends, first, pair = [], [0], [], []
-    half = SEGMENT // 2
+    flat, ends, first, pair = [], [np.zeros(1, np.int64)], [], []
+    half, used = SEGMENT // 2, 0
     for text, _ in rows:
-        buckets, owners, words = subwords(text)
-        if len(ends) > limit:
+        if used >= limit:
             break
-        first.append(len(pair))
+        buckets, owners, words = subwords(text)
+        first.append(used)
         halves = max(1, -(-words // half))
         order = np.argsort(owners, kind="stable")
         cuts = np.searchsorted(owners[order] // half, np.arange(halves + 1))
         flat.append(buckets[order].astype(np.int32) if words else np.zeros(1, np.int32))  # a text without words is bucket 0
         cuts[-1] = len(flat[-1])
-        pair.extend(min(s + 1, halves - 1) + first[-1] for s in range(halves))
-        ends.extend((cuts[1:] + ends[-1]).tolist())
-    return np.concatenate(flat), np.array(ends), np.array(first), np.array(pair)
+        pair.append(np.minimum(np.arange(1, halves + 1), halves - 1) + used)
+        ends.append(cuts[1:] + ends[-1][-1])
+        used += halves
+    joined, at = np.empty(sum(map(len, flat)), np.int32), 0
+    for i, piece in enumerate(flat):
+        joined[at : at + len(piece)] = piece
+        at, flat[i] = at + len(piece), None  # given back at once, so the n-grams are held about once
+    return joined, np.concatenate(ends), np.array(first), np.concatenate(pair)
 
 
 def segment_guess(weights: np.ndarray, flat: np.ndarray, begin: np.ndarray, pair: np.ndarray, step: int = 20_000) -> np.ndarray:
