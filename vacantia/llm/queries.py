@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import (
-    byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, near_dedup, quality, sharding, token_counts, toxicity,
+    byte_bpe, decontamination, embedding_dedup, fill_in_middle, filter_audit, html_extraction, language_id, near_dedup, quality,
+    sharding, suffix_dedup, token_counts, toxicity,
 )
 from vacantia.llm.oracles import ORACLES
 from vacantia.session import tune, work_path
@@ -103,3 +104,25 @@ def op10_toxicity(table):
     model = toxicity.train(docs, table("labels"), fold != 0)
     found = toxicity.scored(docs, model)
     return found.select("doc_id", (language_id.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_filter_audit(table):
+    return filter_audit.audited(table("documents"), table("labels"))
+
+
+@query
+def op12_fill_in_middle(table):
+    made = fill_in_middle.fill_in_middle(table("documents"), seed=42, percent=50, spm_percent=80)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_suffix_dedup(table):
+    found = suffix_dedup.repeats_removed(table("documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
