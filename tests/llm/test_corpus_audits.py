@@ -198,3 +198,10 @@ def test_a_hot_passage_over_many_partitions(session):
         session.conf.set("spark.sql.shuffle.partitions", before[0])
         session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
     assert got == repeats(rows)
+
+
+def test_repeats_of_a_given_table(session):
+    """Blocks of neighbouring segments that start at one place each keep their own windows."""
+    docs = session.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert found(suffix_dedup.repeats_removed(docs)) == repeats(rows)

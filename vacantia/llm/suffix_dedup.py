@@ -230,7 +230,7 @@ def reranked(rows: DataFrame, label: str) -> DataFrame:
     partition and the first place of its last hull depend on other partitions;
     these few rows (at most two places a partition) are settled afterwards.
     """
-    order = [F.col(c) for c in ("core", "hull", "doc_id", "tie", "start")]
+    order = [F.col(c) for c in ("core", "hull", "doc_id", "tie", "start", "skip") if c in rows.columns]
     kept = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(verdicts(rows.columns), f"{_ddl(rows)}, verdict int"), label)
     sure = kept.filter(F.col("verdict") != EDGE).withColumn("repeat", F.col("verdict") == REPEAT)
     place = F.struct("doc_id", "tie", "start")
@@ -252,8 +252,10 @@ def verdicts(columns: list[str]):
 
     Only the first row of a batch's last hull is carried on: its verdict waits
     until the next hull is seen, or the partition ends and makes it an edge.
-    Rows that repeat a place (of rows that share id and text) are dropped.
+    Equal rows (of documents that share id and text) count once; rows that stand
+    for other windows of the first place stay open.
     """
+    extra = [c for c in ("skip",) if c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.RecordBatch | None = None
@@ -266,14 +268,17 @@ def verdicts(columns: list[str]):
             places = [table[c].to_numpy() for c in ("doc_id", "tie", "start")]
             new_core = np.concatenate(([True], core[1:] != core[:-1]))
             new_hull = new_core | np.concatenate(([True], hull[1:] != hull[:-1]))
-            new_place = new_hull | np.concatenate(([True], np.logical_or.reduce([p[1:] != p[:-1] for p in places])))
+            parts = places + [table[c].to_numpy() for c in extra]
+            new_row = new_hull | np.concatenate(([True], np.logical_or.reduce([p[1:] != p[:-1] for p in parts])))
             group, classes = np.cumsum(new_hull) - 1, np.cumsum(new_core) - 1
             several = (np.bincount(classes, weights=new_hull) > 1)[classes]
             several |= (classes == 0) & several_before
             if "loose" in columns:
                 several |= table["loose"].to_numpy(zero_copy_only=False)
-            repeat = new_place & ~new_hull
-            verdict = np.where(repeat, REPEAT, np.where(new_hull & several, OPEN, GONE))
+            head = np.flatnonzero(new_hull)[group]
+            later = np.logical_or.reduce([p != p[head] for p in places])
+            verdict = np.where(later, REPEAT, np.where(several | ~new_hull, OPEN, GONE))
+            verdict[~new_row] = GONE
             if begins:
                 verdict[0] = EDGE
             last = np.flatnonzero(new_hull)[-1]
