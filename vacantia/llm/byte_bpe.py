@@ -94,6 +94,7 @@ class Codec:
         self.v = v
         self.whole = {t: i for i, t in enumerate(v.tokens)}
         self.length = [len(t) for t in v.tokens]
+        self.widest = max(self.length, default=1)
         self.pair = {(v.left[i], v.right[i]): i for i, t in enumerate(v.tokens) if len(t) > 1 and v.merged[i]}
         self.auto = ahocorasick.Automaton()
         for i, t in enumerate(v.tokens):
@@ -147,7 +148,7 @@ class Codec:
     def split(self, data: bytes) -> list[int]:
         """Tokens of a piece, by places in the vocabulary."""
         text, size = data.decode("latin-1"), len(data)
-        length, shorter, longest, fits, wide = self.length, self.v.shorter, self.auto.iter_long, self.fits, self.wide
+        length, shorter, longest, fits, wide, widest = self.length, self.v.shorter, self.auto.iter_long, self.fits, self.wide, self.widest
         dead: set[int] = set()
         taken = []
         for _, token in longest(text):  # as long as the longest matches may stand side by side, nothing else is needed
@@ -181,7 +182,7 @@ class Codec:
                     if end == size:
                         return taken
                     at, last = end, token
-                    token = next(longest(text, at))[1]
+                    token = next(longest(text[at : at + widest]))[1]  # no match is longer, and the rest is not looked at
                     continue
             token = shorter[token]
 
