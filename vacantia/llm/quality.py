@@ -3,24 +3,27 @@
 Words and marks of a text, alone and in pairs, are hashed to buckets. The raw
 model is the bucket frequencies of all documents, the target model those of
 texts labelled good, smoothed towards the raw ones. A document's log weight is
-the mean log ratio of its n-grams times LENGTH, as if all documents had that
-many n-grams, so that length decides nothing. Adding Gumbel noise to log weights
-and keeping the k largest draws k documents without replacement in proportion to
-their weights. Unless the caller gives k, it is the number of documents whose
-log weight reaches a cut, taken from labelled documents the target model has not
-seen. The noise of a document follows from its id, so a run can be repeated.
-
-Labels are learned from a sample of at most ``sample`` good and as many bad
-documents; the raw model, the weights and the draw cover all rows. Defined
-results: a text without n-grams (null and empty ones too) has log weight 0; with
-no good label the ratio is 1 everywhere, and without labels to take a cut from
-it is 0; rows that tie keep any of them, k in all; rows that share an id share
-their noise; an empty table gives an empty table; other columns are not read,
-whatever their names.
+the sum of the log ratios of its n-grams over a temperature: n / LENGTH for n
+n-grams, as if all documents had LENGTH of them, because with a small target the
+plain sum (temperature 1) drops long clean documents of the rarer kinds. Adding
+Gumbel noise to the log weights and keeping the k largest draws k documents without
+replacement in proportion to their weights. k is the caller's number of rows or
+share of them; by default the share of good ones among all labels and one standard
+error of that share. The noise of a document follows from its id, so a run can be
+repeated.
+
+The target model is learned from at most ``sample`` good documents; the share,
+the raw model, the weights and the draw cover all rows. Defined results: a text
+without n-grams (null and empty ones too) has log weight 0; with no good label the
+ratio is 1 everywhere, and without labels all rows are kept; of rows that tie in
+draw, id and size any are kept, k in all; rows that share an id share their noise;
+texts of any length are read whole; an empty table gives an empty table; ids are
+whole numbers (a text id raises); other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,27 +38,24 @@ from vacantia.llm.common import binaries, ranked, text_batches, tune_arrow
 from vacantia.session import settled
 
 BUCKETS = 1 << 14
-#: Labelled documents of a class that are learned from at most.
+#: Labelled good documents that are learned from at most.
 SAMPLE = 20_000
 #: N-grams a bucket gets on average before anything is counted.
 SMOOTHING = 1.0
-LENGTH = 1000
-#: Of the labelled documents one in so many gives the cut and not the target model.
-HELD = 3
-#: A lost good document weighs as much as so many bad ones that stay.
-LOSS = 20
+#: N-grams that every document's log weight is tempered to.
+LENGTH = 200
 SEED = 20
-WEIGHT_SCHEMA = "doc_id bigint, log_weight double, n_grams bigint"
+WEIGHT_SCHEMA = "doc_id bigint, row bigint, log_weight double, n_grams bigint"
 #: A word, or a run of marks.
 PARTS = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
 
 
 @dataclass
 class Ratio:
-    """Log ratio of target to raw frequency of every bucket, and the log weight from which documents count as good."""
+    """Log ratio of target to raw frequency of every bucket, and the share of documents to keep by the labels."""
 
     logs: np.ndarray
-    cut: float
+    share: float
 
 
 def buckets(text: bytes | None) -> np.ndarray:
@@ -87,37 +87,29 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ratio:
-    """Log ratios and the cut, from all documents and a bounded sample of labelled ones, the smallest hashes of ids first."""
-    spark = tune_arrow(docs.sparkSession)
+    """Log ratios from all documents and a bounded sample of good ones (the smallest hashes of ids first), and the share of good labels."""
+    tune_arrow(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
-    marks = marks.groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    classes = [marks.filter(F.col("y") == y).orderBy("h", "doc_id").limit(sample) for y in (0, 1)]
-    known = settled(classes[0].unionByName(classes[1]).withColumn("held", F.pmod(F.shiftright("h", 8), F.lit(HELD)) == 0), "labels")
-    few = F.broadcast(known)  # 2 * ``sample`` rows of three numbers
+    marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"))
+    share, count_of = marks.agg(F.avg("y"), F.count("y")).first()
+    good = settled(marks.filter("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id"), "labels")
     raw = bucket_counts(texts)
-    target = bucket_counts(texts.join(few.filter("y = 1 AND NOT held"), "doc_id").select("text"))
+    target = bucket_counts(texts.join(F.broadcast(good), "doc_id").select("text"))  # at most ``sample`` ids
     if not target.any():
-        return Ratio(np.zeros(BUCKETS), 0.0)
+        return Ratio(np.zeros(BUCKETS), 1.0)
+    return Ratio(log_ratios(target, raw), good_share(share, count_of))
+
+
+def good_share(share: float, labels: int) -> float:
+    """The share and one standard error."""
+    return min(1.0, share + math.sqrt(share * (1 - share) / labels))
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log of target over raw frequency of every bucket."""
     share = (raw + 1) / (raw.sum() + BUCKETS)
-    logs = np.log((target + SMOOTHING * BUCKETS * share) / (target.sum() + SMOOTHING * BUCKETS)) - np.log(share)
-    unseen = texts.join(few.filter("held"), "doc_id").select("doc_id", "text")
-    weights = unseen.mapInArrow(weigh(spark.sparkContext.broadcast(Ratio(logs, 0.0))), WEIGHT_SCHEMA).join(few, "doc_id")
-    return Ratio(logs, best_cut([(r["log_weight"], r["y"]) for r in weights.select("log_weight", "y").collect()]))
-
-
-def best_cut(rows: list[tuple[float, int]]) -> float:
-    """The log weight that parts good from bad at the least cost; 0 if there is nothing to part."""
-    good = np.sort([w for w, y in rows if y == 1])
-    bad = np.sort([w for w, y in rows if y == 0])
-    if not len(good):
-        return 0.0
-    if not len(bad):
-        return float(min(good[0], 0.0))
-    cuts = np.unique(np.concatenate([good, bad]))
-    lost, kept = np.searchsorted(good, cuts) / len(good), 1 - np.searchsorted(bad, cuts) / len(bad)
-    at = int(np.argmin(LOSS * lost + kept))
-    return float((cuts[at] + cuts[at - 1]) / 2 if at else cuts[0])  # half way down to the next labelled one
+    return np.log((target + SMOOTHING * BUCKETS * share) / (target.sum() + SMOOTHING * BUCKETS)) - np.log(share)
 
 
 def weigh(ratio):
@@ -127,7 +119,7 @@ def weigh(ratio):
             found = [buckets(t) for t in binaries(batch.column("text"))]
             weights = [LENGTH * float(logs[b].mean()) if len(b) else 0.0 for b in found]
             sizes = [len(b) for b in found]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "log_weight", "n_grams"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "row", "log_weight", "n_grams"])
 
     return run
 
@@ -138,18 +130,24 @@ def gumbel(key: Column) -> Column:
     return -F.log(-F.log((low + 0.5) / F.lit(float(16**13))))
 
 
-def resampled(docs: DataFrame, ratio: Ratio, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resampled(
+    docs: DataFrame, ratio: Ratio, k: int | None = None, share: float | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """(doc_id, n_grams, log_weight, draw, rank, kept) of every row; ``kept`` marks the k largest draws.
 
-    The position of a row comes from a range-partitioned sort of these narrow
-    columns, so k may be any share of the table.
+    k is given, or ``share`` (the labels' own unless given) of all rows. ``row_col``
+    names a column (long) that tells rows apart and comes back as ``row``. The
+    position of a row comes from a range-partitioned sort of these narrow columns,
+    so k may be any share of the table.
     """
     spark = tune_arrow(docs.sparkSession)
     shared = spark.sparkContext.broadcast(ratio)  # BUCKETS numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.col(row_col) if row_col else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).alias("text"))
     weights = rows.mapInArrow(weigh(shared), WEIGHT_SCHEMA)
     drawn = settled(weights.withColumn("draw", F.col("log_weight") + gumbel(F.col("doc_id"))), "draws")
     if k is None:
-        k = drawn.filter(F.col("log_weight") >= ratio.cut).count()
-    order = [F.col("draw").desc(), F.col("doc_id"), F.col("n_grams")]
-    return ranked(drawn, order, "rank").select("doc_id", "n_grams", "log_weight", "draw", "rank", (F.col("rank") < k).alias("kept"))
+        k = round(drawn.count() * (ratio.share if share is None else share))
+    order = [F.col("draw").desc(), F.col("doc_id"), F.col("n_grams"), F.col("row")]
+    columns = ["doc_id", *(["row"] if row_col else []), "n_grams", "log_weight", "draw", "rank"]
+    return ranked(drawn, order, "rank").select(*columns, (F.col("rank") < k).alias("kept"))
