@@ -2,13 +2,20 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; its decisions take effect. All but the last return the columns of docs.
-A row without a doc_id can't be compared or drawn by id, so only the filters on
-its own text may drop it.
+A stage that must tell rows apart writes them with a number each, so that rows
+without an id, or with one that others have too, are judged by their own text.
+
+Defined results: null and empty texts pass the filters as texts without words; a
+row of equal rows is drawn, scored and dropped as each of the others, but for
+near-duplicates, of which the one with the smallest id stays (rows without an id
+come last); an empty table gives an empty table; texts of any length
+are read whole; other columns stay as they are, whatever their names; ids are
+whole numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import byte_bpe, decontamination, near_dedup, quality, toxicity
@@ -17,17 +24,31 @@ from vacantia.llm.queries import public_tokenizers
 from vacantia.session import settled, tune
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among ``dropped``; rows without an id stay."""
-    ids = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long") == ids["_dropped"], "left_anti")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written once, with a number of their own under a name that docs doesn't have."""
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return settled(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def kept(rows: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
+    """Rows whose number is not in the one column of ``dropped``, without their numbers."""
+    gone = dropped.toDF("_gone").distinct()
+    return rows.join(gone, rows[name] == gone["_gone"], "left_anti").drop(name)
+
+
+def by_row(rows: DataFrame, name: str) -> DataFrame:
+    """Texts under the numbers of their rows."""
+    return rows.select(F.col(name).alias("doc_id"), "text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by importance resampling stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    drawn = quality.resampled(docs, quality.learned(docs, labels))
-    return without(docs, drawn.filter(~F.col("kept")))
+    rows, name = numbered(docs)
+    drawn = quality.resampled(rows, quality.learned(rows, labels), row_col=name)
+    return kept(rows, name, drawn.filter(~F.col("kept")).select("row"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,20 +59,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (similarity 0.8 or more) the document with the smallest id stays, once."""
-    unique = without(docs, near_dedup.near_duplicates(docs).filter(~F.col("kept")))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if repeated.isEmpty():
-        return unique
-    single = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    again = unique.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(single)).filter("_n = 1").drop("_n")
-    return without(unique, repeated).unionByName(again)
+    """Of every group of near duplicates (similarity 0.8 or more) the row with the smallest id stays."""
+    rows, name = numbered(docs)
+    found = near_dedup.near_duplicates(by_row(rows, name)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    ids = rows.select(F.col(name).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    place = F.struct(F.col("_id").isNull().alias("void"), "_id", "_row")
+    # one row a group and task, so that a group of any size shrinks before the shuffle
+    first = found.join(ids, "_row").groupBy("_group").agg(F.min(place).alias("first"))
+    stay = first.select(F.col("first._row").alias("_stay"))
+    return rows.join(stay, rows[name] == stay["_stay"], "left_semi").drop(name)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontamination.contaminated(docs, items))
+    rows, name = numbered(docs)
+    return kept(rows, name, decontamination.contaminated(by_row(rows, name), items).select("doc_id"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
