@@ -9,10 +9,7 @@ from vacantia.functions.text import py_strip
 
 # URL patterns, legal suffixes and host fragments that decide results.
 URL_IN_TEXT = r'https?://[^\s<>"{}|\\^`\[\]]+[^\s<>"{}|\\^`\[\].,;:]'
-DOMAIN_IN_TEXT = (
-    r"([a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.(?:[a-zA-Z]{2,})"
-    r'(?:/[^\s<>"{}|\\^`\[\]]+)?)'
-)
+DOMAIN_IN_TEXT = r'([a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.(?:[a-zA-Z]{2,})(?:/[^\s<>"{}|\\^`\[\]]+)?)'
 CAREER_PATHS = ("/careers", "/jobs", "/job", "/work-with-us", "/career")
 BOARD_PATH_WORDS = ("embed", "job_board", "jobs")
 NAME_DROPS = (" Inc.", " Inc", " LLC", " Ltd.", ",", ".", " ")

@@ -341,13 +341,13 @@ def _(t):
 
 @query("a16_csv_documents", """
 SELECT CAST(floor(seq / 5) AS BIGINT) AS id,
- string_agg(concat(trim(name), ', ', CASE WHEN seq % 4 = 0 THEN concat(notes, ',', chr(10), 'second line') ELSE coalesce(notes, '') END, ', ', priority), chr(10) ORDER BY seq) AS text,
+ string_agg(concat(trim(name), ', ', CASE WHEN seq % 4 = 0 THEN concat(notes, ',', chr(10), 'second line', CASE WHEN seq % 40 = 0 THEN repeat(' "x"', 25000) ELSE '' END) ELSE coalesce(notes, '') END, ', ', priority), chr(10) ORDER BY seq) AS text,
  CAST(count(*) AS INT) AS row_count, 3 AS column_count FROM {company_records} GROUP BY 1""")
 def _(t):
     def cell(value):
         return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
 
-    notes = F.when(F.col("seq") % 4 == 0, F.concat(F.coalesce("notes", F.lit("")), F.lit(",\nsecond line"))).otherwise(F.coalesce("notes", F.lit("")))
+    notes = F.when(F.col("seq") % 4 == 0, F.concat(F.coalesce("notes", F.lit("")), F.lit(",\nsecond line"), F.when(F.col("seq") % 40 == 0, F.repeat(F.lit(' "x"'), 25000)).otherwise(""))).otherwise(F.coalesce("notes", F.lit("")))
     line = F.concat_ws(",", cell(F.col("name")), cell(notes), F.col("priority").cast("string"))
     files = t("company_records").groupBy(F.floor(F.col("seq") / 5).alias("id")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("content")

@@ -13,8 +13,8 @@ RECIPES = (
 )
 
 
-#: A cell, quoted or bare, and what ends it.
-CSV_CELL = r'("(?:[^"]|"")*"|[^,\r\n]*)(,|\r\n|\n|\r|\z)'
+#: A cell, quoted or bare, and what ends it. The repeats are possessive: they run in a loop, whatever the length of a cell.
+CSV_CELL = r'("[^"]*+(?:""[^"]*+)*+"|[^,\r\n]*+)(,|\r\n|\n|\r|\z)'
 
 
 def _csv_cells(content: Column) -> Column:
