@@ -160,6 +160,31 @@ def crawl_eta(logs: DataFrame, companies: DataFrame, as_of: str, order: list[str
     return both.select(known.alias("avg_duration"), "remaining", F.floor(known * F.col("remaining")).alias("eta_seconds"))
 
 
+def moving_durations(logs: DataFrame, as_of: str, order: list[str], window: int = 10) -> DataFrame:
+    """Every finished crawl with the mean duration of itself and the ``window - 1`` finished before it.
+
+    All crawls are one sequence. Each gets its position in it, positions are cut
+    into blocks of at least a thousand, and the last rows of a block are also given
+    to the next one, so that every mean is found inside one block.
+    """
+    past = logs.filter((F.col("started_at") < dates.ts(as_of)) & F.col("completed_at").isNotNull())
+    took = dates.seconds_between(F.col("started_at"), F.col("completed_at"))
+    rows = past.select("company_id", *[c for c in order if c != "company_id"], "completed_at", took.alias("duration"), F.lit(0).alias("_all"))
+    time = [F.col("completed_at"), *[F.col(c).desc() for c in order]]
+    return moving_means(rows, ["_all"], time, "duration", "avg_duration", window).drop("_all")
+
+
+def moving_means(rows: DataFrame, keys: list[str], order: list[Column], value: str, name: str, window: int) -> DataFrame:
+    """``name``: mean of the last ``window`` values of a key up to each row, also for keys too big for a task."""
+    size = max(1000, window)
+    placed = ordinals(rows, keys, order, name="_at").withColumn("_block", F.floor((F.col("_at") - 1) / size))
+    # rows that the next block needs are in both
+    ahead = F.when((F.col("_at") - 1) % size > size - window, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = placed.withColumn("_ahead", F.explode(ahead)).withColumn("_block", F.col("_block") + F.col("_ahead"))
+    last = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(1 - window, 0)
+    return spread.withColumn(name, F.avg(value).over(last)).filter("_ahead = 0").drop("_at", "_block", "_ahead")
+
+
 def last_seen_ids(jobs: DataFrame, cap: int) -> DataFrame:
     """The newest ``cap`` external ids of each company, newest first; the list is one value, so the caller bounds it."""
     filled = jobs.filter(F.coalesce("external_id", F.lit("")) != "").select("company_id", "external_id", "discovered_at", "id")

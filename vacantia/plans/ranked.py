@@ -125,6 +125,15 @@ def _(t):
     return ranking.crawl_eta(t("crawl_logs"), t("companies"), AS_OF, ORDER)
 
 
+@query("e12_moving_average", f"""
+WITH d AS (SELECT *, (epoch_us(completed_at) - epoch_us(started_at)) / 1e6 AS duration FROM {{crawl_logs}} WHERE started_at < TIMESTAMP '{AS_OF}' AND completed_at IS NOT NULL)
+SELECT company_id, l_orderkey, l_linenumber, completed_at, duration,
+ avg(duration) OVER (ORDER BY completed_at, started_at DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, company_id DESC ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS avg_duration FROM d""")
+def _(t):
+    out = ranking.moving_durations(t("crawl_logs"), AS_OF, ORDER)
+    return out.select("company_id", "l_orderkey", "l_linenumber", "completed_at", "duration", "avg_duration")
+
+
 @query("e13_last_seen_ids", """
 SELECT company_id, string_agg(external_id, ',' ORDER BY discovered_at DESC, id) AS last_seen_ids FROM (
  SELECT * FROM {jobs} WHERE coalesce(external_id, '') <> '' QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY discovered_at DESC, id) <= 500)
