@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vacantia.operators import aggregates, dedupe, joins, recommendations
+from vacantia.operators import aggregates, breaker, dedupe, joins, recommendations
 from vacantia.operators.filters import LOG_TIES
 from vacantia.plans.joined import AUTOMATION
 from vacantia.plans.registry import query
@@ -174,6 +174,24 @@ def _(t):
     return aggregates.domain_failures(t("crawl_logs"), t("companies"), AS_OF, ORDER)
 
 
+#: From every crawl that finds a breaker closed and its count at nothing, the crawl that opens it next and the one that finds it half-open.
+@query("d20_breaker_episodes", f"""
+WITH RECURSIVE h AS (SELECT id, {HOST} AS domain FROM {{companies}}),
+ base AS (SELECT h.domain, started_at, status = 'failed' AS failed,
+   row_number() OVER (PARTITION BY h.domain ORDER BY started_at, l_orderkey, l_linenumber, l_partkey, l_extendedprice, company_id) AS n
+  FROM {{crawl_logs}} l JOIN h ON h.id = l.company_id WHERE started_at < TIMESTAMP '{AS_OF}' AND status IN ('completed', 'failed')),
+ l AS MATERIALIZED (SELECT *, n - coalesce(max(CASE WHEN NOT failed THEN n END) OVER (PARTITION BY domain ORDER BY n), 0) AS streak FROM base),
+ ahead AS (SELECT domain, n, min(CASE WHEN streak >= 5 THEN n END) OVER (PARTITION BY domain ORDER BY n ROWS BETWEEN 4 FOLLOWING AND UNBOUNDED FOLLOWING) AS opens FROM l),
+ jump AS MATERIALIZED (SELECT a.domain, a.n, a.opens, o.started_at AS opened_at, c.n AS half, c.started_at AS closed_at
+  FROM ahead a JOIN l o ON o.domain = a.domain AND o.n = a.opens
+  ASOF LEFT JOIN (SELECT domain, started_at, min(n) AS n FROM l GROUP BY 1, 2) c ON c.domain = o.domain AND c.started_at >= o.started_at + INTERVAL '300' SECOND),
+ last AS (SELECT domain, max(n) AS n FROM l GROUP BY 1),
+ walk AS (SELECT * FROM jump WHERE n = 1 UNION ALL SELECT j.* FROM walk w JOIN jump j ON j.domain = w.domain AND j.n = w.half)
+SELECT w.domain, opened_at, closed_at, 5 AS failures, CAST(coalesce(half - 1, last.n) - opens AS BIGINT) AS refused FROM walk w JOIN last ON last.domain = w.domain""")
+def _(t):
+    return breaker.breaker_episodes(t("crawl_logs"), t("companies"), AS_OF, ORDER)
+
+
 @query("g26_company_health_classes", f"""
 SELECT health_status, needs_attention, count(*) AS companies FROM ({AUTOMATION.strip()}) GROUP BY 1, 2""")
 def _(t):
