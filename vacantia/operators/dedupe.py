@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import dates, text, urls
 from vacantia.operators.joins import child_counts
-from vacantia.operators.scale import keep_first, paged_ids
+from vacantia.operators.scale import keep_first, paged_ids, salted_join
 from vacantia.session import settled
 
 #: Days within which an equal external id of another company is the same posting.
@@ -29,7 +29,34 @@ def _key_rows(rows: DataFrame, keep: list[str], *entries: tuple[int, Column, Col
     return rows.select(*keep, F.inline(made)).filter(F.col("scope").isNotNull() & F.col("k").isNotNull())
 
 
-def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str = "seq", settle: bool = True) -> DataFrame:
+def stored_keys(stored: DataFrame) -> DataFrame:
+    """(tier, scope, k, id, discovered_at) rows under which stored postings are found, for every kind of asking."""
+    company, any_scope = F.col("company_id"), F.lit(ANY_COMPANY)
+    ext = _blank_to_null(F.col("external_id"))
+    links = [_blank_to_null(urls.normalize_url(F.col(c))) for c in ("url", "source_url")]
+    rows = _key_rows(
+        stored, ["id", "discovered_at"],
+        (1, company, ext),
+        *[(2, scope, link) for link in links for scope in (company, any_scope)],
+        (3, company, _blank_to_null(text.normalize_title(F.col("title")))),
+        (4, any_scope, ext),
+    )
+    return rows.select(F.col("tier").cast("int"), F.col("scope").cast("long"), "k", F.col("id").cast("long"), "discovered_at")
+
+
+def _kept_lookup(keys: DataFrame, as_of: str) -> DataFrame:
+    """One id per kept key: the smallest, in tier 4 the latest if it is recent."""
+    horizon = dates.plus(dates.ts(as_of), -CROSS_COMPANY_DAYS, "day")
+    one = keys.groupBy("tier", "scope", "k").agg(
+        F.min("id").alias("first"), F.max(F.struct("discovered_at", (-F.col("id")).alias("neg"))).alias("last")
+    )
+    recent = F.when(F.col("last.discovered_at") >= horizon, -F.col("last.neg"))
+    return one.select("tier", "scope", "k", F.when(F.col("tier") == 4, recent).otherwise(F.col("first")).alias("id")).filter("id IS NOT NULL")
+
+
+def find_duplicates(
+    incoming: DataFrame, stored: DataFrame | None, as_of: str, key: str = "seq", settle: bool = True, keys: DataFrame | None = None
+) -> DataFrame:
     """Per incoming row the first tier that finds a stored posting, and its id.
 
     Tiers: 1 external id and company; 2 normalised URL, within the company when
@@ -40,7 +67,9 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str
     rows are cut to one per key by a hash aggregate, so equal keys on both sides
     never multiply, and the hits of a row are folded by tier. A small batch first
     filters the stored rows to its own keys without shuffling them.
-    ``settle=False`` when ``incoming`` is already a settled frame.
+    ``settle=False`` when ``incoming`` is already a settled frame. ``keys`` brings
+    the stored rows' keys from a kept table (``sources.duplicate_keys``); then
+    ``stored`` is not read.
     """
     any_scope = F.lit(ANY_COMPANY)
     company = F.col("company_id")
@@ -54,19 +83,14 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str
     )
     if settle:
         wanted = settled(wanted, "wanted")
+    if keys is not None:
+        return _folded_hits(wanted, key, _asked_keys(wanted, key), _kept_lookup(keys, as_of))
     # external ids are asked for twice; 96 covers the fixed part of the four key rows
     width = F.octet_length(F.concat_ws("", "k_ext", "k_ext", "k_url", "k_title")) + 96
     facts = wanted.agg(
         F.coalesce(F.sum(width), F.lit(0)).alias("bytes"), F.count_if(F.col("k_company").isNull()).alias("free")
     ).first()
-    url_scope = F.coalesce(F.col("k_company"), any_scope)
-    asked = _key_rows(
-        wanted, [key],
-        (1, F.col("k_company"), F.col("k_ext")),
-        (2, url_scope, F.col("k_url")),
-        (3, F.col("k_company"), F.col("k_title")),
-        (4, any_scope, F.col("k_ext")),
-    )
+    asked = _asked_keys(wanted, key)
 
     ext = _blank_to_null(F.col("external_id"))
     links = [_blank_to_null(urls.normalize_url(F.col(c))) for c in ("url", "source_url")]
@@ -88,7 +112,24 @@ def find_duplicates(incoming: DataFrame, stored: DataFrame, as_of: str, key: str
     last = recent.groupBy(*on).agg(F.max(F.struct("discovered_at", (-F.col("id")).alias("neg"))).alias("last"))
     lookup = found.unionByName(last.select(*on, (-F.col("last.neg")).alias("id")))
 
-    hits = asked.join(lookup, on).select(key, "tier", "id")
+    return _folded_hits(wanted, key, asked, lookup)
+
+
+def _asked_keys(wanted: DataFrame, key: str) -> DataFrame:
+    """The keys of incoming rows, tier by tier."""
+    any_scope = F.lit(ANY_COMPANY)
+    return _key_rows(
+        wanted, [key],
+        (1, F.col("k_company"), F.col("k_ext")),
+        (2, F.coalesce(F.col("k_company"), any_scope), F.col("k_url")),
+        (3, F.col("k_company"), F.col("k_title")),
+        (4, any_scope, F.col("k_ext")),
+    )
+
+
+def _folded_hits(wanted: DataFrame, key: str, asked: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Per incoming row the first tier with a hit, and the hit."""
+    hits = asked.join(lookup, ["tier", "scope", "k"]).select(key, "tier", "id")
     # one bare row per posting keeps those without a hit
     every = wanted.select(key, F.lit(None).cast("int").alias("tier"), F.lit(None).cast("bigint").alias("id"))
     out = hits.unionByName(every).groupBy(key).agg(*[F.min(F.when(F.col("tier") == n, F.col("id"))).alias(f"t{n}") for n in TIERS])
@@ -104,7 +145,8 @@ def duplicate_groups(jobs: DataFrame) -> DataFrame:
     """
     filled = jobs.filter(F.col("external_id").isNotNull()).select("id", "external_id", "company_id")
     counts = child_counts(filled, "external_id", "group_count").filter(F.col("group_count") > 1)
-    members = filled.join(counts, filled["external_id"] == counts["_parent"]).drop("_parent")
+    # an id that a third of all postings share meets its count in many tasks
+    members = salted_join(filled, settled(counts.withColumnRenamed("_parent", "external_id"), "group-counts"), ["external_id"])
     paged = paged_ids(members, F.col("group_count"))
     pairs = F.sort_array(F.collect_list(F.struct("id", "company_id")))
     return (

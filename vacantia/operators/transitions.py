@@ -25,14 +25,14 @@ def new_postings(incoming: DataFrame, key: str = "seq") -> DataFrame:
     return dedupe.dedupe_by_id(filters.valid_postings(incoming), key, ("external_id", "company_id"))
 
 
-def _decided(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame]:
+def _decided(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None, key: str, keys: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """New rows of a batch, and the one refresh per stored posting."""
     batch = new_postings(incoming, key)
     if seen is not None:
         batch = filters.unseen_postings(batch, seen)
     batch = settled(batch, "batch")
     # the texts of a batch are written once; only the keys of the hits are kept beside them
-    decided = batch.join(settled(dedupe.find_duplicates(batch, stored, as_of, key, settle=False), "hits"), key)
+    decided = batch.join(settled(dedupe.find_duplicates(batch, stored, as_of, key, settle=False, keys=keys), "hits"), key)
     known = stored.select(F.col("id").alias("match_id"), F.col("discovered_at").alias("_found_at"))
     later = decided.filter(F.col("match_id").isNotNull()).join(known, "match_id").filter(F.col("posted_date") > F.col("_found_at"))
     last = keep_first(later, ["match_id"], [F.col(key).desc()]).select(
@@ -55,20 +55,25 @@ def _refresh(stored: DataFrame, last: DataFrame, how: str) -> DataFrame:
     return old.withColumn("change", change).drop("_hit", *[f"_{c}" for c in REFRESHED])
 
 
-def ingest(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None = None, key: str = "seq") -> DataFrame:
+def ingest(
+    stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None = None, key: str = "seq", keys: DataFrame | None = None
+) -> DataFrame:
     """Stored postings after a batch, with ``change`` = kept, refreshed or new.
 
     A duplicate refreshes the stored posting when it was posted after that one
     was discovered; of several the last in the batch wins. A NULL in the batch
-    counts as absent. New rows have no id yet (see :func:`with_ids`).
+    counts as absent. New rows have no id yet (see :func:`with_ids`). ``keys``: the
+    stored rows' duplicate keys, where a table of them is kept.
     """
-    fresh, last = _decided(stored, incoming, as_of, seen, key)
+    fresh, last = _decided(stored, incoming, as_of, seen, key, keys)
     return _refresh(stored, last, "left").unionByName(fresh, allowMissingColumns=True)
 
 
-def ingest_changes(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None = None, key: str = "seq") -> DataFrame:
+def ingest_changes(
+    stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame | None = None, key: str = "seq", keys: DataFrame | None = None
+) -> DataFrame:
     """Only the refreshed and new rows of :func:`ingest`."""
-    fresh, last = _decided(stored, incoming, as_of, seen, key)
+    fresh, last = _decided(stored, incoming, as_of, seen, key, keys)
     return _refresh(stored, last, "inner").unionByName(fresh, allowMissingColumns=True)
 
 

@@ -34,7 +34,7 @@ after AS (SELECT s.id, s.company_id, s.external_id, s.title, coalesce(h.url, s.u
 
 
 def ingested(t):
-    return transitions.ingest(t("stored_jobs"), t("incoming"), AS_OF)
+    return transitions.ingest(t("stored_jobs"), t("incoming"), AS_OF, keys=t.stored_keys().first_rows())
 
 
 @query("j1_ingest", INGEST + " SELECT * FROM after")

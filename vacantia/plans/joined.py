@@ -184,6 +184,24 @@ cascade AS (SELECT w.seq, h.tier, h.id AS match_id FROM want w LEFT JOIN (
 
 @query("c15_duplicate_cascade", "WITH " + CASCADE + " SELECT seq, tier, match_id FROM cascade")
 def _(t):
+    return dedupe.find_duplicates(t("incoming"), None, AS_OF, keys=t.stored_keys().first_rows())
+
+
+@query("c15_stored_keys", f"""
+WITH k AS (SELECT company_id, nullif(external_id, '') AS ext, nullif({TITLE.format('title')}, '') AS title, nullif({LINK.format('url')}, '') AS u, nullif({LINK.format('source_url')}, '') AS v FROM {{stored_jobs}})
+SELECT * FROM (SELECT 1 AS tier, count(*) FILTER (company_id IS NOT NULL AND ext IS NOT NULL) AS keys, count(DISTINCT ext) FILTER (company_id IS NOT NULL) AS texts FROM k
+ UNION ALL SELECT 2, count(*) FILTER (company_id IS NOT NULL) + count(*), count(DISTINCT u) FROM (SELECT company_id, u FROM k WHERE u IS NOT NULL UNION ALL SELECT company_id, v FROM k WHERE v IS NOT NULL)
+ UNION ALL SELECT 3, count(*) FILTER (company_id IS NOT NULL AND title IS NOT NULL), count(DISTINCT title) FILTER (company_id IS NOT NULL) FROM k
+ UNION ALL SELECT 4, count(ext), count(DISTINCT ext) FROM k)""")
+def _(t):
+    """What a kept table of keys holds."""
+    rows = t.stored_keys().first_rows()
+    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("k").alias("texts"))
+
+
+@query("c15_duplicates_by_scan", "WITH " + CASCADE + " SELECT seq, tier, match_id FROM cascade")
+def _(t):
+    """The same without a kept table of keys."""
     return dedupe.find_duplicates(t("incoming"), t("stored_jobs"), AS_OF)
 
 

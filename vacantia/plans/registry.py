@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.plans import views
-from vacantia.session import tune
+from vacantia.session import folders, own_dir, tune
+from vacantia.sources.duplicate_keys import KeyTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_KEY_TABLES: dict[tuple[str, str], KeyTable] = {}
 
 
 @dataclass(frozen=True)
@@ -24,6 +27,14 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return views.frame(self.spark, self.sf_dir, name)
 
+    def stored_keys(self) -> KeyTable:
+        """The duplicate keys of ``stored_jobs``: kept beside them, so they are only made if they are not there yet."""
+        root, name = f"{own_dir(self.spark)}/keys", f"stored-{zlib.crc32(self.sf_dir.encode())}"
+        if name not in folders(self.spark, root) or (root, name) not in _KEY_TABLES:
+            table = KeyTable(self.spark, f"{root}/{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            _KEY_TABLES[root, name] = table.start(self("stored_jobs"))
+        return _KEY_TABLES[root, name]
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""

@@ -10,7 +10,9 @@ from vacantia.plans.registry import Tables, query
 from vacantia.plans.views import AS_OF, TODAY
 from vacantia.session import work_path
 from vacantia.streaming import queries as streams
-from vacantia.streaming.changelog import ChangeLog
+from vacantia.sources.duplicate_keys import KeyTable
+from vacantia.streaming import outcomes, timers
+from vacantia.streaming.changelog import ChangeLog, PartialLog
 
 PARTS = 3
 
@@ -58,8 +60,9 @@ def _(t):
     base = t("stored_jobs").withColumn("change", F.lit("kept"))
     store = ChangeLog(t.spark, work_path(t.spark, "postings"), ["id"], ddl(base))
     store.start(base)
+    keys = KeyTable(t.spark, work_path(t.spark, "keys"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))).start(base)
     checkpoint = work_path(t.spark, "ckpt")
-    drained(lambda stream: streams.ingest_stream(stream, store, AS_OF, checkpoint), Landing(t, incoming, part, "landing"))
+    drained(lambda stream: streams.ingest_stream(stream, store, AS_OF, checkpoint, keys), Landing(t, incoming, part, "landing"))
     return store.current().select("company_id", "external_id", "title", "url", "posted_date", "status")
 
 
@@ -97,6 +100,26 @@ def _(t):
     return log.current()
 
 
+CLASS = "CASE WHEN c.id IS NULL THEN NULL WHEN crawler_type IN ('indeed', 'linkedin') THEN 'selenium' WHEN crawler_type IN ('greenhouse', 'lever') THEN 'api' WHEN crawler_type IN ('generic', 'workday') THEN 'ai' ELSE 'unknown' END"
+
+
+@query("h3_outcome_stream", f"""
+WITH l AS (SELECT l.*, CAST(started_at AS DATE) AS day, {CLASS} AS crawler_class FROM {{crawl_logs}} l LEFT JOIN {{companies}} c ON c.id = l.company_id),
+spread AS (SELECT CAST(days AS INT) AS days, CAST(day - CAST(back AS INT) AS DATE) AS period_start, l.* FROM l, (SELECT unnest([1, 7, 30]) AS days), range(30) r(back) WHERE back < days)
+SELECT days, period_start, crawler_class, count(*) AS crawls, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
+ CAST(coalesce(sum(new_jobs) FILTER (status = 'completed'), 0) AS BIGINT) AS new_jobs, count(*) FILTER (status = 'completed') / count(*) AS success_rate,
+ avg((epoch_us(completed_at) - epoch_us(started_at)) / 1e6) FILTER (status = 'completed') AS avg_duration FROM spread GROUP BY 1, 2, 3""")
+def _(t):
+    """One crawl in seven lands a year or more late."""
+    logs = t("crawl_logs").select("company_id", "status", "started_at", "completed_at", "new_jobs", "l_orderkey")
+    part = F.least(by_year("started_at") + F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0), F.lit(PARTS - 1))
+    log = PartialLog(t.spark, work_path(t.spark, "outcomes"), outcomes.KEYS, outcomes.PARTIALS)
+    log.start(t.spark.createDataFrame([], outcomes.PARTIALS))
+    checkpoint = work_path(t.spark, "ckpt")
+    drained(lambda stream: outcomes.outcome_stream(stream, t("companies"), log, checkpoint), Landing(t, logs, part, "crawls"))
+    return outcomes.outcome_periods(log.current(), [1, 7, 30])
+
+
 RUN = ["company_id", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
@@ -146,6 +169,28 @@ def _(t):
     return task_log(t, wake=True).current().select("task_id", "status", "snooze_until")
 
 
+@query("h5_task_timers", f"""
+WITH RECURSIVE e AS (SELECT *, {UNTIL} AS until, row_number() OVER (PARTITION BY task_id ORDER BY ts, id) AS n FROM {{task_commands}}),
+clock AS (SELECT max(ts) AS ts FROM e),
+walk AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, 'pending' AS status, CAST(NULL AS TIMESTAMP) AS until FROM e
+ UNION ALL SELECT task_id, n, CASE WHEN (status = 'pending' AND new_status IN ('in_progress', 'completed', 'snoozed', 'cancelled')) OR (status = 'in_progress' AND new_status IN ('completed', 'snoozed', 'cancelled'))
+   OR (status = 'snoozed' AND new_status IN ('pending', 'in_progress', 'cancelled')) THEN new_status ELSE status END, CASE WHEN new_status = 'snoozed' THEN ends ELSE until END
+ FROM (SELECT e.task_id, e.n, e.new_status, e.until AS ends, w.until, CASE WHEN w.status = 'snoozed' AND w.until <= e.ts THEN 'pending' ELSE w.status END AS status
+  FROM walk w JOIN e ON e.task_id = w.task_id AND e.n = w.n + 1))
+SELECT task_id, CASE WHEN status = 'snoozed' AND until < (SELECT ts FROM clock) THEN 'pending' ELSE status END AS status, until AS snooze_until
+FROM walk QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1""")
+def _(t):
+    """Commands land in the order of their times, in thirds of the span."""
+    commands = t("task_commands")
+    ends = commands.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("z")).first()
+    place = (F.unix_micros("ts") - (ends["a"] or 0)) * PARTS / ((ends["z"] or 0) - (ends["a"] or 0) + 1)
+    log = ChangeLog(t.spark, work_path(t.spark, "timers"), ["task_id"], timers.TASKS)
+    log.start(t.spark.createDataFrame([], timers.TASKS))
+    checkpoint = work_path(t.spark, "ckpt")
+    drained(lambda stream: timers.timer_stream(stream, log, checkpoint), Landing(t, commands, F.floor(place).cast("int"), "commands"))
+    return log.current().select("task_id", "status", "snooze_until")
+
+
 @query("h6_due_reminders", f"""
 SELECT id, job_id, due_date FROM {{tasks}} WHERE due_date <= TIMESTAMP '{TODAY}' + INTERVAL '1' HOUR AND status IN ('pending', 'in_progress')""")
 def _(t):

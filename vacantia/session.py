@@ -64,16 +64,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh name in this application's part of the shared folder (nothing is created)."""
-    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/vacantia-{spark.sparkContext.applicationId}"
 
 
 def forget_work(spark: SparkSession) -> None:
     """Delete what this application has settled, once no frame that reads it is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

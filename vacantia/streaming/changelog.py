@@ -68,3 +68,16 @@ class ChangeLog:
         fresh = ChangeLog(self.spark, target, self.keys, self.schema)
         fresh.start(self.current(batch_id + 1))
         return fresh
+
+
+class PartialLog(ChangeLog):
+    """Sums per key over all batches: each batch adds its own partial rows, of whatever age."""
+
+    def _state(self, before: int | None, fold: int | None) -> DataFrame:
+        rows = self.rows(before)
+        parts = rows.filter(F.col("batch") >= (fold or -1)).drop("batch")
+        if fold is not None:
+            parts = parts.unionByName(self.spark.read.schema(self.schema).parquet(f"{self.root}-folds/{fold}"))
+        sums = [c for c in parts.columns if c not in self.keys]
+        types = dict(parts.dtypes)
+        return parts.groupBy(*self.keys).agg(*[F.sum(c).cast(types[c]).alias(c) for c in sums])

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.functions import dates
 from vacantia.operators import filters, task_state, transitions
+from vacantia.sources.duplicate_keys import KeyTable
 from vacantia.streaming.changelog import ChangeLog
 
 STUCK_MINUTES = 60
@@ -41,14 +42,22 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def ingest_stream(landed: DataFrame, store: ChangeLog, as_of: str, checkpoint: str) -> StreamingQuery:
-    """Landed postings into the stored ones, batch by batch."""
+def ingest_stream(landed: DataFrame, store: ChangeLog, as_of: str, checkpoint: str, keys: KeyTable | None = None) -> StreamingQuery:
+    """Landed postings into the stored ones, batch by batch.
+
+    With ``keys`` duplicates are found in the kept key table, which follows the
+    changes of each batch; only postings that are refreshed are then read.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = store.current(batch_id)
-        changes = transitions.ingest_changes(stored, batch, as_of)
+        known = keys.rows(batch_id + 1) if keys else None  # the start is batch 0 of the table
+        changes = transitions.ingest_changes(stored, batch, as_of, keys=known)
         start = (batch_id + 1) << 40
         store.write(transitions.with_ids(changes, start, [F.col("company_id"), F.col("external_id")]), batch_id)
+        if keys:
+            written = store.rows().filter(F.col("batch") == batch_id)
+            keys.change(stored.join(written.select("id"), "id", "left_semi"), written, batch_id + 1)
 
     return drain(landed, handle, checkpoint)
 
