@@ -52,13 +52,15 @@ from vacantia.session import settled, work_path
 LENGTH = 100
 FIRST = 32
 BLOCK = 8
+#: Longest power of two that is ranked.
+WIDE = 64
 #: Starts within a window at which the first rank can stand.
 SPREAD = LENGTH - FIRST + 1
 #: Low bits that hold a place while least ranks are sought; the rest orders the ranks.
 PLACE_BITS = np.uint64(31)
 PLACE_MASK = np.uint64((1 << 31) - 1)
 #: Bytes of text worked on at a time; one longer text is worked on alone.
-SLICE = 1 << 18
+SLICE = 1 << 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 KEY = "doc_id bigint, tie bigint"
@@ -68,8 +70,11 @@ PLACE = "start int, count int"
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The rank of two neighbouring strings from their ranks."""
-    x = (left * _A + right) * _B
-    return x ^ (x >> np.uint64(29))
+    x = left * _A
+    x += right
+    x *= _B
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def doubled(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
@@ -101,8 +106,11 @@ def least(keys: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(first: np.ndarray) -> np.ndarray:
     """For every window the position of its least first rank, the leftmost of equal ones."""
-    keys = (first & ~PLACE_MASK) | np.arange(len(first), dtype=np.uint64)
-    return (least(keys, SPREAD) & PLACE_MASK).astype(np.int64)
+    keys = first & ~PLACE_MASK
+    keys |= np.arange(len(first), dtype=np.uint64)
+    keys = least(keys, SPREAD)
+    keys &= PLACE_MASK
+    return keys.view(np.int64)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -138,28 +146,33 @@ def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(texts), np.uint8)
         if len(data) < LENGTH:
             continue
-        ranks = doubled(data, 2 * LENGTH)
+        ranks = doubled(data, WIDE)
         at = anchors(ranks[FIRST])
         value = ranks[FIRST][at]
-        row = np.repeat(np.arange(len(texts)), np.diff(begin))[: len(at)]
-        fits = np.arange(len(at)) + LENGTH <= begin[row + 1]
-        cut = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]) | (fits[1:] != fits[:-1]))))
+        change = np.empty(len(at), bool)
+        change[0] = True
+        np.not_equal(value[1:], value[:-1], out=change[1:])
+        real = np.ones(len(at), bool)
+        for first, after in zip(begin[:-1].tolist(), begin[1:].tolist()):  # windows that reach into the next text
+            beyond = max(first, after - LENGTH + 1)
+            real[beyond:after] = False
+            change[beyond : beyond + 1] = change[after : after + 1] = True
+        cut = np.flatnonzero(change)
         end = np.append(cut[1:], len(at))
-        real = fits[cut]
-        cut, end = cut[real], end[real]
+        own = real[cut]
+        cut, end = cut[own], end[own]
         if not len(cut):
             continue
+        row = np.searchsorted(begin, cut, "right") - 1
         loose = (at[cut] != at[end - 1]) | (end - cut > SPREAD)
         size = end - cut + LENGTH - 1
-        hull = np.empty(len(cut), np.uint64)
-        for power in (64, 128):
-            some = (size >= power) & (size < 2 * power)
-            if some.any():
-                hull[some] = joined(ranks[power][cut[some]], ranks[power][cut[some] + size[some] - power])
-        for i in np.flatnonzero(size >= 256).tolist():
+        # three strings of 64 bytes cover up to 192; only loose rows can be longer
+        near = np.minimum(size, 3 * WIDE) - WIDE
+        hull = joined(joined(ranks[WIDE][cut], ranks[WIDE][cut + near // 2]), ranks[WIDE][cut + near])
+        for i in np.flatnonzero(size > 3 * WIDE).tolist():
             hull[i] = xxhash.xxh3_64_intdigest(data[cut[i] : cut[i] + size[i]])
         hull = joined(hull, size.astype(np.uint64))
-        own = row[cut]
+        own = row
         yield pa.RecordBatch.from_arrays(
             [signed(value[cut]), signed(hull), batch["doc_id"].take(pa.array(own)), batch["tie"].take(pa.array(own)), pa.array((cut - begin[own]).astype(np.int32)), pa.array((end - cut).astype(np.int32)), pa.array(loose)],
             ["core", "hull", "doc_id", "tie", "start", "count", "loose"],
@@ -174,7 +187,7 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches, "piece"):
         begin = starts_of(texts)
         data = np.frombuffer(b"".join(texts), np.uint8)
-        ranks = doubled(data, LENGTH)
+        ranks = doubled(data, WIDE)
         at = anchors(ranks[FIRST])
         place = np.arange(len(at))
         row = np.repeat(np.arange(len(texts)), np.diff(begin))[: len(at)]
@@ -309,45 +322,63 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the open rows of every text, with the blocks at their ends."""
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        for i, (small, open_rows) in enumerate(zip(batch["packed"].to_pylist(), batch["open"].to_pylist())):
-            text = expand.decompress(small)
-            starts = [r["start"] for r in open_rows]
-            counts = [r["count"] for r in open_rows]
-            margins = [min(BLOCK - 1, s) for s in starts]
-            cut = [text[s - m : s + n + LENGTH + BLOCK - 2] for s, n, m in zip(starts, counts, margins)]
-            own = pa.array(np.full(len(cut), i))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(own), batch["tie"].take(own), pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(margins, pa.int32()), pa.array(cut, pa.binary())],
-                ["doc_id", "tie", "start", "count", "margin", "piece"],
-            )
-
-
-def union_of(windows: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the windows cover."""
-    runs: list[tuple[int, int]] = []
-    for w in sorted(windows or [], key=lambda w: w["start"]):
-        start, end = w["start"], w["start"] + w["count"] + LENGTH - 1
-        if runs and start <= runs[-1][1]:
-            runs[-1] = runs[-1][0], max(end, runs[-1][1])
-        else:
-            runs.append((start, end))
-    return runs
+        starts, counts, sizes = listed(batch["open"])
+        own = np.repeat(np.arange(batch.num_rows), sizes)
+        margins = np.minimum(starts, BLOCK - 1)
+        ends = starts + counts + LENGTH + BLOCK - 2
+        cut, text, of = [], b"", -1
+        small = batch["packed"]
+        for i, a, z in zip(own.tolist(), (starts - margins).tolist(), ends.tolist()):
+            if i != of:
+                text, of = expand.decompress(small[i].as_py()), i
+            cut.append(text[a:z])
+        own = pa.array(own)
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"].take(own), batch["tie"].take(own), pa.array(starts), pa.array(counts), pa.array(margins.astype(np.int32)), pa.array(cut, pa.binary())],
+            ["doc_id", "tie", "start", "count", "margin", "piece"],
+        )
+
+
+def listed(windows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and counts of all windows of a batch, and how many each row has."""
+    sizes = windows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = windows.flatten()
+    return flat.field("start").to_numpy(), flat.field("count").to_numpy(), sizes
+
+
+def runs_of(windows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes that the windows of each row cover: row, start and end."""
+    starts, counts, sizes = listed(windows)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32
+    first, after = row + starts, row + starts + counts + LENGTH - 1
+    order = np.argsort(first, kind="stable")
+    first, after = first[order], np.maximum.accumulate(after[order])
+    new = np.concatenate(([True], first[1:] > after[:-1]))[: len(first)]
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(first))[: len(begin)] - 1
+    first, after = first[begin], after[last]
+    return first >> 32, first & 0xFFFFFFFF, after & 0xFFFFFFFF
 
 
 def remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every text's removed runs and the bytes that stay."""
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        sizes, spans, kept = [], [], []
-        for small, windows in zip(batch["packed"].to_pylist(), batch["windows"].to_pylist()):
-            text = expand.decompress(small)
-            runs = union_of(windows)
-            edges = [0, *[e for run in runs for e in run], len(text)]
+        sizes, kept = [], []
+        row, first, after = runs_of(batch["windows"])
+        offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        edges = np.stack([first, after], axis=1)
+        for i, small in enumerate(batch["packed"]):
+            text = expand.decompress(small.as_py())
             sizes.append(len(text))
-            spans.append([{"start": a, "end": b} for a, b in runs])
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            if offsets[i] < offsets[i + 1]:
+                inner = [0, *edges[offsets[i] : offsets[i + 1]].ravel().tolist(), len(text)]
+                text = b"".join([text[a:z] for a, z in zip(inner[::2], inner[1::2])])
+            kept.append(text)
+        span = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(after.astype(np.int32))], ["start", "end"])
+        spans = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), span)
         yield pa.RecordBatch.from_arrays(
-            [batch["id"], batch["copies"], pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
+            [batch["id"], batch["copies"], pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())],
             ["doc_id", "copies", "n_bytes", "spans", "kept"],
         )
 
