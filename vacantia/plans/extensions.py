@@ -8,7 +8,9 @@ from vacantia.operators import filters, scoring
 from vacantia.plans.functions import responses
 from vacantia.plans.registry import query
 from vacantia.plans.views import TODAY
-from vacantia.sources import companies, pages
+from vacantia.session import work_path
+from vacantia.sources import companies, company_source, pages
+from vacantia.streaming import queries as streams
 
 SCORE = """least(100.0, 50.0 + len(list_filter(['python', 'engineer'], lambda k: contains(lower(title), k) OR contains(lower(coalesce(description, '')), k))) / 2 * 30
  + CASE WHEN contains(lower(coalesce(location, '')), 'new york') THEN 10 ELSE 0 END)"""
@@ -26,6 +28,39 @@ def _(t):
     return companies.collect_records([fetch(t.spark) for fetch in sources]).select("name", "source_no")
 
 
+LANDED = """
+SELECT trim(name) AS name, career_page_url, source, priority, coalesce(has_crawl_results, false) AS has_crawl_results FROM {company_records}"""
+
+
+def land_payloads(records, root: str) -> str:
+    """Company records as payload files, a list each, in a folder per source."""
+    lists = records.withColumn("_list", F.pmod(F.xxhash64("seq"), F.lit(4))).groupBy("source", "_list").agg(
+        F.to_json(F.collect_list(F.struct("name", "career_page_url", "priority", "has_crawl_results"))).alias("value")
+    )
+    lists.select("source", "value").write.option("maxRecordsPerFile", 1).partitionBy("source").text(root)
+    return root
+
+
+@query("i2_company_source", LANDED + " WHERE source IN ('linkedin', 'indeed')")
+def _(t):
+    """The landed payloads of two sources; files of the others are not opened."""
+    company_source.register(t.spark)
+    rows = t.spark.read.format("company_payloads").option("path", land_payloads(t("company_records"), work_path(t.spark, "payloads"))).load()
+    return rows.filter(F.col("source").isin("linkedin", "indeed")).drop("file")
+
+
+@query("i2_company_stream", LANDED)
+def _(t):
+    """Payloads that land in three parts, each read once."""
+    company_source.register(t.spark)
+    root, out, checkpoint = (work_path(t.spark, n) for n in ("payloads", "companies", "ckpt"))
+    for n in range(3):
+        land_payloads(t("company_records").filter(F.col("seq") % 3 == n), f"{root}/{n:04}")
+        stream = t.spark.readStream.format("company_payloads").option("path", root).load()
+        streams.append_to(stream, out, checkpoint).awaitTermination()
+    return t.spark.read.schema(company_source.SCHEMA).parquet(out).drop("file")
+
+
 @query("i3_scored_jobs", f"SELECT id, {SCORE} AS ai_match_score, {SCORE} >= 70 AS ai_recommended FROM {{jobs}}")
 def _(t):
     out = scoring.scored(t("jobs"), scoring.criteria_scorer("Python engineer", "New York"))
