@@ -121,3 +121,65 @@ def test_day_bounds_prune_folders(spark, tmp_path):
     assert sorted(r["id"] for r in kept.collect()) == [5, 6, 7]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(discovered_at_day" in plan
+
+
+def test_markup_in_comments_scripts_and_values_is_no_markup(spark):
+    from vacantia.sources import markup
+
+    page = """<!-- <script type="application/ld+json">{"a":1}</script> --><p title=it's data-x="a > b" class='"'>Hi <b>you</b></p>
+<script type='application/ld+json' id=x>{"t": "<p>"}</script><SCRIPT>var s = "<!-- </p>";</SCRIPT ><style>p > a {}</style><a href=x>there</a> 1 < 2<script type=application/ld+json>{</script ><a href="never closed>end"""
+    row = spark.createDataFrame([(page,)], "html string").select(
+        markup.visible_text(F.col("html")).alias("text"), markup.bare_markup(F.col("html")).alias("bare"), markup.script_bodies(F.col("html"), "application/ld+json").alias("bodies")
+    ).first()
+    assert row.text == "Hi you\nthere 1 < 2end" and row.bodies == ['{"t": "<p>"}', "{"]
+    assert "<!--" not in row.bare and "var s" not in row.bare and "<p title=it's" in row.bare
+
+
+def test_long_pages_and_cells_do_not_overflow(spark):
+    from vacantia.sources import documents, markup
+
+    long = "<p a='" + "x\"" * 500_000 + "'>" + "<i b>" * 200_000 + "<!--" + "-" * 500_000 + "--><script>" + "<" * 500_000 + "</script>end"
+    cell = '"' + 'a""b' * 2_500_000 + '",2\n"' + "é" * 100_000 + '",3'
+    row = spark.createDataFrame([(long, cell)], "html string, content string").select(
+        markup.visible_text(F.col("html")).alias("text"), "content"
+    )
+    assert row.first().text == "end"
+    out = documents.csv_documents(row.select("content")).select(F.length("text").alias("n"), "row_count", "column_count").first()
+    assert (out.n, out.row_count, out.column_count) == (3 * 2_500_000 + 3 + 1 + 100_000 + 3, 2, 2)
+
+
+def test_company_source_reads_only_the_sources_asked_for(spark, tmp_path):
+    """A filter on the source leaves the other folders unread, whatever is in them."""
+    from vacantia.sources.company_source import register
+
+    register(spark)
+    for source, names in (("linkedin", ["A", "B"]), ("indeed", ["C"])):
+        (tmp_path / f"source={source}").mkdir()
+        for n, name in enumerate(names):
+            (tmp_path / f"source={source}" / f"{n:03}.json").write_text(json.dumps([{"name": name, "career_page_url": f"https://{name}.com", "priority": n}, {"name": None}, "x"]))
+    frame = lambda: spark.read.format("company_payloads").option("path", str(tmp_path)).load()
+    every = sorted((r.name, r.source, r.priority) for r in frame().collect())
+    assert every == [("A", "linkedin", 0), ("B", "linkedin", 1), ("C", "indeed", 0)]
+    assert frame().rdd.getNumPartitions() == 3
+    (tmp_path / "source=indeed" / "zz.json").write_text("broken")
+    one = frame().filter("source = 'linkedin' AND priority > 0")
+    assert [r.name for r in one.collect()] == ["B"] and one.rdd.getNumPartitions() == 2
+    assert frame().filter("source IN ('linkedin', 'indeed')").count() == 3  # a broken payload has no rows
+    assert frame().filter("source = 'nobody'").count() == 0
+
+
+def test_company_source_as_a_stream(spark, tmp_path):
+    """Each run reads what has landed since its checkpoint."""
+    from vacantia.sources.company_source import register
+
+    register(spark)
+    root = tmp_path / "payloads" / "source=seed"
+    root.mkdir(parents=True)
+    seen = []
+    for n, names in enumerate((["A", "B"], ["C"], [])):
+        if names:
+            (root / f"{n:03}.json").write_text(json.dumps([{"name": x, "career_page_url": "u"} for x in names]))
+        stream = spark.readStream.format("company_payloads").option("path", str(root.parent)).load()
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted(r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert seen == [["A", "B"], ["A", "B", "C"], ["A", "B", "C"]]

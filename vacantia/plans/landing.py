@@ -245,8 +245,17 @@ def _(t):
     return brief(postings.jsonld_postings(landed))
 
 
-@query("a10_jsonld_scripts_of_pages", r"""
-SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)) AS blocks FROM {career_pages}""")
+SCRIPTS = r"""
+SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)) AS blocks FROM {career_pages}"""
+
+
+@query("a10_jsonld_scripts_of_odd_pages", SCRIPTS)
+def _(t):
+    """Scripts inside comments and other scripts are none: the pages have those they had before these were planted."""
+    return t("odd_pages").select("page_id", F.size(postings.jsonld_blocks(F.col("html"))).cast("bigint").alias("blocks"))
+
+
+@query("a10_jsonld_scripts_of_pages", SCRIPTS)
 def _(t):
     return t("career_pages").select("page_id", F.size(postings.jsonld_blocks(F.col("html"))).cast("bigint").alias("blocks"))
 
@@ -372,7 +381,7 @@ def _(t):
 SPA = r"""<div[^>]*id=["''](root|app|__next)["'']|react|vue|angular|__next_data__|__react_query_state__|window\.__initial_state__|ng-app"""
 
 
-@query("g21_page_methods", rf"""
+METHODS = rf"""
 WITH s AS (SELECT page_id, url, html, lower(html) AS low, trim(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '<[^>]*>', '', 'g')) AS txt FROM {{career_pages}}),
 f AS (SELECT *, CAST(len(regexp_extract_all(low, '<script[^>]+src=')) AS INT) AS external_scripts, regexp_matches(low, '{SPA}') AS is_spa, CAST(length(txt) AS INT) AS text_chars FROM s)
 SELECT page_id, external_scripts, is_spa, text_chars, CASE
@@ -383,7 +392,16 @@ SELECT page_id, external_scripts, is_spa, text_chars, CASE
  WHEN regexp_matches(html, '(?i)["''][^"'']*(api[^"'']*jobs|jobs[^"'']*api|api[^"'']*positions)[^"'']*\.json["'']|fetch\(["''][^"'']*api[^"'']*jobs[^"'']*["'']') THEN 'api'
  WHEN is_spa OR (text_chars < 500 AND regexp_matches(lower(txt), 'job|career')) OR external_scripts > 5 THEN 'browser'
  WHEN regexp_matches(lower(txt), 'job|position|career|opening|role')
-  AND regexp_matches(low, '(class|id)=["''][^"'']*job|class=["''][^"'']*(position|opening)|<article\b|class=["'']([^"'']* )?listing[ "'']') THEN 'html' ELSE 'generic' END AS method FROM f""")
+  AND regexp_matches(low, '(class|id)=["''][^"'']*job|class=["''][^"'']*(position|opening)|<article\b|class=["'']([^"'']* )?listing[ "'']') THEN 'html' ELSE 'generic' END AS method FROM f"""
+
+
+@query("g21_methods_of_odd_pages", METHODS)
+def _(t):
+    """Tags in comments, scripts and quoted values change nothing."""
+    return pages.page_methods(t("odd_pages")).select("page_id", "external_scripts", "is_spa", "text_chars", "method")
+
+
+@query("g21_page_methods", METHODS)
 def _(t):
     return pages.page_methods(t("career_pages")).select("page_id", "external_scripts", "is_spa", "text_chars", "method")
 

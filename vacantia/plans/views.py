@@ -170,6 +170,9 @@ SELECT page_id, url, concat(html, replace(replace(CASE page_id % 5
  WHEN 1 THEN '<a href="https://co.wd1.myworkdayjobs.com/x">apply</a>' WHEN 2 THEN '<script>fetch("/api/jobs/list")</script>'
  WHEN 3 THEN '<script type="application/ld+json">(("@type":"Organization"))</script><script type="application/ld+json">[(("@graph":[(("@type":"JobPosting"))]))]</script>'
  ELSE '' END, '((', chr(123)), '))', chr(125))) AS html FROM {pages}""",
+    "odd_pages": """
+SELECT page_id, url, replace(replace(concat('<p title=it', chr(39), 's data-x="a > b" class=', chr(39), '"', chr(39), '></p><!-- <div id="root"></div><article><script src="x"></script><a class="job">1</a>',
+ '<script type="application/ld+json">(("@type":"JobPosting"))</script> --><script>var a = "<script src=x><article>"; // <!-- </script><style>.job (( ))</style>', html), '((', chr(123)), '))', chr(125)) AS html FROM {career_pages}""",
     "robots_rules": """
 SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN length(url) % 2 = 0 THEN '/fr/' ELSE '/en' END AS prefix FROM {pages} WHERE page_id % 3 = 0""",
     "stage_change_log": """

@@ -1,8 +1,4 @@
-"""Signals in stored career pages that tell how a page can be read.
-
-The page is read with regular expressions instead of a document tree, so tags
-inside comments or odd attribute quoting can be taken for real ones.
-"""
+"""Signals in stored career pages that tell how a page can be read."""
 
 from __future__ import annotations
 
@@ -11,13 +7,12 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import urls
 from vacantia.functions.payloads import strict_json
+from vacantia.sources.markup import bare_markup, visible_text
 from vacantia.sources.postings import json_nodes, jsonld_blocks
 
 # Markers of script-built pages, of job content and of job elements.
-SPA_MARKERS = (
-    r"<div[^>]*id=[\"']root[\"']", r"<div[^>]*id=[\"']app[\"']", r"<div[^>]*id=[\"']__next[\"']", "react", "vue", "angular",
-    "__next_data__", "__react_query_state__", r"window\.__initial_state__", "ng-app",
-)
+SPA_ROOTS = (r"<div[^>]*id=[\"']root[\"']", r"<div[^>]*id=[\"']app[\"']", r"<div[^>]*id=[\"']__next[\"']")
+SPA_MARKERS = ("react", "vue", "angular", "__next_data__", "__react_query_state__", r"window\.__initial_state__", "ng-app")
 JOB_WORDS = ("job", "position", "career", "opening", "role")
 JOB_ELEMENTS = (
     r"(class|id)=[\"'][^\"']*job", r"class=[\"'][^\"']*(position|opening)", r"<article\b", r"class=[\"']([^\"']* )?listing[ \"']",
@@ -31,12 +26,6 @@ ENDPOINTS = (
 )
 
 
-def visible_text(html: Column) -> Column:
-    """Page text without scripts, styles and tags."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>", "")
-    return F.trim(F.regexp_replace(bare, r"<[^>]*>", ""))
-
-
 def _slug(value: Column, excluded: tuple[str, ...]) -> Column:
     return F.when(~value.isin("", *excluded), value)
 
@@ -76,15 +65,16 @@ def page_methods(pages: DataFrame) -> DataFrame:
     out = (
         pages.withColumn("endpoints", json_endpoints(html))
         .withColumn("_low", F.lower(html))
+        .withColumn("_tags", F.lower(bare_markup(html)))
         .withColumn("_text", visible_text(html))
-        .withColumn("external_scripts", F.regexp_count("_low", F.lit(r"<script[^>]+src=")))
-        .withColumn("is_spa", F.col("_low").rlike("|".join(SPA_MARKERS)))
+        .withColumn("external_scripts", F.regexp_count("_tags", F.lit(r"<script[^>]+src=")))
+        .withColumn("is_spa", F.col("_low").rlike("|".join(SPA_MARKERS)) | F.col("_tags").rlike("|".join(SPA_ROOTS)))
         .withColumn("text_chars", F.length("_text"))
         .withColumn("_words", F.lower("_text"))
     )
     thin = (F.col("text_chars") < 500) & F.col("_words").rlike("job|career")
     browser = F.col("is_spa") | thin | (F.col("external_scripts") > 5)
-    static = F.col("_words").rlike("|".join(JOB_WORDS)) & F.col("_low").rlike("|".join(JOB_ELEMENTS))
+    static = F.col("_words").rlike("|".join(JOB_WORDS)) & F.col("_tags").rlike("|".join(JOB_ELEMENTS))
     api_type = (
         F.when(host.contains("greenhouse.io") & by_url.isNotNull(), "greenhouse")
         .when(host.contains("lever.co") & by_url.isNotNull(), "lever")
@@ -105,5 +95,5 @@ def page_methods(pages: DataFrame) -> DataFrame:
             "method",
             F.when(F.col("api_type").isNotNull(), "api").when(browser, "browser").when(static, "html").otherwise("generic"),
         )
-        .drop("_low", "_text", "_words")
+        .drop("_low", "_tags", "_text", "_words")
     )

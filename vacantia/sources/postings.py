@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import dates, text, urls
 from vacantia.functions.payloads import named_value, names_of, strict_json, without_fence_lines
+from vacantia.sources.markup import script_bodies
 
 GREENHOUSE = (
     "struct<jobs:array<struct<id:string,title:string,location:string,absolute_url:string,updated_at:string,content:string,"
@@ -188,9 +189,7 @@ def json_nodes(payload: Column) -> Column:
 
 def jsonld_blocks(html: Column) -> Column:
     """Bodies of the JSON-LD scripts of a page."""
-    return F.regexp_extract_all(
-        F.coalesce(html, F.lit("")), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)
-    )
+    return script_bodies(html, "application/ld+json")
 
 
 def jsonld_postings(landed: DataFrame, prefix: str = "api_jsonld") -> DataFrame:
