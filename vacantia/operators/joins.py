@@ -8,6 +8,7 @@ by measured size and AQE splits skewed partitions otherwise.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,8 @@ from vacantia.operators.filters import desc
 from vacantia.operators.scale import top_rows
 from vacantia.session import settled
 
-#: Threshold of the task generator and the number of salts of whole-table scopes.
+#: Threshold of the task generator.
 TASK_SCORE = 50
-SCOPE_SALTS = 64
 #: Longest exact gram of the keyword index; longer keywords are checked again.
 GRAM = 12
 
@@ -141,7 +141,37 @@ def missing_targets(searches: DataFrame, companies: DataFrame) -> DataFrame:
     return gone.groupBy("search_id").agg(F.sort_array(F.collect_list("id")).alias("missing_ids"))
 
 
-def keyword_hits(jobs: DataFrame, keywords: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Standing:
+    """Saved searches made ready for matching: written once, used for every landing of postings."""
+
+    live: DataFrame  # one row per kind of search, as the one with the smallest id
+    members: DataFrame  # every search with the one it is like
+    keywords: DataFrame  # distinct keywords with their grams
+    sizes: tuple[int, ...]  # lengths of the grams, at most GRAM of them
+    active: DataFrame  # companies that are looked at
+
+
+def standing(searches: DataFrame, companies: DataFrame) -> Standing:
+    """Active searches by what they ask for; searches that ask for the same are matched once."""
+    asked = searches.filter("is_active").select(
+        F.col("id").alias("search_id"),
+        F.array_sort(F.array_distinct(text.keyword_tokens(F.col("keywords")))).alias("tokens"),
+        F.coalesce(F.col("remote_only"), F.lit(False)).alias("remote_only"),
+        F.lower(F.coalesce(F.col("job_type"), F.lit(""))).alias("wanted_type"),
+        F.array_sort(F.array_distinct(_targets(searches))).alias("targets"),
+    )
+    signature = ["tokens", "remote_only", "wanted_type", "targets"]
+    live = settled(asked.groupBy(*signature).agg(F.min("search_id").alias("search_id")), "searches")
+    members = asked.join(live.withColumnRenamed("search_id", "_like"), signature).select(F.col("search_id").alias("_member"), "_like")
+    words = live.select(F.explode("tokens").alias("keyword")).distinct()
+    keywords = settled(words.withColumn("gram", F.substring("keyword", 1, GRAM)), "keywords")
+    sizes = sorted(r["n"] for r in keywords.select(F.length("gram").alias("n")).distinct().collect())
+    active = settled(companies.filter("is_active").select(F.col("id").alias("company_id")), "active")
+    return Standing(live, settled(members, "members"), keywords, tuple(sizes), active)
+
+
+def keyword_hits(jobs: DataFrame, index: Standing) -> DataFrame:
     """(job_id, keyword): postings whose title or description contains a keyword.
 
     A keyword has no white space, so it lies inside one word of the text. Words
@@ -152,9 +182,6 @@ def keyword_hits(jobs: DataFrame, keywords: DataFrame) -> DataFrame:
     # repeats of a word within a text fall to the map-side combine of the two distincts
     words = jobs.select(F.col("id").alias("job_id"), F.explode(F.split(body, text.PY_SPACE)).alias("word"))
     vocabulary = words.select("word").filter(F.col("word") != "").distinct()
-    wanted = settled(keywords.select("keyword").distinct().withColumn("gram", F.substring("keyword", 1, GRAM)), "keywords")
-    # at most GRAM different lengths; words are cut only to lengths that some keyword has
-    sizes = sorted(r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect())
 
     def cuts(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length("word") - (n - 1))
@@ -162,58 +189,71 @@ def keyword_hits(jobs: DataFrame, keywords: DataFrame) -> DataFrame:
         return F.when(F.length("word") >= n, made).otherwise(F.array().cast("array<string>"))
 
     nothing = F.array().cast("array<string>")
-    by_gram = vocabulary.select("word", F.explode(F.concat(nothing, *[cuts(n) for n in sizes])).alias("gram"))
-    pairs = by_gram.join(wanted, "gram").filter(F.contains(F.col("word"), F.col("keyword"))).select("word", "keyword")
+    by_gram = vocabulary.select("word", F.explode(F.concat(nothing, *[cuts(n) for n in index.sizes])).alias("gram"))
+    pairs = by_gram.join(index.keywords, "gram").filter(F.contains(F.col("word"), F.col("keyword"))).select("word", "keyword")
     pairs = settled(pairs, "keyword-words")
     return words.join(pairs, "word").select("job_id", "keyword").distinct()
 
 
-def search_matches(searches: DataFrame, jobs: DataFrame, companies: DataFrame, since: Column | None = None) -> DataFrame:
-    """(search_id, job_id) of active saved searches and the postings they accept, or those discovered ``since``.
-
-    Searches that ask for the same are matched once, as the one with the
-    smallest id, and their matches are handed to all of them at the end.
-    """
-    if since is not None:
-        jobs = dates.in_range(jobs, "discovered_at", since=since)
-    asked = searches.filter("is_active").select(
-        F.col("id").alias("search_id"),
-        F.array_sort(F.array_distinct(text.keyword_tokens(F.col("keywords")))).alias("tokens"),
-        F.coalesce(F.col("remote_only"), F.lit(False)).alias("remote_only"),
-        F.lower(F.coalesce(F.col("job_type"), F.lit(""))).alias("wanted_type"),
-        F.array_sort(F.array_distinct(_targets(searches))).alias("targets"),
-    )
-    signature = ["tokens", "remote_only", "wanted_type", "targets"]
-    live = asked.groupBy(*signature).agg(F.min("search_id").alias("search_id"))
-    members = asked.join(live.withColumnRenamed("search_id", "_like"), signature).select(F.col("search_id").alias("_member"), "_like")
-    active = companies.filter("is_active").select(F.col("id").alias("company_id"))
-    posts = jobs.select(
+def _posts(jobs: DataFrame, index: Standing) -> DataFrame:
+    return jobs.select(
         F.col("id").alias("job_id"),
         "company_id",
         text.is_remote_location(F.col("location")).alias("is_remote"),
         F.lower(F.coalesce(F.col("job_type"), F.lit(""))).alias("type"),
-    ).join(active, "company_id", "left_semi")
+    ).join(index.active, "company_id", "left_semi")
 
-    wanted = live.select("search_id", "targets", "remote_only", "wanted_type", F.explode("tokens").alias("keyword"))
-    hits = keyword_hits(jobs, wanted).join(posts, "job_id")
+
+def _fits() -> Column:
+    return (~F.col("remote_only") | F.col("is_remote")) & ((F.col("wanted_type") == "") | F.contains(F.col("type"), F.col("wanted_type")))
+
+
+def posting_matches(index: Standing, jobs: DataFrame) -> DataFrame:
+    """(search_id, job_id) of the searches that name words or companies and the postings they accept.
+
+    The work grows with the postings given: distinct words, and rows that match.
+    """
+    posts = _posts(jobs, index)
+    wanted = index.live.select("search_id", "targets", "remote_only", "wanted_type", F.explode("tokens").alias("keyword"))
+    hits = keyword_hits(jobs, index).join(posts, "job_id")
     # searches with words: by word and company, or by word alone where every company will do
     named = wanted.filter(F.size("targets") > 0).withColumn("company_id", F.explode("targets")).drop("targets")
     open_ones = wanted.filter(F.size("targets") == 0).drop("targets")
     shown = ["search_id", "job_id", "remote_only", "is_remote", "wanted_type", "type"]
     worded = named.join(hits, ["keyword", "company_id"]).select(*shown).unionByName(open_ones.join(hits, "keyword").select(*shown))
-    # searches without words: through the companies only; those without either take every posting, dealt out by a salt
-    silent = live.filter(F.size("tokens") == 0).drop("tokens")
-    scoped = silent.withColumn("company_id", F.explode("targets")).join(posts, "company_id")
-    salted = posts.withColumn("_salt", F.pmod(F.xxhash64("job_id"), F.lit(SCOPE_SALTS)).cast("int"))
-    any_one = silent.filter(F.size("targets") == 0).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SCOPE_SALTS - 1))))
-    unworded = scoped.select(*shown).unionByName(any_one.join(salted, "_salt").select(*shown))
-    fits = (~F.col("remote_only") | F.col("is_remote")) & (
-        (F.col("wanted_type") == "") | F.contains(F.col("type"), F.col("wanted_type"))
-    )
+    # searches without words: through their companies
+    silent = index.live.filter(F.size("tokens") == 0).drop("tokens")
+    scoped = silent.withColumn("company_id", F.explode("targets")).join(posts, "company_id").select(*shown)
     columns = ["search_id", "job_id"]
-    by_word = worded.filter(fits).select(*columns).distinct()
-    found = by_word.unionByName(unworded.filter(fits).select(*columns))
-    return found.join(members, found["search_id"] == members["_like"]).select(F.col("_member").alias("search_id"), "job_id")
+    found = worded.filter(_fits()).select(*columns).distinct().unionByName(scoped.filter(_fits()).select(*columns))
+    return found.join(index.members, found["search_id"] == index.members["_like"]).select(F.col("_member").alias("search_id"), "job_id")
+
+
+def open_searches(index: Standing) -> DataFrame:
+    """(search_id, remote_only, wanted_type) of searches without words and companies: they take whatever fits."""
+    every = index.live.filter((F.size("tokens") == 0) & (F.size("targets") == 0))
+    return every.join(index.members, every["search_id"] == index.members["_like"]).select(F.col("_member").alias("search_id"), "remote_only", "wanted_type")
+
+
+def open_search_totals(index: Standing, jobs: DataFrame) -> DataFrame:
+    """(search_id, matches, id_sum) of the open searches, from one row per kind of posting."""
+    cells = _posts(jobs, index).groupBy("is_remote", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("job_id").alias("ids"))
+    kinds = open_searches(index).select("remote_only", "wanted_type").distinct()
+    sums = kinds.join(settled(cells, "cells"), _fits()).groupBy("remote_only", "wanted_type").agg(F.sum("n").alias("matches"), F.sum("ids").alias("id_sum"))
+    return open_searches(index).join(sums, ["remote_only", "wanted_type"]).select("search_id", "matches", "id_sum")
+
+
+def search_matches(searches: DataFrame, jobs: DataFrame, companies: DataFrame, since: Column | None = None) -> DataFrame:
+    """(search_id, job_id) of active saved searches and the postings they accept, or those discovered ``since``.
+
+    A search that names neither words nor companies is one row with a NULL
+    posting: it takes whatever fits, and is not paired with every posting.
+    """
+    if since is not None:
+        jobs = dates.in_range(jobs, "discovered_at", since=since)
+    index = standing(searches, companies)
+    every = open_searches(index).select("search_id", F.lit(None).cast("bigint").alias("job_id"))
+    return posting_matches(index, jobs).unionByName(every)
 
 
 def job_context(jobs: DataFrame, sections: Mapping[str, DataFrame], job_id: int | None = None) -> DataFrame:

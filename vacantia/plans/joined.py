@@ -148,7 +148,7 @@ def _(t):
     )
 
 
-@query("c14_search_matches_per_search", r"""
+MATCHES = r"""
 WITH body AS (SELECT id, company_id, lower(title) || ' ' || lower(coalesce(description, '')) AS text, lower(coalesce(location, '')) AS place,
   lower(coalesce(job_type, '')) AS type FROM {jobs} j WHERE EXISTS (SELECT 1 FROM {companies} c WHERE c.is_active AND c.id = j.company_id)),
  words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(keywords), '\s+')) AS word FROM {search_criteria} WHERE keywords IS NOT NULL),
@@ -160,10 +160,21 @@ SELECT f.search_id, count(*) AS matches, CAST(sum(f.job_id) AS BIGINT) AS id_sum
 JOIN {search_criteria} s ON s.id = f.search_id JOIN body b ON b.id = f.job_id
 WHERE s.is_active AND (s.target_1 IS NULL OR b.company_id IN (s.target_1, s.target_2, s.target_3))
  AND (NOT s.remote_only OR regexp_matches(b.place, 'remote|anywhere|work from home'))
- AND (s.job_type IS NULL OR contains(b.type, lower(s.job_type))) GROUP BY 1""")
+ AND (s.job_type IS NULL OR contains(b.type, lower(s.job_type))) GROUP BY 1"""
+
+
+@query("c14_search_matches_per_search", MATCHES)
+def _(t):
+    index = joins.standing(searches(t), t("companies"))
+    pairs = joins.posting_matches(index, t("jobs"))
+    sums = pairs.groupBy("search_id").agg(F.count(F.lit(1)).alias("matches"), F.sum("job_id").alias("id_sum"))
+    return sums.unionByName(joins.open_search_totals(index, t("jobs")))
+
+
+@query("c14_open_searches", """
+SELECT id AS search_id, remote_only, coalesce(lower(job_type), '') AS wanted_type FROM {search_criteria} WHERE is_active AND keywords IS NULL AND target_1 IS NULL""")
 def _(t):
-    pairs = joins.search_matches(searches(t), t("jobs"), t("companies"))
-    return pairs.groupBy("search_id").agg(F.count(F.lit(1)).alias("matches"), F.sum("job_id").alias("id_sum"))
+    return joins.open_searches(joins.standing(searches(t), t("companies")))
 
 
 LINK = "lower(rtrim(split_part(split_part(coalesce({0}, ''), '?', 1), '#', 1), '/'))"

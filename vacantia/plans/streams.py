@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.operators import joins
 from vacantia.plans.changes import INGEST, REPLAY, UNTIL
+from vacantia.plans.joined import MATCHES, searches
 from vacantia.plans.registry import Tables, query
 from vacantia.plans.views import AS_OF, TODAY
 from vacantia.session import work_path
 from vacantia.streaming import queries as streams
 from vacantia.sources.duplicate_keys import KeyTable
-from vacantia.streaming import outcomes, timers
+from vacantia.streaming import matches, outcomes, timers
 from vacantia.streaming.changelog import ChangeLog, PartialLog
 
 PARTS = 3
@@ -120,6 +122,21 @@ def _(t):
     return outcomes.outcome_periods(log.current(), [1, 7, 30])
 
 
+@query("c14_match_stream", MATCHES.replace("s.target_1 IS NULL OR b.company_id IN (s.target_1, s.target_2, s.target_3)))\nSELECT", "b.company_id IN (s.target_1, s.target_2, s.target_3)))\nSELECT"))
+def _(t):
+    """Postings land by year, one in nine of them twice; searches that take everything are in c14_open_searches."""
+    jobs = t("jobs").select("id", "company_id", "title", "description", "location", "job_type", "discovered_at")
+    part = by_year("discovered_at")
+    again = jobs.filter(F.col("id") % 9 == 0).withColumn("part", F.least(part + 1, F.lit(PARTS - 1)))
+    landed = jobs.withColumn("part", part).unionByName(again)
+    found = ChangeLog(t.spark, work_path(t.spark, "matches"), ["search_id", "job_id"], matches.MATCHES)
+    found.start(t.spark.createDataFrame([], matches.MATCHES))
+    index = joins.standing(searches(t), t("companies"))
+    checkpoint = work_path(t.spark, "ckpt")
+    drained(lambda stream: matches.match_stream(stream, index, found, checkpoint), Landing(t, landed, F.col("part"), "postings"))
+    return found.rows().groupBy("search_id").agg(F.count(F.lit(1)).alias("matches"), F.sum("job_id").alias("id_sum"))
+
+
 RUN = ["company_id", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 

@@ -148,7 +148,8 @@ def reminder_stream(ticks: DataFrame, tasks: DataFrame, sent: ChangeLog, checkpo
         clock = batch.agg(F.max("as_of").alias("c")).scalar()
         by = dates.plus(clock, within_hours, "hour")
         due = tasks.filter((F.col("due_date") <= by) & F.col("status").isin(*filters.OPEN_TASK))
-        fresh = due.join(sent.rows(batch_id).select("id"), "id", "left_anti")
+        # what was sent is folded now and then, so a tick reads a bounded number of earlier ones
+        fresh = due.join(sent.current(batch_id).select("id"), "id", "left_anti")
         sent.write(fresh.select("id", "job_id", "due_date").withColumn("sent_at", clock), batch_id)
 
     return drain(ticks, handle, checkpoint)
