@@ -243,3 +243,38 @@ def test_snoozes_end_by_timer_and_survive_a_restart(spark):
     assert seen[1] == {1: "pending", 2: "snoozed", 3: "completed", 4: "snoozed", 9: "pending"}
     # the second snooze of task 4 moves its end; the timer of the first changes nothing
     assert seen[2] == {1: "pending", 2: "snoozed", 3: "completed", 4: "snoozed", 9: "in_progress"}
+
+
+# text index
+
+
+def test_indexed_searches_equal_scans(spark):
+    """Phrases with blanks, wildcards, short pieces and no piece at all; postings without a day; days added later."""
+    from vacantia.operators import filters
+    from vacantia.sources import tables
+    from vacantia.sources.text_index import TextIndex
+
+    rng = random.Random(8)
+    words = ["Python", "python-dev", "Engineer", "engine", "NEW", "york", "a", "ab", "été", "50%", "x_y", "re\\mote"]
+    text = lambda n: rng.choice([None, "", " ".join(rng.choice(words) for _ in range(n)), "\t".join(rng.choice(words) for _ in range(n))])
+    rows = [(i, text(3), text(8), text(2), text(2), rng.choice([None, T0 + dt.timedelta(days=rng.randrange(6))])) for i in range(200)]
+    ddl = "id bigint, title string, description string, company string, location string, discovered_at timestamp"
+    jobs = spark.read.parquet(tables.write_version(spark.createDataFrame(rows, ddl), work_path(spark, "jobs"), "jobs"))
+    index = TextIndex(spark, work_path(spark, "index")).add(jobs.filter("id < 120")).add(jobs.filter("id >= 120"))
+    for phrase in ("python", "Python-D", "new york", "engineer new", "ab", "py%eng", "x_y", "50%", "été", "absent", "python absent", "re\\\\mote"):
+        for search in (lambda df, **k: filters.text_search(df, phrase, limit=None, **k), lambda df, **k: filters.screen_search(df, phrase, **k)):
+            assert sorted(r.id for r in search(jobs, index=index).collect()) == sorted(r.id for r in search(jobs).collect()), phrase
+
+
+def test_indexed_searches_read_only_hit_days(spark):
+    from vacantia.operators import filters
+    from vacantia.sources import tables
+    from vacantia.sources.text_index import TextIndex
+
+    rows = [(i, "rare word" if i == 7 else "common", "", "", "", T0 + dt.timedelta(days=i % 10)) for i in range(100)]
+    ddl = "id bigint, title string, description string, company string, location string, discovered_at timestamp"
+    jobs = spark.read.parquet(tables.write_version(spark.createDataFrame(rows, ddl), work_path(spark, "jobs"), "jobs"))
+    index = TextIndex(spark, work_path(spark, "index")).add(jobs)
+    found = filters.screen_search(jobs, "rare", index=index)
+    assert [r.id for r in found.collect()] == [7]
+    assert "dynamicpruning" in plan_of(found)

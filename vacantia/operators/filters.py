@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import dates, scores, text, urls
 from vacantia.operators.scale import top_rows
+from vacantia.sources.text_index import TextIndex
 
 # Statuses with their own rule.
 ACTIVE_APPLICATION = ("applied", "interviewing", "accepted")
@@ -92,15 +93,22 @@ def criteria_filter(
     )
 
 
-def text_search(jobs: DataFrame, phrase: str, limit: int = 10) -> DataFrame:
-    """Newest matches in title, description or company; ``%`` and ``_`` are wildcards."""
+def text_search(jobs: DataFrame, phrase: str, limit: int | None = 10, index: TextIndex | None = None) -> DataFrame:
+    """Newest matches in title, description or company; ``%`` and ``_`` are wildcards.
+
+    ``index`` finds the postings and days to look at; the rows are the same.
+    """
+    if index:
+        jobs = index.narrowed(jobs, phrase, ["title", "description", "company"], wildcards="%_\\")
     pattern = f"%{phrase.lower()}%"
     hit = F.col("title").ilike(pattern) | F.col("description").ilike(pattern) | F.col("company").ilike(pattern)
     return top_rows(jobs.filter(hit), [desc("discovered_at"), F.col("id")], limit)
 
 
-def screen_search(jobs: DataFrame, term: str) -> DataFrame:
-    """Literal search in title, company and location."""
+def screen_search(jobs: DataFrame, term: str, index: TextIndex | None = None) -> DataFrame:
+    """Literal search in title, company and location, through an index where there is one."""
+    if index:
+        jobs = index.narrowed(jobs, term, ["title", "company", "location"])
     low = F.lit(term.lower())
     fields = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), low) for c in ("title", "company", "location")]
     return jobs.filter(fields[0] | fields[1] | fields[2])

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from vacantia.operators import filters
 from vacantia.plans.registry import query
 from vacantia.plans.views import AS_OF
+from vacantia.session import work_path
+from vacantia.sources.tables import write_version
+from vacantia.sources.text_index import TextIndex
 
 JOB = "id, title, company, location, url, status, ai_match_score, is_new, discovered_at, posted_date"
 JOB_COLS = JOB.split(", ")
@@ -53,6 +56,30 @@ def _(t):
     return filters.text_search(t("jobs"), "python").select("id", "title", "company", "discovered_at")
 
 
+def indexed(t):
+    """Postings split by day, with the index of their texts beside them."""
+    jobs = t("jobs").select("id", "title", "company", "location", "description", "discovered_at")
+    path = write_version(jobs, work_path(t.spark, "jobs"), "jobs")
+    kept = t.spark.read.parquet(path)
+    return kept, TextIndex(t.spark, work_path(t.spark, "text-index")).add(kept)
+
+
+@query("b4_indexed_search", """
+SELECT id, title, company, discovered_at FROM {jobs}
+WHERE title ILIKE '%backend_eng%remote%' OR description ILIKE '%backend_eng%remote%' OR company ILIKE '%backend_eng%remote%'""")
+def _(t):
+    jobs, index = indexed(t)
+    return filters.text_search(jobs, "Backend_eng%remote", limit=None, index=index).select("id", "title", "company", "discovered_at")
+
+
+@query("b5_indexed_screen_search", """
+SELECT id, title, company, location FROM {jobs}
+WHERE contains(lower(title), 'new york') OR contains(lower(company), 'new york') OR contains(lower(coalesce(location,'')), 'new york')""")
+def _(t):
+    jobs, index = indexed(t)
+    return filters.screen_search(jobs, "New York", index=index).select("id", "title", "company", "location")
+
+
 @query("b5_screen_search", """
 SELECT id, title, company, location FROM {jobs}
 WHERE contains(lower(title), 'york') OR contains(lower(company), 'york') OR contains(lower(coalesce(location,'')), 'york')""")
