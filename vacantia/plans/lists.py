@@ -8,7 +8,6 @@ from vacantia.operators import filters
 from vacantia.plans.registry import query
 from vacantia.plans.views import AS_OF
 from vacantia.session import work_path
-from vacantia.sources.tables import write_version
 from vacantia.sources.text_index import TextIndex
 
 JOB = "id, title, company, location, url, status, ai_match_score, is_new, discovered_at, posted_date"
@@ -57,11 +56,9 @@ def _(t):
 
 
 def indexed(t):
-    """Postings split by day, with the index of their texts beside them."""
+    """Postings, and the index of their texts."""
     jobs = t("jobs").select("id", "title", "company", "location", "description", "discovered_at")
-    path = write_version(jobs, work_path(t.spark, "jobs"), "jobs")
-    kept = t.spark.read.parquet(path)
-    return kept, TextIndex(t.spark, work_path(t.spark, "text-index")).add(kept)
+    return jobs, TextIndex(t.spark, work_path(t.spark, "text-index")).add(jobs)
 
 
 @query("b4_indexed_search", """

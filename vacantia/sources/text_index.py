@@ -1,7 +1,7 @@
-"""A word and gram index of posting texts, kept by day.
+"""A word and gram index of posting texts, kept by month.
 
-``words`` holds (field, word, id) of every posting in a folder per day, sorted by
-word inside a file, so that a lookup reads few row groups; ``grams`` holds the
+``words`` holds (field, word, id, day) of every posting in a folder per month, sorted
+by word inside a file, so that a lookup reads few row groups; ``grams`` holds the
 three-letter grams of the distinct words. A phrase is looked up by its pieces
 without blanks or wildcards: the words that hold a piece's grams and the piece,
 then the postings of the rarest piece. These are read from the days they lie in,
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ("title", "description", "company", "location")
-WORDS = "field string, word string, id bigint, day date"
+WORDS = "field string, word string, id bigint, day date, month date"
 GRAM = 3
 
 
@@ -39,8 +39,9 @@ class TextIndex:
         found = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(F.split(_folded(f), r"\s+")).alias("words")) for f in FIELDS])
         rows = jobs.select("id", F.to_date("discovered_at").alias("day"), F.explode(found).alias("f"))
         words = rows.select("f.field", F.explode("f.words").alias("word"), "id", "day").filter("word <> ''")
-        dealt = words.hint("rebalance", "day").sortWithinPartitions("day", "field", "word", "id")
-        dealt.write.mode("append").partitionBy("day").parquet(f"{self.root}/words")
+        dated = words.withColumn("month", F.trunc("day", "month"))
+        dealt = dated.hint("rebalance", "month").sortWithinPartitions("month", "field", "word", "id")
+        dealt.write.mode("append").partitionBy("month").parquet(f"{self.root}/words")
         distinct = words.select("word").distinct()
         starts = F.sequence(F.lit(1), F.length("word") - (GRAM - 1))
         cut = F.when(F.length("word") >= GRAM, F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("word"), p, F.lit(GRAM)))))
