@@ -8,9 +8,11 @@ shares the vectors of the n-grams it still has. A document is as toxic as its
 most toxic segment; in training a toxic document shows only its currently most
 toxic segment, other documents their most toxic one and a few more.
 
-Learning takes a sample of the labelled rows of at most ``per_class`` toxic and
-CLEAN_SHARE times as many other documents and HALF_LIMIT half segments (parameters of ``train``); scoring takes
-every whole text. Letters are lower-cased (A-Z) and ASCII blanks cut words.
+Learning takes a sample of the labelled rows: at most ``per_class`` toxic and
+``clean_share`` times as many other documents, and of these whole texts, by the
+hashes of their ids, until they have ``half_limit`` half segments (all three are
+parameters of ``train``; a sample with very long texts has fewer of them). Scoring
+takes every whole text, of any length. Letters are lower-cased (A-Z) and ASCII blanks cut words.
 Defined results: a null or empty text scores as a segment without n-grams, that
 is, by the bias alone; without any label, or with labels of one class only, the
 score is the share of toxic labels (0 without labels); rows with a null label or
@@ -198,8 +200,11 @@ def fit(rows: list[tuple[bytes | None, int]], half_limit: int = HALF_LIMIT) -> M
     return Model(weights.astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most ``per_class`` toxic and CLEAN_SHARE times as many other labelled documents, those with the smallest hash of their id.
+def train(
+    docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, clean_share: int = CLEAN_SHARE, half_limit: int = HALF_LIMIT,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> Model:
+    """A model from at most ``per_class`` toxic and ``clean_share`` times as many other labelled documents, those with the smallest hash of their id.
 
     The sample is the only thing that comes to the driver; its bound does not
     grow with the tables. ``learn`` says which rows of ``docs`` may be used.
@@ -209,11 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
     marks = marks.filter("doc_id IS NOT NULL AND y IN (0, 1)").distinct()
     allowed = docs.filter(learn).select(F.col(id_col).alias("doc_id")).distinct()
     known = marks.join(allowed, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    picked = known.filter("y = 0").orderBy("h", "doc_id").limit(CLEAN_SHARE * per_class).unionByName(known.filter("y = 1").orderBy("h", "doc_id").limit(per_class))
+    picked = known.filter("y = 0").orderBy("h", "doc_id").limit(clean_share * per_class).unionByName(known.filter("y = 1").orderBy("h", "doc_id").limit(per_class))
     sample = docs.filter(learn).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
     rows = sample.dropDuplicates(["doc_id", "y"]).select("h", "doc_id", "text", "y").collect()
     rows.sort(key=lambda r: (r["h"], r["doc_id"], r["y"]))
-    return fit([((r["text"] or "").encode(), r["y"]) for r in rows])
+    return fit([((r["text"] or "").encode(), r["y"]) for r in rows], half_limit)
 
 
 def scoring(model):
