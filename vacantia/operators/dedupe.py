@@ -44,14 +44,19 @@ def stored_keys(stored: DataFrame) -> DataFrame:
     return rows.select(F.col("tier").cast("int"), F.col("scope").cast("long"), "k", F.col("id").cast("long"), "discovered_at")
 
 
-def _kept_lookup(keys: DataFrame, as_of: str) -> DataFrame:
-    """One id per kept key: the smallest, in tier 4 the latest if it is recent."""
+def _kept_hits(asked: DataFrame, keys: DataFrame, as_of: str) -> DataFrame:
+    """Asked keys with one kept id each: the smallest, in tier 4 the latest if it is recent.
+
+    The tiers are joined apart, so that the many keys of the first three are a
+    plain hash aggregate inside their buckets.
+    """
+    on = ["tier", "scope", "k"]
     horizon = dates.plus(dates.ts(as_of), -CROSS_COMPANY_DAYS, "day")
-    one = keys.groupBy("tier", "scope", "k").agg(
-        F.min("id").alias("first"), F.max(F.struct("discovered_at", (-F.col("id")).alias("neg"))).alias("last")
-    )
-    recent = F.when(F.col("last.discovered_at") >= horizon, -F.col("last.neg"))
-    return one.select("tier", "scope", "k", F.when(F.col("tier") == 4, recent).otherwise(F.col("first")).alias("id")).filter("id IS NOT NULL")
+    found = keys.filter("tier < 4").groupBy(*on).agg(F.min("id").alias("id"))
+    recent = keys.filter((F.col("tier") == 4) & (F.col("discovered_at") >= horizon))
+    last = recent.groupBy(*on).agg(F.max(F.struct("discovered_at", (-F.col("id")).alias("neg"))).alias("last"))
+    by_id = last.select(*on, (-F.col("last.neg")).alias("id"))
+    return asked.filter("tier < 4").join(found, on).unionByName(asked.filter("tier = 4").join(by_id, on))
 
 
 def find_duplicates(
@@ -84,7 +89,7 @@ def find_duplicates(
     if settle:
         wanted = settled(wanted, "wanted")
     if keys is not None:
-        return _folded_hits(wanted, key, _asked_keys(wanted, key), _kept_lookup(keys, as_of))
+        return _folded_hits(wanted, key, _kept_hits(_asked_keys(wanted, key), keys, as_of))
     # external ids are asked for twice; 96 covers the fixed part of the four key rows
     width = F.octet_length(F.concat_ws("", "k_ext", "k_ext", "k_url", "k_title")) + 96
     facts = wanted.agg(
@@ -112,7 +117,7 @@ def find_duplicates(
     last = recent.groupBy(*on).agg(F.max(F.struct("discovered_at", (-F.col("id")).alias("neg"))).alias("last"))
     lookup = found.unionByName(last.select(*on, (-F.col("last.neg")).alias("id")))
 
-    return _folded_hits(wanted, key, asked, lookup)
+    return _folded_hits(wanted, key, asked.join(lookup, on))
 
 
 def _asked_keys(wanted: DataFrame, key: str) -> DataFrame:
@@ -127,9 +132,9 @@ def _asked_keys(wanted: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _folded_hits(wanted: DataFrame, key: str, asked: DataFrame, lookup: DataFrame) -> DataFrame:
+def _folded_hits(wanted: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """Per incoming row the first tier with a hit, and the hit."""
-    hits = asked.join(lookup, ["tier", "scope", "k"]).select(key, "tier", "id")
+    hits = found.select(key, "tier", "id")
     # one bare row per posting keeps those without a hit
     every = wanted.select(key, F.lit(None).cast("int").alias("tier"), F.lit(None).cast("bigint").alias("id"))
     out = hits.unionByName(every).groupBy(key).agg(*[F.min(F.when(F.col("tier") == n, F.col("id"))).alias(f"t{n}") for n in TIERS])
