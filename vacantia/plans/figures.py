@@ -9,10 +9,33 @@ from vacantia.operators.filters import LOG_TIES
 from vacantia.plans.joined import AUTOMATION
 from vacantia.plans.registry import query
 from vacantia.plans.views import AS_OF, TODAY
+from vacantia.sources import crawl_partials
 
 ORDER = ["started_at", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "company_id"]
 HOST = r"lower(regexp_extract(career_page_url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1))"
 STAGE = "CASE WHEN pipeline_stage IN ('discover','review','prepare','apply','follow_up','archive') THEN pipeline_stage ELSE 'discover' END"
+#: A time of day, so that the span of a figure begins and ends inside a day.
+MIDDAY = "1998-07-01 12:00:00"
+HEALTH = f"""
+SELECT crawler_class, count(*) AS total_runs, count(*) FILTER (status = 'completed') AS success_count, count(*) FILTER (status = 'failed') AS error_count,
+ round_even(coalesce(avg((epoch_us(completed_at) - epoch_us(started_at)) / 1e6), 0), 1) AS avg_duration_seconds,
+ round_even(count(*) FILTER (status = 'completed') / count(*) * 100, 1) AS success_rate FROM (
+ SELECT l.*, CASE WHEN c.crawler_type IN ('indeed','linkedin') THEN 'selenium' WHEN c.crawler_type IN ('greenhouse','lever') THEN 'api'
+  WHEN c.crawler_type IN ('generic','workday') THEN 'ai' ELSE 'unknown' END AS crawler_class
+ FROM (SELECT * FROM {{crawl_logs}} WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY AND started_at < TIMESTAMP '{AS_OF}') l JOIN {{companies}} c ON c.id = l.company_id)
+GROUP BY 1"""
+TOTALS = f"""
+SELECT company_id, max(started_at) AS last_crawl_at, count(*) FILTER (started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY) AS total_crawls_30d,
+ count(*) FILTER (started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY AND status = 'completed') AS successful_crawls_30d
+FROM {{crawl_logs}} WHERE started_at < TIMESTAMP '{AS_OF}' GROUP BY 1"""
+METRICS = f"""
+SELECT count(*) AS total_crawls_30d, count(*) FILTER (status = 'completed') AS successful_crawls_30d,
+ round_even(count(*) FILTER (status = 'completed') / count(*) * 100, 1) AS crawl_success_rate_30d,
+ round_even(nullif(avg((epoch_us(completed_at) - epoch_us(started_at)) / 1e6) FILTER (status = 'completed'), 0), 1) AS average_crawl_duration_seconds
+FROM {{crawl_logs}} WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY AND started_at < TIMESTAMP '{AS_OF}'"""
+FALLBACKS = """
+SELECT company_id, method_used, count(*) AS success_count, max(completed_at) AS last_success_at FROM {crawl_logs}
+WHERE status = 'completed' AND method_used NOT IN ('career_page', 'no_results') GROUP BY 1, 2"""
 
 
 @query("d1_dashboard_totals", f"""
@@ -36,31 +59,17 @@ def _(t):
     return aggregates.company_summary(t("companies"))
 
 
-@query("d3_crawler_health", f"""
-SELECT crawler_class, count(*) AS total_runs, count(*) FILTER (status = 'completed') AS success_count, count(*) FILTER (status = 'failed') AS error_count,
- round_even(coalesce(avg((epoch_us(completed_at) - epoch_us(started_at)) / 1e6), 0), 1) AS avg_duration_seconds,
- round_even(count(*) FILTER (status = 'completed') / count(*) * 100, 1) AS success_rate FROM (
- SELECT l.*, CASE WHEN c.crawler_type IN ('indeed','linkedin') THEN 'selenium' WHEN c.crawler_type IN ('greenhouse','lever') THEN 'api'
-  WHEN c.crawler_type IN ('generic','workday') THEN 'ai' ELSE 'unknown' END AS crawler_class
- FROM (SELECT * FROM {{crawl_logs}} WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY AND started_at < TIMESTAMP '{AS_OF}') l JOIN {{companies}} c ON c.id = l.company_id)
-GROUP BY 1""")
+@query("d3_crawler_health", HEALTH)
 def _(t):
     return aggregates.crawler_health(t("crawl_logs"), t("companies"), AS_OF, LOG_TIES)
 
 
-@query("d4_company_crawl_totals", f"""
-SELECT company_id, max(started_at) AS last_crawl_at, count(*) FILTER (started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY) AS total_crawls_30d,
- count(*) FILTER (started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY AND status = 'completed') AS successful_crawls_30d
-FROM {{crawl_logs}} WHERE started_at < TIMESTAMP '{AS_OF}' GROUP BY 1""")
+@query("d4_company_crawl_totals", TOTALS)
 def _(t):
     return joins.crawl_totals(t("crawl_logs"), AS_OF)
 
 
-@query("d5_combined_metrics", f"""
-SELECT count(*) AS total_crawls_30d, count(*) FILTER (status = 'completed') AS successful_crawls_30d,
- round_even(count(*) FILTER (status = 'completed') / count(*) * 100, 1) AS crawl_success_rate_30d,
- round_even(nullif(avg((epoch_us(completed_at) - epoch_us(started_at)) / 1e6) FILTER (status = 'completed'), 0), 1) AS average_crawl_duration_seconds
-FROM {{crawl_logs}} WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY AND started_at < TIMESTAMP '{AS_OF}'""")
+@query("d5_combined_metrics", METRICS)
 def _(t):
     return aggregates.combined_metrics(t("crawl_logs"), AS_OF)
 
@@ -112,9 +121,7 @@ def _(t):
     return aggregates.discovery_status(t("companies"), t("pending_companies"))
 
 
-@query("d13_fallback_successes", """
-SELECT company_id, method_used, count(*) AS success_count, max(completed_at) AS last_success_at FROM {crawl_logs}
-WHERE status = 'completed' AND method_used NOT IN ('career_page', 'no_results') GROUP BY 1, 2""")
+@query("d13_fallback_successes", FALLBACKS)
 def _(t):
     return aggregates.fallback_successes(t("crawl_logs"))
 
@@ -197,3 +204,29 @@ SELECT health_status, needs_attention, count(*) AS companies FROM ({AUTOMATION.s
 def _(t):
     out = joins.companies_with_automation(t("companies"), t("crawl_logs"), AS_OF)
     return out.groupBy("health_status", "needs_attention").agg(F.count(F.lit(1)).alias("companies"))
+
+
+@query("d3_crawler_health_kept", HEALTH)
+def _(t):
+    return crawl_partials.crawler_health(t.crawl_partials(), t("crawl_logs"), t("companies"), AS_OF)
+
+
+@query("d4_company_crawl_totals_kept", TOTALS.replace(AS_OF, MIDDAY))
+def _(t):
+    return crawl_partials.crawl_totals(t.crawl_partials(), t("crawl_logs"), MIDDAY)
+
+
+@query("d5_combined_metrics_kept", METRICS.replace(AS_OF, MIDDAY))
+def _(t):
+    return crawl_partials.combined_metrics(t.crawl_partials(), t("crawl_logs"), MIDDAY)
+
+
+@query("d13_fallback_successes_kept", FALLBACKS)
+def _(t):
+    return crawl_partials.fallback_successes(t.crawl_partials())
+
+
+@query("d3_duration_profile")
+def _(t):
+    """Estimates from merged sketches; tested against the exact figures."""
+    return crawl_partials.duration_profile(t.crawl_partials(), t("crawl_logs"), t("companies"), MIDDAY, 365)

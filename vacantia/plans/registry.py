@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.plans import views
 from vacantia.session import folders, own_dir, tune
+from vacantia.sources.crawl_partials import CrawlPartials
 from vacantia.sources.duplicate_keys import KeyTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,12 @@ class Tables:
             _KEY_TABLES[root, name] = table.start(self("stored_jobs"))
         return _KEY_TABLES[root, name]
 
+    def crawl_partials(self) -> CrawlPartials:
+        """The daily partials of ``crawl_logs``: kept, so they are only made if they are not there yet."""
+        root = f"{own_dir(self.spark)}/partials-{zlib.crc32(self.sf_dir.encode())}"
+        kept = CrawlPartials(self.spark, root)
+        return kept if kept.versions() else kept.start(self("crawl_logs"), self("companies"))
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
