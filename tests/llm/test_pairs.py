@@ -13,6 +13,7 @@ def test_near_duplicates_match_brute_force(docs, rows, monkeypatch):
     for percent in (80, 85):
         assert plain(near_dedup.near_duplicates(docs, percent)) == brute.near_duplicates(rows, percent)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)  # groups over many blocks
+    monkeypatch.setattr(near_dedup, "PART", 3)  # buckets over many parts
     assert plain(near_dedup.near_duplicates(docs, 85)) == brute.near_duplicates(rows, 85)
 
 
@@ -33,6 +34,38 @@ def test_estimates_are_corrected_for_chance():
         assert abs(guess - shared / (8000 - shared)) < 0.2
 
 
+def test_estimates_lose_no_pair_at_the_threshold():
+    """Recall of estimate and sizes over pairs of similarity 0.85, and how many of similarity 0.5 go on."""
+    rng = np.random.default_rng(4)
+    factors, offsets = common.multipliers(near_dedup.MINIMA, near_dedup.SEED)
+    passed = {0.85: 0, 0.5: 0}
+    for similarity in passed:
+        for _ in range(400):
+            shared = round(2 * 200 * similarity / (1 + similarity))
+            every = common.mixed(rng.integers(0, 1 << 63, 400 - shared, dtype=np.uint64))
+            low = [common.mixed(common.minima(s, np.array([0]), factors, offsets)).T for s in (every[:200], every[-200:])]
+            sizes = np.array([200])
+            _, may = near_dedup.candidates(*(near_dedup.packed(x) for x in low), sizes, sizes, 85)
+            passed[similarity] += bool(may[0, 0])
+    assert passed[0.85] == 400 and passed[0.5] < 40
+
+
+def test_loosely_alike_documents_form_no_group(session):
+    """Documents that share a band key but no candidate pair are not read again."""
+    rng = random.Random(9)
+    base = prose(rng, 60, [f"w{i}" for i in range(5000)]).split()
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for k in rng.sample(range(12), 9):
+            words[5 * k] = f"d{i}x{k}"
+        rows.append((i, " ".join(words)))
+    docs = session.createDataFrame(rows, "doc_id bigint, text string")
+    reps = docs.mapInArrow(near_dedup.sketch(5), near_dedup.SKETCH_SCHEMA)
+    keys = reps.selectExpr("explode(bands) AS band").groupBy("band").count().filter("count > 1").count()
+    assert keys > 0 and near_dedup.candidate_groups(reps, 85).count() == 0
+
+
 def test_contamination_matches_brute_force(docs, rows, session):
     rng = random.Random(3)
     texts = {i: t for i, t in rows if t}

@@ -115,17 +115,20 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Alternates two rounds until nothing changes: every node hands its larger
     neighbours to its smallest neighbour, then its smaller ones. Each round is
-    group minima (combined before the shuffle) and joins on the node, whose hot
-    keys AQE splits; the links stay in written tables and never reach the driver.
+    group minima (combined before the shuffle) and joins on the node. The minima are
+    written before they are joined: Spark then broadcasts them if they are small, and
+    else both sides come bare from their exchange, so AQE splits a hot node. The
+    links stay in written tables and never reach the driver.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = settled(pairs, label)
     mark = _mark(state)
     while mark[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{label}-low")
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settled(large.distinct(), f"{label}-large")
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = settled(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), label)
         now = _mark(state)

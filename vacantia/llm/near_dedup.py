@@ -2,15 +2,17 @@
 
 Every document is sketched once: MINIMA minima of its set of word shingles give
 BANDS band keys, and the low BITS bits of the minima are packed into bit planes.
-Documents that share a band key are candidates; candidates are grouped, and
-inside a group similarity is estimated from bit counts of the planes, corrected
-for bits that agree by chance. Pairs whose estimate may reach the threshold are
-confirmed on the full sets.
+Documents that share a band key form a bucket; inside a bucket the similarity of
+pairs is estimated from bit counts of the planes, corrected for bits that agree by
+chance. Pairs whose estimate and sizes may reach the threshold are candidates, and
+what candidates connect is a group. Only documents of groups are read again, and
+their pairs are confirmed on the full sets.
 
 Documents with the same words are one class with one representative before
-anything is compared. A group of candidates is cut into blocks of BLOCK
-documents and worked off as pairs of blocks, so its size sets the number of
-tasks and never the size of one; a task hands out links that span its connected
+anything is compared, and buckets with the same members are one bucket. A bucket is
+cut into parts of about PART sketches, a group of candidates into blocks of BLOCK
+documents, and both are worked off as pairs of these, so their size sets the number
+of tasks and never the size of one; a task hands out links that span its connected
 documents, not all pairs.
 
 Words are lower-cased (A-Z) and cut at ASCII blanks. Defined results: a null or
@@ -46,6 +48,8 @@ BITS = 4
 MARGIN = 5.0
 #: Documents of a block; a task holds the texts of two blocks.
 BLOCK = 128
+#: Sketches of a part of a bucket.
+PART = 512
 SEED = 7_001
 SKETCH_SCHEMA = "doc_id bigint, class binary, n_shingles bigint, bands array<bigint>, planes binary"
 
@@ -58,9 +62,10 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 def estimated(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Similarity estimates of all rows of ``left`` with all rows of ``right``, chance collisions taken out."""
-    differ = np.zeros((len(left), len(right), MINIMA // 8), np.uint8)
+    left, right = (np.ascontiguousarray(x).view(np.uint32) for x in (left, right))
+    differ = np.zeros((len(left), len(right), MINIMA // 32), np.uint32)
     for b in range(BITS):
-        cut = slice(b * MINIMA // 8, (b + 1) * MINIMA // 8)
+        cut = slice(b * MINIMA // 32, (b + 1) * MINIMA // 32)
         differ |= left[:, None, cut] ^ right[None, :, cut]
     equal = 1 - np.bitwise_count(differ).sum(axis=2, dtype=np.int64) / MINIMA
     chance = 0.5**BITS
@@ -113,6 +118,72 @@ def overlapping(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(left) + len(right) - both)
 
 
+def candidates(left: np.ndarray, right: np.ndarray, sizes_left: np.ndarray, sizes_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of all rows of ``left`` with all of ``right``, and which pairs may reach the threshold by estimate and sizes."""
+    guess = estimated(left, right)
+    small = np.minimum(sizes_left[:, None], sizes_right[None, :])
+    large = np.maximum(sizes_left[:, None], sizes_right[None, :])
+    return guess, (guess >= least_estimate(percent / 100)) & (100 * small >= percent * large)
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a forest that spans what a symmetric matrix connects; every row is looked at once."""
+    free, edges = np.ones(len(near), bool), []
+    for start in np.flatnonzero(near.any(axis=1)).tolist():
+        if not free[start]:
+            continue
+        free[start], todo = False, [start]
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & free).tolist()
+            free[new] = False
+            edges.extend((at, k) for k in new)
+            todo.extend(new)
+    return edges
+
+
+def part_links(ids: np.ndarray, side: np.ndarray, sizes: np.ndarray, planes: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that span the candidates of a pair of parts of a bucket, or of one part with itself."""
+    left = np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return []
+    near = np.zeros((len(ids), len(ids)), bool)
+    near[np.ix_(left, right)] = candidates(planes[left], planes[right], sizes[left], sizes[right], percent)[1]
+    near |= near.T
+    np.fill_diagonal(near, False)
+    return [(int(ids[a]), int(ids[b])) for a, b in spanning(near)]
+
+
+def bucket_links(percent: int):
+    """Arrow function over rows sorted by bucket and pair of parts."""
+
+    def finished(key: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+        ids, side, sizes, planes = (np.concatenate(x) for x in zip(*held))
+        return part_links(ids, side, sizes, planes, key[1] == key[2], percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(n).to_numpy() for n in ("band", "x", "y")], axis=1)
+            columns = [batch.column(n).to_numpy() for n in ("doc_id", "side", "n_shingles")]
+            columns.append(np.frombuffer(b"".join(batch.column("planes").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            links = []
+            for a, b in zip(starts, starts[1:]):
+                now = tuple(keys[a].tolist())
+                if now != key:
+                    links += finished(key, held) if held else []
+                    key, held = now, []
+                held.append(tuple(c[a:b] for c in columns))
+            yield linked(links)
+        yield linked(finished(key, held) if held else [])
+
+    return run
+
+
 def block_links(rows: list[tuple], percent: int, width: int) -> list[tuple[int, int]]:
     """Links that span the connected documents of a pair of blocks (or of one block with itself).
 
@@ -123,10 +194,7 @@ def block_links(rows: list[tuple], percent: int, width: int) -> list[tuple[int,
     right = [i for i, r in enumerate(rows) if r[0] == 1] or left
     sizes = np.array([r[2] for r in rows])
     planes = np.array([np.frombuffer(r[3], np.uint8) for r in rows])
-    guess = estimated(planes[left], planes[right])
-    small = np.minimum(sizes[left][:, None], sizes[right][None, :])
-    large = np.maximum(sizes[left][:, None], sizes[right][None, :])
-    may = (guess >= least_estimate(percent / 100)) & (100 * small >= percent * large)
+    guess, may = candidates(planes[left], planes[right], sizes[left], sizes[right], percent)
     if right is left:
         may = np.triu(may, 1)
     a, b = np.nonzero(may)
@@ -190,7 +258,7 @@ def near_duplicates(
     reps = with_id.join(members.filter("doc_id = rep AND class IS NOT NULL").select("doc_id", "class").distinct(), ["doc_id", "class"])
     reps = settled(reps.dropDuplicates(["class"]), "reps")
 
-    groups = candidate_groups(reps)
+    groups = candidate_groups(reps, percent)
     links = confirmed_links(rows, reps.join(groups, reps.doc_id == groups.node).drop("node"), percent, width)
     same_id = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.unionByName(same_id), "near")
@@ -203,19 +271,31 @@ def near_duplicates(
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """(node, component) of documents that are connected by shared band keys."""
-    keys = reps.select("doc_id", F.explode("bands").alias("band"))
-    lead = keys.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last")
-    pairs = keys.join(lead, "band").filter("doc_id <> lead")
-    return components(pairs.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")), "groups")
+def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of documents that are connected by candidates: a shared band key, and an estimate and sizes that may reach the threshold."""
+    tagged = reps.select(F.xxhash64("class").alias("tag"), "doc_id", "n_shingles", "planes", "bands")
+    keys = tagged.select("tag", F.explode("bands").alias("band"))
+    sizes = keys.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("tag").alias("low"), F.max("tag").alias("high"), F.bit_xor(F.xxhash64("tag")).alias("mix"),
+    )
+    distinct = sizes.filter("n > 1").groupBy("n", "low", "high", "mix").agg(F.min("band").alias("band"))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    buckets = settled(distinct.select("band", parts.alias("parts")), "buckets")  # bare sides: AQE can split a hot band
+    members = settled(keys.join(buckets, "band"), "members-of-buckets")
+    rows = members.join(tagged.select("tag", "doc_id", "n_shingles", "planes"), "tag")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("tag", "band"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = [F.col("band"), F.least("part", "other").cast("bigint").alias("x"), F.greatest("part", "other").cast("bigint").alias("y")]
+    sides = rows.select(*pair, F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "n_shingles", "planes")
+    dealt = sides.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return components(dealt.mapInArrow(bucket_links(percent), "a bigint, b bigint"), "groups")
 
 
 def confirmed_links(texts: DataFrame, grouped: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) inside the groups, confirmed on the full sets, enough to span what is connected."""
     order = [F.col("component"), F.col("n_shingles"), F.col("doc_id")]
     placed = ranked(grouped.select("component", "doc_id", "class", "n_shingles", "planes"), order, "at")
-    first = placed.groupBy("component").agg(F.min("at").alias("first"))
+    first = settled(placed.groupBy("component").agg(F.min("at").alias("first")), "firsts")
     blocks = placed.join(first, "component").withColumn("block", F.floor((F.col("at") - F.col("first")) / BLOCK))
     blocks = settled(blocks.drop("at", "first"), "blocks")
     spans = blocks.groupBy("component", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import text_batches, tune_arrow
+from vacantia.session import settled
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint, tokenizer string"
 #: Part of the tokenizer digest: a change of how texts are handed over must not meet old counts.
@@ -94,5 +95,6 @@ def token_counts(
     fresh = misses.mapInArrow(count_texts(tokenizer_path), "digest binary, n_tokens bigint")
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
-    counted = keyed.join(read_cache(spark, cache_path, version), "digest")
+    counts = settled(read_cache(spark, cache_path, version), "counts")  # bare sides: AQE can split the digest of a hot text
+    counted = keyed.join(counts, "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
