@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,4 +97,4 @@ def test_plan_reads_days_of_the_span_only(spark, companies):
     logs = spark.createDataFrame(crawls(200, 4), LOG)
     kept = cp.CrawlPartials(spark, work_path(spark, "partials")).start(logs, companies)
     plan = kept.company(logs, cp.dates.ts("2001-07-03 00:00:00"), cp.dates.ts(NOON))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*month", plan), plan
