@@ -62,6 +62,18 @@ def test_duplicate_groups_deal_a_hot_id_to_many_tasks(spark):
     assert {e: sorted(v) for e, v in groups.items()} == {e: v for e, v in want.items() if len(v) > 1}
 
 
+def test_duplicate_groups_join_only_the_counts_of_big_groups(spark, monkeypatch):
+    """Many small groups are not joined, so no table of them is broadcast."""
+    kept, settle = [], dedupe.settled
+    monkeypatch.setattr(dedupe, "settled", lambda df, label: kept.append(settle(df, label)) or kept[-1])
+    rows = spark.range(4000).selectExpr("id", "CASE WHEN id < 1500 THEN 'hot' WHEN id % 10 < 4 THEN concat('e', id div 2) ELSE concat('own', id) END AS external_id", "id % 7 AS company_id")
+    got = dedupe.duplicate_groups(rows).collect()
+    assert [(r.external_id, r.group_count) for r in kept[0].collect()] == [("hot", 1500)]
+    assert sum(len(r.job_ids) for r in got if r.external_id == "hot") == 1500 and {r.group_count for r in got if r.external_id == "hot"} == {1500}
+    small = [r for r in got if r.external_id != "hot"]
+    assert len(small) == 500 and all(r.group_count == len(r.job_ids) == len(r.company_ids) == 2 and r.page == 0 for r in small)
+
+
 # kept keys
 
 STORED = "id bigint, company_id bigint, external_id string, title string, url string, source_url string, discovered_at timestamp"
