@@ -104,3 +104,19 @@ def test_search_matches_agree_with_the_plain_filter(spark):
         kept = filters.criteria_filter(jobs.filter(F.col("company_id").isin(scope)), s["keywords"] or "", s["remote_only"], s["job_type"])
         want += [(s["id"], r["id"]) for r in kept.collect()]
     assert got == sorted(want) and len(set(got)) == len(got)
+
+
+def test_totals_of_searches_need_no_row_per_pair(spark):
+    """Also with ids that come twice, alike or in another company, and with equal searches."""
+    rows = [(i, i % 3, ["Data", "alpha beta", "nothing"][i % 3], None, ["Remote", None][i % 2], "contract") for i in range(300)]
+    rows += [rows[0], (1, 0, "beta", None, "Remote", None), (None, 0, "beta", None, None, None)]
+    jobs = spark.createDataFrame(rows, "id bigint, company_id bigint, title string, description string, location string, job_type string")
+    asked = [(i, [None, "alp", "data beta", "ta", "absent"][i % 5], i % 3 == 2, "contract" if i % 4 == 3 else None, [] if i % 5 and i % 2 else [0, 2, 900 + i], True) for i in range(40)] * 2
+    searches = spark.createDataFrame(asked, "id bigint, keywords string, remote_only boolean, job_type string, target_companies array<bigint>, is_active boolean")
+    companies = spark.createDataFrame([(0, True), (1, True), (2, True)], "id bigint, is_active boolean")
+    index = joins.standing(searches, companies)
+    pairs = joins.posting_matches(index, jobs).groupBy("search_id").agg(F.count(F.lit(1)).alias("matches"), F.sum("job_id").alias("id_sum"))
+    postings, hits = joins.matched_cells(index, jobs)
+    got = joins.matched_totals(index, postings, hits)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and pairs.count() > 20
+    assert hits.count() + postings.count() < pairs.agg(F.sum("matches")).first()[0] / 5
