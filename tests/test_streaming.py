@@ -118,3 +118,26 @@ def test_windows_of_stream_and_batch(spark):
     df = spark.createDataFrame(rows, "at timestamp, status string")
     first = streams.window_counts(df, "at", ["status"]).filter(F.col("window_start") == F.lit(T0)).first()
     assert first["n"] == 24
+
+
+def test_match_stream_writes_cells_not_pairs(spark):
+    """Each pair once, also for postings that land again; the log holds rows per posting and per search, not their product."""
+    from vacantia.operators import joins
+    from vacantia.streaming import matches
+
+    ddl = "id bigint, company_id bigint, title string, description string, location string, job_type string, discovered_at timestamp"
+    rows = [(i, i % 3, ["Data", "alpha\tbeta beta", "nothing"][i % 3], "Zeta  data" if i % 4 == 0 else None, ["Remote", None][i % 2], "contract", T0 + dt.timedelta(minutes=i)) for i in range(200)]
+    searches = spark.createDataFrame([(i, [None, "alp", "data beta"][i % 3], i % 5 == 0, None, [0, 2, 900 + i], True) for i in range(60)], "id bigint, keywords string, remote_only boolean, job_type string, target_companies array<bigint>, is_active boolean")
+    companies = spark.createDataFrame([(0, True), (1, True), (2, True)], "id bigint, is_active boolean")
+    index = joins.standing(searches, companies)
+    found = ChangeLog(spark, work_path(spark, "m"), ["search_id", "cell", "job_id"], matches.MATCHES)
+    found.start(spark.createDataFrame([], matches.MATCHES))
+    stream = land(spark, [rows[:120], rows[:9] + rows[120:]], ddl, work_path(spark, "t"))
+    matches.match_stream(stream, index, found, work_path(spark, "c")).awaitTermination()
+    pairs = sorted(map(tuple, joins.posting_matches(index, spark.createDataFrame(rows, ddl)).collect()))
+    assert sorted(map(tuple, matches.matched_pairs(found, index).collect())) == pairs and len(set(pairs)) == len(pairs)
+    want = {}
+    for search, job in pairs:
+        want.setdefault(search, []).append(job)
+    assert sorted(map(tuple, matches.matched_totals(found, index).collect())) == sorted((k, len(v), sum(v)) for k, v in want.items())
+    assert found.rows().count() < len(pairs) / 4
