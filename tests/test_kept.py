@@ -290,3 +290,18 @@ def test_indexed_searches_read_only_hit_days(spark):
     found = filters.screen_search(jobs, "rare", index=index)
     assert [r.id for r in found.collect()] == [7]
     assert "dynamicpruning" in plan_of(found)
+
+
+def test_text_index_deals_postings_not_words(spark, monkeypatch):
+    from vacantia.sources.text_index import TextIndex
+
+    rows = [(i, "One two\tTWO", " three  one ", None, "", T0 if i else None) for i in range(5)]
+    jobs = spark.createDataFrame(rows, "id bigint, title string, description string, company string, location string, discovered_at timestamp")
+    dealt, sort = [], type(jobs).sortWithinPartitions
+    monkeypatch.setattr(type(jobs), "sortWithinPartitions", lambda df, *by: dealt.append(df) or sort(df, *by))
+    index = TextIndex(spark, work_path(spark, "index")).add(jobs)
+    plan = plan_of(dealt[0])
+    # the plan is printed from the top: words are made after the shuffle
+    assert "Generate" in plan and plan.rindex("Generate") < plan.index("Exchange")
+    got = sorted((r.id, r.field, r.word) for r in spark.read.parquet(f"{index.root}/words").collect())
+    assert got == sorted((i, f, w) for i in range(5) for f, words in (("title", ("one", "two")), ("description", ("one", "three"))) for w in words)

@@ -36,12 +36,11 @@ class TextIndex:
         self.spark, self.root = spark, root.rstrip("/")
 
     def add(self, jobs: DataFrame) -> TextIndex:
-        found = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(F.split(_folded(f), r"\s+")).alias("words")) for f in FIELDS])
-        rows = jobs.select("id", F.to_date("discovered_at").alias("day"), F.explode(found).alias("f"))
-        words = rows.select("f.field", F.explode("f.words").alias("word"), "id", "day").filter("word <> ''")
-        dated = words.withColumn("month", F.trunc("day", "month"))
-        dealt = dated.hint("rebalance", "month").sortWithinPartitions("month", "field", "word", "id")
-        dealt.write.mode("append").partitionBy("month").parquet(f"{self.root}/words")
+        said = [F.array_join(F.array_distinct(F.split(_folded(f), r"\s+")), " ").alias(f) for f in FIELDS]
+        texts = jobs.select("id", F.to_date("discovered_at").alias("day"), *said).withColumn("month", F.trunc("day", "month"))
+        dealt = self.word_rows(texts.hint("rebalance", "month")).sortWithinPartitions("month", "field", "word", "id")
+        dealt.write.mode("append").option("compression", "zstd").partitionBy("month").parquet(f"{self.root}/words")
+        words = self.word_rows(texts)
         distinct = words.select("word").distinct()
         starts = F.sequence(F.lit(1), F.length("word") - (GRAM - 1))
         cut = F.when(F.length("word") >= GRAM, F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("word"), p, F.lit(GRAM)))))
@@ -49,6 +48,13 @@ class TextIndex:
         grams.repartitionByRange("gram", "word").sortWithinPartitions("gram", "word").write.mode("append").parquet(f"{self.root}/grams")
         return self
 
+    @staticmethod
+    def word_rows(texts: DataFrame) -> DataFrame:
+        """A row per distinct word of a posting's fields; postings are dealt before, so no row per word is shuffled."""
+        found = F.array(*[F.struct(F.lit(f).alias("field"), F.split(F.col(f), " ").alias("words")) for f in FIELDS])
+        rows = texts.select("id", "day", "month", F.explode(found).alias("f"))
+        return rows.select("f.field", F.explode("f.words").alias("word"), "id", "day", "month").filter("word <> ''")
+
     def _holding(self, piece: str) -> DataFrame:
         """Words that hold a piece."""
         own = sorted({piece[i : i + GRAM] for i in range(len(piece) - GRAM + 1)})
