@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import dates
 from vacantia.plans.registry import Tables, query
 from vacantia.plans.views import TODAY
+from vacantia.session import settled
 from vacantia.sources import companies, documents, pages, postings
 
 CAREER = "https://www.example.com/careers/list"
@@ -19,13 +20,53 @@ def brief(df, *more):
     return df.select(*BRIEF, F.md5("description").alias("description_md5"), *more)
 
 
-def listed(t: Tables, item, shape=None):
-    """Payload texts of up to 20 items each, with their company."""
-    rows = t("jobs").withColumn("item", item).withColumn("bucket", F.floor(F.col("id") / 20))
-    grouped = rows.groupBy("company", "company_id", "bucket").agg(F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+#: Payloads whose texts are brought to them together.
+TEXT_GROUP = 100
+
+
+def listed(t: Tables, item, shape=None, texts: bool = True):
+    """Payload texts of up to 20 items each, with their company.
+
+    Items with ``texts`` are listed with the names of their descriptions, and these are
+    filled into the finished lists, so no text is dealt or sorted once per posting.
+    """
+    rows = (t.by_name("jobs") if texts else t("jobs")).withColumn("item", item).withColumn("bucket", F.floor(F.col("id") / 20))
+    keys = ["company", "company_id", "bucket"]
+    if texts:
+        made = rows.groupBy(*keys).agg(F.collect_list(F.struct("item", F.col("description").alias("name"))).alias("made"))
+        grouped = with_texts(made, keys, t.texts())
+    else:
+        grouped = rows.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
     return grouped.withColumn("payload", F.concat(F.lit("["), F.col("items"), F.lit("]")) if shape is None else shape)
 
 
+def with_texts(lists, keys, texts):
+    """``items`` from ``made`` (item, name): the names in the items become the texts, as JSON; then the items are joined in order.
+
+    Lists are sorted by their first document and cut into groups of TEXT_GROUP; a group
+    gets each of its texts once, whichever lists share them.
+    """
+    number = F.transform("made", lambda m: F.split_part(m["name"], F.lit(":"), F.lit(2)).cast("long"))
+    placed = lists.withColumn("first", F.array_min(number))
+    size = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartitionByRange(size, "first", *keys).sortWithinPartitions("first", *keys)
+    cut = settled(dealt.withColumn("group", F.floor(F.monotonically_increasing_id() / TEXT_GROUP)).drop("first"), "lists")
+    asked = cut.select("group", F.explode("made.name").alias("name")).filter("name IS NOT NULL").distinct()
+    whole = F.to_json(F.struct(F.col("text").alias("t")))
+    quoted = F.substr(whole, F.lit(6), F.length(whole) - 6)  # the value of {"t":"..."}
+    found = asked.join(texts.select("name", quoted.alias("quoted")), "name")
+    maps = found.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("name", "quoted"))).alias("texts"))
+
+    def fill(m):
+        return F.when(m["name"].isNull(), m["item"]).otherwise(
+            F.replace(m["item"], F.concat(F.lit('"'), m["name"], F.lit('"')), F.element_at("texts", m["name"]))
+        )
+
+    items = F.array_join(F.sort_array(F.transform("made", fill)), ",")
+    # exploded, so that what reads the items more than once doesn't fill them more than once
+    return cut.join(maps, "group", "left").select(*keys, F.explode(F.array(items)).alias("items"))
+
+
 def iso_with_offset():
     """Half of the dates in UTC with Z, half two hours ahead with an offset."""
     ahead = dates.plus(F.col("posted_date"), 2, "hour")
@@ -164,8 +205,8 @@ def _(t):
             F.array(F.struct(F.lit("Detail").alias("name"))).alias("departments"),
         )).alias("payload"),
     )
-    out = postings.greenhouse_postings(landed, details)
-    return brief(out, F.array_join("departments", "|").alias("departments"))
+    out = postings.greenhouse_postings(landed, details, kept=F.md5)
+    return out.select(*BRIEF, F.col("description").alias("description_md5"), F.array_join("departments", "|").alias("departments"))
 
 
 @query("a8_lever_postings", """
@@ -275,7 +316,7 @@ def _(t):
 @query("a12_sitemap_urls", "SELECT company, url FROM {jobs}")
 def _(t):
     entry = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc><lastmod>x</lastmod></url>"))
-    landed = listed(t, entry, F.concat(F.lit("<urlset>"), F.replace("items", F.lit(","), F.lit("\n")), F.lit("</urlset>")))
+    landed = listed(t, entry, F.concat(F.lit("<urlset>"), F.replace("items", F.lit(","), F.lit("\n")), F.lit("</urlset>")), texts=False)
     return postings.sitemap_urls(landed)
 
 

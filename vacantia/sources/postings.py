@@ -7,6 +7,8 @@ rows and never fails the job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,34 +41,47 @@ def _filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
-def greenhouse_postings(landed: DataFrame, details: DataFrame | None = None) -> DataFrame:
-    """``landed``: company, slug, payload. ``details``: slug, job_id, payload."""
+def greenhouse_postings(
+    landed: DataFrame, details: DataFrame | None = None, kept: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """``landed``: company, slug, payload. ``details``: slug, job_id, payload.
+
+    ``kept``: what the caller wants of the description where that is less than the
+    text, such as its digest; it is made before postings are dealt to their details.
+    """
+    kept = kept or (lambda c: c)
     jobs = landed.select("company", "slug", F.explode(F.from_json("payload", GREENHOUSE)["jobs"]).alias("j"))
     jobs = jobs.filter(F.coalesce(F.col("j.id"), F.lit("")) != "")
+    own = kept(F.coalesce(_filled(F.col("j.content"), F.col("j.description")), F.lit("")))
+    jobs = jobs.select(
+        "company", "slug", *[F.col(f"j.{c}") for c in ("id", "title", "location", "absolute_url", "updated_at", "metadata", "departments")],
+        own.alias("description"),
+    )
     if details is None:
         jobs = jobs.withColumn("d", F.lit(None).cast(GREENHOUSE_DETAIL))
     else:
         found = details.select(
             F.col("slug").alias("_slug"), F.col("job_id").alias("_id"), F.from_json("payload", GREENHOUSE_DETAIL).alias("d")
         )
-        jobs = jobs.join(found, (jobs["slug"] == found["_slug"]) & (jobs["j.id"] == found["_id"]), "left")
-    place = F.col("j.location")
+        jobs = jobs.join(found, (jobs["slug"] == found["_slug"]) & (jobs["id"] == found["_id"]), "left")
+    place = F.col("location")
     location = F.when(place.startswith("{"), F.get_json_object(place, "$.name")).otherwise(place)
     url = F.coalesce(
-        _filled(F.col("j.absolute_url")),
-        F.concat(F.lit("https://boards.greenhouse.io/"), F.col("slug"), F.lit("/jobs/"), F.col("j.id")),
+        _filled(F.col("absolute_url")),
+        F.concat(F.lit("https://boards.greenhouse.io/"), F.col("slug"), F.lit("/jobs/"), F.col("id")),
     )
-    more = F.when(F.size("d.departments") > 0, F.col("d.departments")).otherwise(F.col("j.departments"))
+    more = F.when(F.size("d.departments") > 0, F.col("d.departments")).otherwise(F.col("departments"))
+    detail = _filled(F.col("d.content"))
     return jobs.select(
-        F.concat(F.lit("greenhouse_"), F.col("slug"), F.lit("_"), F.col("j.id")).alias("external_id"),
-        text.py_strip(F.coalesce("j.title", F.lit(""))).alias("title"),
+        F.concat(F.lit("greenhouse_"), F.col("slug"), F.lit("_"), F.col("id")).alias("external_id"),
+        text.py_strip(F.coalesce("title", F.lit(""))).alias("title"),
         "company",
         F.coalesce(location, F.lit("")).alias("location"),
         url.alias("url"),
         url.alias("source_url"),
-        F.coalesce(_filled(F.col("d.content"), F.col("j.content"), F.col("j.description")), F.lit("")).alias("description"),
-        named_value(F.col("j.metadata"), "Employment Type").alias("job_type"),
-        dates.iso_to_utc(F.col("j.updated_at")).alias("posted_date"),
+        F.when(detail.isNotNull(), kept(detail)).otherwise(F.col("description")).alias("description"),
+        named_value(F.col("metadata"), "Employment Type").alias("job_type"),
+        dates.iso_to_utc(F.col("updated_at")).alias("posted_date"),
         F.lit("greenhouse").alias("platform"),
         names_of(more).alias("departments"),
     )
