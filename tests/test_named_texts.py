@@ -61,3 +61,16 @@ def test_kept_is_made_of_the_text_that_counts(spark):
 def test_named_views_have_the_columns_of_the_views(spark, sf_dir):
     for name in ("jobs", "stored_jobs"):
         assert views.frame(spark, sf_dir, name, by_name=True).dtypes == views.frame(spark, sf_dir, name).dtypes
+
+
+def test_ingest_gives_the_texts_it_was_given_by_name(spark, sf_dir):
+    """Refreshed, kept and new postings; the tables that ingest moves hold no text of a document."""
+    from vacantia.operators import transitions
+    from vacantia.plans.views import AS_OF
+
+    t = Tables(spark, sf_dir)
+    whole = transitions.ingest(t("stored_jobs"), t("incoming"), AS_OF)
+    named = transitions.ingest(t.stored_by_name(), t.incoming_in_hand(), AS_OF)
+    got = t.with_descriptions(named).select(*whole.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect()))
+    assert named.agg(F.max(F.length("description.text")).alias("n")).first()["n"] < 100

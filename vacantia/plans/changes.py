@@ -34,12 +34,13 @@ after AS (SELECT s.id, s.company_id, s.external_id, s.title, coalesce(h.url, s.u
 
 
 def ingested(t):
-    return transitions.ingest(t("stored_jobs"), t("incoming"), AS_OF, keys=t.stored_keys().first_rows())
+    """Postings after a batch, with (text, name) for descriptions: the texts of stored postings are brought to the result, not carried through."""
+    return transitions.ingest(t.stored_by_name(), t.incoming_in_hand(), AS_OF, keys=t.stored_keys().first_rows())
 
 
 @query("j1_ingest", INGEST + " SELECT * FROM after")
 def _(t):
-    return ingested(t).withColumn("description_md5", F.md5("description")).drop("description")
+    return t.with_descriptions(ingested(t)).withColumn("description_md5", F.md5("description")).drop("description")
 
 
 @query("j1_new_postings_with_ids", INGEST + """ SELECT CAST(1000000000 + row_number() OVER (ORDER BY company_id, external_id) AS BIGINT) AS id, company_id, external_id, title
