@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import dates, urls
 from vacantia.operators.aggregates import BREAKER_FAILURES, BREAKER_RESET_SECONDS
+from vacantia.operators.scale import parts_of
 from vacantia.session import settled
 
+#: Crawls of a chunk, which a Python worker holds at a time.
+CHUNK_ROWS = 200_000
 RESET_US = BREAKER_RESET_SECONDS * 1_000_000
 #: How a chunk leaves a host: closed with ``failures``, or open since ``opened`` (microseconds).
 STATE = "failures int, opened bigint"
@@ -147,7 +150,8 @@ def breaker_episodes(logs: DataFrame, companies: DataFrame, as_of: str, order: l
         "host", F.unix_micros("started_at").alias("at"), (F.col("status") == "failed").alias("failed"), *keys
     )
     names = ["host", *[f"_o{i}" for i in range(len(order))]]
-    cut = settled(rows.repartitionByRange(*names).withColumn("_chunk", F.spark_partition_id()), "breaker")
+    parts = parts_of(past, CHUNK_ROWS)
+    cut = settled(rows.repartitionByRange(parts, *names).withColumn("_chunk", F.spark_partition_id()), "breaker")
     functions = settled(cut.groupBy("_chunk").applyInPandas(_summaries, SUMMARY), "breaker-runs")
     entries = functions.groupBy("host").applyInPandas(_entries, f"host string, _chunk int, {STATE}")
     found = cut.groupBy("_chunk").cogroup(entries.groupBy("_chunk")).applyInPandas(_pieces, PIECES)
