@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import dates, scores, text, urls
-from vacantia.operators.scale import top_rows
+from vacantia.operators.scale import parts_of, top_rows
 from vacantia.sources.text_index import TextIndex
 
 # Statuses with their own rule.
@@ -216,12 +216,20 @@ def valid_postings(postings: DataFrame) -> DataFrame:
     return postings.filter(filled[0] & filled[1])
 
 
+#: Seen postings that one task compares.
+PART_ROWS = 100_000
+
+
 def unseen_postings(postings: DataFrame, seen: DataFrame) -> DataFrame:
     """Drop postings whose (company, external_id) was seen before.
 
     ``seen`` has one row per company and id: the exploded ``last_seen_ids``.
     """
-    return postings.join(seen.select("company_id", "external_id").distinct(), ["company_id", "external_id"], "left_anti")
+    on = ["company_id", "external_id"]
+    known = seen.select(*on)
+    # dealt by their number, so that no task's rows grow with the table; equal ones meet after that
+    parts = parts_of(known, PART_ROWS)
+    return postings.repartition(parts, *on).join(known.repartition(parts, *on).distinct(), on, "left_anti")
 
 
 def named_companies(cards: DataFrame, site: str, name: str = "name") -> DataFrame:
