@@ -175,8 +175,8 @@ def custom_json_postings(landed: DataFrame) -> DataFrame:
     )
 
 
-def json_nodes(payload: Column) -> Column:
-    """Every object and value of a JSON text at any depth, as an array of VARIANT.
+def json_nodes(payload: Column, root: Column | None = None) -> Column:
+    """Every object and value of a JSON text at any depth, as an array of VARIANT; ``root`` is the text as read before.
 
     Levels are opened one by one inside the row; brackets in the text bound the
     number of levels, so there is no fixed depth.
@@ -188,7 +188,7 @@ def json_nodes(payload: Column) -> Column:
             F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), nothing
         )
 
-    start = F.struct(nothing.alias("done"), F.array(strict_json(payload)).alias("level"))
+    start = F.struct(nothing.alias("done"), F.array(strict_json(payload) if root is None else root).alias("level"))
     return F.aggregate(
         F.sequence(F.lit(1), F.regexp_count(payload, F.lit(r"[{\[]"))),
         start,
@@ -209,8 +209,11 @@ def jsonld_blocks(html: Column) -> Column:
 
 def jsonld_postings(landed: DataFrame, prefix: str = "api_jsonld") -> DataFrame:
     """``landed``: company, career_url, payload. Every JobPosting at any depth."""
-    good = landed.filter(strict_json(F.col("payload")).isNotNull() & F.col("payload").rlike(r"[{\[]"))
-    typed = F.filter(json_nodes(F.col("payload")), lambda n: F.try_variant_get(n, "$['@type']", "string") == "JobPosting")
+    # a text is made and read once, however often it is used after that
+    made = landed.select("company", "career_url", F.explode(F.array("payload")).alias("payload")).filter(F.col("payload").rlike(r"[{\[]"))
+    read = made.select("*", F.explode(F.array(strict_json(F.col("payload")))).alias("_root"))
+    good = read.filter(F.col("_root").isNotNull())
+    typed = F.filter(json_nodes(F.col("payload"), F.col("_root")), lambda n: F.try_variant_get(n, "$['@type']", "string") == "JobPosting")
     items = good.select("company", "career_url", F.explode(typed).alias("v"))
     v = F.col("v")
     url = F.coalesce(_text(v, "url"), _text(v, "hiringOrganization.sameAs"))
