@@ -141,3 +141,41 @@ def test_match_stream_writes_cells_not_pairs(spark):
         want.setdefault(search, []).append(job)
     assert sorted(map(tuple, matches.matched_totals(found, index).collect())) == sorted((k, len(v), sum(v)) for k, v in want.items())
     assert found.rows().count() < len(pairs) / 4
+
+
+def crawls(spark, folder, rows):
+    """A lineitem table of (supplier, order, ship day or none, running) rows."""
+    lines = [(s, o, 1, 1, 6.0, 1.5, "N" if running else "R", "O", None if day is None else (T0 + dt.timedelta(days=day)).date()) for s, o, day, running in rows]
+    ddl = "l_suppkey bigint, l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date"
+    spark.createDataFrame(lines, ddl).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_stuck_runs_land_in_slices_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Many crawls land in many slices, written in one pass, and every stuck run comes out once."""
+    import __spark_entry__ as entry
+    from vacantia.plans import streams as plans
+    from vacantia.plans.registry import Tables
+
+    monkeypatch.setattr(plans, "LANDING_CRAWLS", 40)
+    rows = [(i % 7, i, i % 100, i % 3 == 0) for i in range(240)] + [(1, 1000, None, True)] + [(2, 2000, 5, True)] * 2
+    crawls(spark, tmp_path, rows)
+    logs = Tables(spark, str(tmp_path))("crawl_logs")
+    bounds = plans.slice_bounds(logs, "started_at", 40)
+    sizes = {r["s"]: r["count"] for r in logs.groupBy(plans.slice_of("started_at", bounds).alias("s")).count().collect()}
+    assert len(bounds) == 6 and sorted(sizes) == list(range(7)) and max(sizes.values()) <= 50
+    got = sorted(r["l_orderkey"] for r in entry.queries()["h4_stuck_runs"](spark, str(tmp_path)).collect())
+    assert got == sorted(o for _, o, day, running in rows if running and day is not None)
+
+
+def test_last_look_at_stuck_runs_leaves_what_the_stream_has_decided(spark):
+    starts = spark.createDataFrame([(1, T0), (2, T0 + dt.timedelta(days=2)), (None, T0), (3, T0 + dt.timedelta(days=3))], "run int, started_at timestamp")
+    ends = spark.createDataFrame([(1, T0), (3, T0 + dt.timedelta(days=3, minutes=9))], "run int, finished_at timestamp")
+    clock = streams.clock_of(starts, ends.filter("run = 1"))
+    assert clock == int((T0 - dt.datetime(1970, 1, 1)).total_seconds() - 3600) * 1_000_000
+    assert streams.clock_of(starts, ends.filter("run = 9")) is None
+    two_days = clock + 48 * 3_600_000_000
+    found = starts.filter("false")
+    looked = [streams.stuck_as_of(found, starts.filter("run <> 1 or run is null"), ends, ["run"], "2001-02-01", clock=c) for c in (None, two_days)]
+    assert [sorted((r["run"] or 0) for r in df.collect()) for df in looked] == [[0, 2], [0, 2]]
+    early = streams.stuck_as_of(found, spark.createDataFrame([(8, T0)], starts.schema), ends, ["run"], "2001-02-01", clock=two_days)
+    assert early.count() == 0
