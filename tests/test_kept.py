@@ -305,3 +305,27 @@ def test_text_index_deals_postings_not_words(spark, monkeypatch):
     assert "Generate" in plan and plan.rindex("Generate") < plan.index("Exchange")
     got = sorted((r.id, r.field, r.word) for r in spark.read.parquet(f"{index.root}/words").collect())
     assert got == sorted((i, f, w) for i in range(5) for f, words in (("title", ("one", "two")), ("description", ("one", "three"))) for w in words)
+
+
+def test_new_postings_alone_make_only_what_they_need(spark, monkeypatch):
+    """The fourth tier asks without links and titles, and refreshes are not written for who wants new postings alone."""
+    from vacantia.operators import transitions
+
+    rng = random.Random(8)
+    fields = "description string, posted_date timestamp"
+    stored = spark.createDataFrame([(*r, f"d{r[0]}", r[6], "new") for r in postings(rng, 150)], f"{STORED}, {fields}, status string")
+    incoming = spark.createDataFrame([(*r, f"n{r[0]}", dt.datetime(2001, 8, 1)) for r in [*postings(rng, 200, True), (900, 9, "fresh", "Never seen", "https://x.com/fresh", None)]], f"{INCOMING}, {fields}")
+    keys = KeyTable(spark, work_path(spark, "keys"), 4).start(stored)
+    want = transitions.ingest(stored, incoming, AS_OF)
+    written = []
+    settled = transitions.settled
+    monkeypatch.setattr(transitions, "settled", lambda df, label="settled": written.append(label) or settled(df, label))
+    got = transitions.ingest(stored, incoming, AS_OF, keys=keys.first_rows())
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {r["change"] for r in got.select("change").distinct().collect()} == {"new", "kept", "refreshed"}
+    assert "hits" in written and "refreshes" not in written
+    plan = got.filter("change = 'new'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    hits = dedupe._kept_hits(incoming.select("seq", *[F.col(c).alias(k) for c, k in (("company_id", "k_company"), ("external_id", "k_ext"))], F.upper("url").alias("k_url"), F.lower("title").alias("k_title")), "seq", keys.first_rows(), AS_OF)
+    made = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("upper(") == 1 and made.count("lower(") == 1

@@ -38,7 +38,6 @@ def _decided(stored: DataFrame, incoming: DataFrame, as_of: str, seen: DataFrame
     last = keep_first(later, ["match_id"], [F.col(key).desc()]).select(
         F.col("match_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in REFRESHED], F.lit(True).alias("_hit")
     )
-    last = settled(last, "refreshes")
     fresh = decided.filter(F.col("match_id").isNull()).select(
         F.lit(None).cast("bigint").alias("id"), "company_id", "external_id", "title", "url",
         F.coalesce("source_url", "url").alias("source_url"), "description", "posted_date",
@@ -66,6 +65,7 @@ def ingest(
     stored rows' duplicate keys, where a table of them is kept.
     """
     fresh, last = _decided(stored, incoming, as_of, seen, key, keys)
+    # read once and not at all by who wants the new postings alone, so it is not written
     return _refresh(stored, last, "left").unionByName(fresh, allowMissingColumns=True)
 
 
@@ -74,7 +74,7 @@ def ingest_changes(
 ) -> DataFrame:
     """Only the refreshed and new rows of :func:`ingest`."""
     fresh, last = _decided(stored, incoming, as_of, seen, key, keys)
-    return _refresh(stored, last, "inner").unionByName(fresh, allowMissingColumns=True)
+    return _refresh(stored, settled(last, "refreshes"), "inner").unionByName(fresh, allowMissingColumns=True)
 
 
 def simple_ingest(stored: DataFrame, incoming: DataFrame, key: str = "seq") -> DataFrame:
