@@ -75,6 +75,17 @@ def test_audit_equals_running_every_order(session, rows, none):
     assert filter_audit.audited(docs, known.limit(0)).count() == len(want)
 
 
+def test_audit_sends_no_labels_and_digests_through_the_driver(session, monkeypatch):
+    """The salted copies of labels and digests are shuffled, however small the files they are read from."""
+    docs = session.createDataFrame([(i, prose(random.Random(i % 3), 60), "a") for i in range(12)], "doc_id bigint, text string, source string")
+    known = session.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id bigint, quality int, toxic int")
+    written, settled = {}, filter_audit.settled
+    monkeypatch.setattr(filter_audit, "settled", lambda df, label="settled": written.setdefault(label, df) and settled(df, label))
+    assert filter_audit.audited(docs, known).count() == 600
+    plan = written["audit-cells"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plan
+
+
 def test_intervals_are_the_orders_in_which_a_step_removes():
     orders = list(itertools.permutations(range(5)))
     cover = {}

@@ -49,6 +49,11 @@ def own_failures(text: Column) -> dict[str, Column]:
     }
 
 
+def shuffled(keyed: DataFrame) -> DataFrame:
+    """The one-row side of a salted join, kept out of the driver: the size of its files says nothing of its 16 copies in memory."""
+    return keyed.hint("merge")
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, n): how many equal rows fail the filters in ``mask`` (bit i for filter i)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -57,7 +62,7 @@ def masked(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), sum(bits[1:], bits[0]).alias("mask"))
     narrow = settled(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "audit-rows")
     firsts = narrow.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last")
-    seen = salted_join(narrow, settled(firsts.select("digest", "_first"), "audit-firsts"), ["digest"], "left")
+    seen = salted_join(narrow, shuffled(settled(firsts.select("digest", "_first"), "audit-firsts")), ["digest"], "left")
     repeated = F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))
     return seen.select("doc_id", "part", F.when(repeated, F.col("mask") + (1 << FILTERS.index("E"))).otherwise(F.col("mask")).alias("mask"), "n")
 
@@ -92,7 +97,7 @@ def audited(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False)).cast("int")).alias("_good"),
         F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("int")).alias("_toxic"),
     )
-    rows = salted_join(masked(docs), settled(known, "audit-labels"), ["doc_id"], "left")
+    rows = salted_join(masked(docs), shuffled(settled(known, "audit-labels")), ["doc_id"], "left")
     cells = rows.groupBy("part", "mask").agg(
         F.sum("n").alias("n"),
         *[F.sum(F.col("n") * F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in COUNTS[1:]],
