@@ -292,6 +292,30 @@ def test_indexed_searches_read_only_hit_days(spark):
     assert "dynamicpruning" in plan_of(found)
 
 
+def test_index_of_named_texts_equals_scans_and_holds_a_text_once(spark):
+    """Descriptions by name: phrases with and without pieces, postings without a text or a day, texts that come again in a later add."""
+    from vacantia.operators import filters
+    from vacantia.sources.text_index import TextIndex
+
+    rng = random.Random(9)
+    words = ["Python", "python-dev", "Engineer", "NEW", "york", "ab", "été", "50%", "x_y"]
+    text = lambda n: rng.choice([None, " ".join(rng.choice(words) for _ in range(n)), "\t".join(rng.choice(words) for _ in range(n))])
+    texts = [(f"n{k}", text(6) or "") for k in range(8)]
+    rows = [(i, text(2), rng.choice([(None, None), *texts]), text(1), text(1), rng.choice([None, T0 + dt.timedelta(days=rng.randrange(6))])) for i in range(160)]
+    ddl = "id bigint, title string, description string, company string, location string, discovered_at timestamp"
+    by_name = spark.createDataFrame([(i, t, d[0], *rest) for i, t, d, *rest in rows], ddl)
+    plain = spark.createDataFrame([(i, t, d[1], *rest) for i, t, d, *rest in rows], ddl)
+    index = TextIndex(spark, work_path(spark, "index"), spark.createDataFrame(texts, "name string, text string"))
+    index.add(by_name.filter("id < 80")).add(by_name.filter("id >= 80"))
+    for phrase in ("python", "new york", "ab", "py%eng", "50%", "x_y", "absent", "python absent"):
+        for search in (lambda df, **k: filters.text_search(df, phrase, limit=None, **k), lambda df, **k: filters.screen_search(df, phrase, **k)):
+            assert sorted(r.id for r in search(by_name, index=index).collect()) == sorted(r.id for r in search(plain).collect()), phrase
+    assert filters.text_search(by_name, "python", index=index).columns == by_name.columns
+    said = {(w, n) for n, t in texts for w in t.lower().split() if n in {d[0] for _, _, d, *_ in rows}}
+    assert spark.read.parquet(f"{index.root}/text_words/*").count() == len(said)
+    assert "description" not in {r.field for r in spark.read.parquet(f"{index.root}/words").collect()}
+
+
 def test_text_index_deals_postings_not_words(spark, monkeypatch):
     from vacantia.sources.text_index import TextIndex
 

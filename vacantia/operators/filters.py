@@ -96,13 +96,16 @@ def criteria_filter(
 def text_search(jobs: DataFrame, phrase: str, limit: int | None = 10, index: TextIndex | None = None) -> DataFrame:
     """Newest matches in title, description or company; ``%`` and ``_`` are wildcards.
 
-    ``index`` finds the postings and days to look at; the rows are the same.
+    ``index`` finds the postings and days to look at; the rows are the same. Where it
+    knows texts by name, postings come and go with the names of their descriptions.
     """
+    like = lambda text: text.ilike(f"%{phrase.lower()}%")
+    columns, said = jobs.columns, like(F.col("description"))
     if index:
         jobs = index.narrowed(jobs, phrase, ["title", "description", "company"], wildcards="%_\\")
-    pattern = f"%{phrase.lower()}%"
-    hit = F.col("title").ilike(pattern) | F.col("description").ilike(pattern) | F.col("company").ilike(pattern)
-    return top_rows(jobs.filter(hit), [desc("discovered_at"), F.col("id")], limit)
+        jobs, said = index.told(jobs, like, phrase, wildcards="%_\\")
+    found = jobs.filter(like(F.col("title")) | said | like(F.col("company"))).select(*columns)
+    return top_rows(found, [desc("discovered_at"), F.col("id")], limit)
 
 
 def screen_search(jobs: DataFrame, term: str, index: TextIndex | None = None) -> DataFrame:

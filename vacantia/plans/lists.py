@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vacantia.operators import filters
 from vacantia.plans.registry import query
 from vacantia.plans.views import AS_OF
-from vacantia.session import work_path
+from vacantia.session import settled, work_path
 from vacantia.sources.text_index import TextIndex
 
 JOB = "id, title, company, location, url, status, ai_match_score, is_new, discovered_at, posted_date"
@@ -56,9 +56,9 @@ def _(t):
 
 
 def indexed(t):
-    """Postings, and the index of their texts."""
-    jobs = t("jobs").select("id", "title", "company", "location", "description", "discovered_at")
-    return jobs, TextIndex(t.spark, work_path(t.spark, "text-index")).add(jobs)
+    """Postings with the names of their descriptions, and the index of all their texts."""
+    jobs = settled(t.by_name("jobs").select("id", "title", "company", "location", "description", "discovered_at"), "postings")
+    return jobs, TextIndex(t.spark, work_path(t.spark, "text-index"), t.texts()).add(jobs)
 
 
 @query("b4_indexed_search", """
