@@ -143,6 +143,16 @@ def test_match_stream_writes_cells_not_pairs(spark):
     assert found.rows().count() < len(pairs) / 4
 
 
+def test_stuck_runs_keep_a_hash_as_the_key_of_their_state(spark):
+    starts = spark.createDataFrame([(1, "a", T0), (1, "b", T0), (None, "a", T0), (2, "a", T0)], "run int, part string, started_at timestamp")
+    ends = spark.createDataFrame([(1, "a", T0), (None, "a", T0), (2, "a", T0 + dt.timedelta(hours=2))], "run int, part string, finished_at timestamp")
+    open_ones = streams.stuck_runs(starts, ends, ["run", "part"])
+    assert sorted((r["run"] or 0, r["part"]) for r in open_ones.collect()) == [(0, "a"), (1, "b"), (2, "a")]
+    plan = open_ones._jdf.queryExecution().sparkPlan().toString()
+    assert "Join [xxhash64(" in plan and plan.split("Join [")[1].split("]")[0].count("xxhash64") == 1
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == "2"
+
+
 def crawls(spark, folder, rows):
     """A lineitem table of (supplier, order, ship day or none, running) rows."""
     lines = [(s, o, 1, 1, 6.0, 1.5, "N" if running else "R", "O", None if day is None else (T0 + dt.timedelta(days=day)).date()) for s, o, day, running in rows]
