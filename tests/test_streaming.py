@@ -143,6 +143,29 @@ def test_match_stream_writes_cells_not_pairs(spark):
     assert found.rows().count() < len(pairs) / 4
 
 
+def test_match_stream_leaves_texts_in_their_files(spark, monkeypatch):
+    """A landing is written with digests; its texts, and those of rows without a file, are looked through where they are."""
+    from vacantia.operators import joins
+    from vacantia.streaming import matches
+
+    ddl = "id bigint, company_id bigint, title string, description string, location string, job_type string, discovered_at timestamp"
+    rows = [(i, 0, "Zeta" if i % 5 else None, ["alpha beta", None, "", "gamma\talphabet"][i % 4], None, None, T0) for i in range(40)]
+    searches = spark.createDataFrame([(1, "alpha", False, None, [0], True), (2, "zeta", False, None, [0], True)], "id bigint, keywords string, remote_only boolean, job_type string, target_companies array<bigint>, is_active boolean")
+    index = joins.standing(searches, spark.createDataFrame([(0, True)], "id bigint, is_active boolean"))
+    found = ChangeLog(spark, work_path(spark, "m"), ["search_id", "cell", "job_id"], matches.MATCHES)
+    found.start(spark.createDataFrame([], matches.MATCHES))
+    written, settled = [], matches.settled
+    monkeypatch.setattr(matches, "settled", lambda df, label="settled": written.append(settled(df, label)) or written[-1])
+    matches.match_stream(land(spark, [rows], ddl, work_path(spark, "a landing")), index, found, work_path(spark, "c")).awaitTermination()
+    kept = written[0].collect()
+    assert len(kept) == 40 and not any(r["description"] for r in kept) and {r["title"] for r in kept} == {"Zeta", None}
+    want = sorted((s, i) for i, _, title, text, *_ in rows for s, hit in ((1, "alpha" in (text or "")), (2, title)) if hit)
+    assert sorted(map(tuple, matches.matched_pairs(found, index).collect())) == want
+    in_hand = joins.said(spark.createDataFrame(rows, ddl))
+    postings, hits = joins.matched_cells(index, in_hand, matches._texts(in_hand, in_hand.schema))
+    assert sorted((r["search_id"], r["job_id"]) for r in hits.join(postings, "cell").collect()) == want
+
+
 def test_stuck_runs_keep_a_hash_as_the_key_of_their_state(spark):
     starts = spark.createDataFrame([(1, "a", T0), (1, "b", T0), (None, "a", T0), (2, "a", T0)], "run int, part string, started_at timestamp")
     ends = spark.createDataFrame([(1, "a", T0), (None, "a", T0), (2, "a", T0 + dt.timedelta(hours=2))], "run int, part string, finished_at timestamp")
